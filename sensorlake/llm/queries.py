@@ -8,12 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import packing, token_counts, warc
-from sensorlake.llm.common import new_path, table, written
+from sensorlake.llm import packing, quality_rules, secret_scans, token_counts, url_filter, warc
+from sensorlake.llm.common import WORD, new_path, table, written
 
 BPE = "byte_bpe_50k.json"
 
 
+#: The host rules of the result contract, then patterns that block what these leave open.
+HOST_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+BLOCKED = [r"\bspam-farm\.", r"\bcheap-pills\.", r"\bcasino\b", r"\bporn\b", r"\bviagra\b", r"\bwarez\b", r"\bfree-money\b"]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.host_rule(i, text, action) for i, (text, action) in enumerate(HOST_RULES)]
+    rules += [url_filter.Rule(100 + i, p, p, "block", 0) for i, p in enumerate(BLOCKED)]
+    best = url_filter.best_rules(table(spark, sf_dir, "pages"), rules, id_col="page_id", url_col="url")
+    return best.select("page_id", "host", "path", F.when(F.col("priority") > 0, F.col("rule")).alias("rule"), F.coalesce("action", F.lit("allow")).alias("verdict"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "base", "base_ok")
+    led = quality_rules.apply_policy(led, "2024-1", "policy_ok")
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), (F.col("base_ok") & F.col("policy_ok")).alias("kept"), "failure_bits")
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scans.scan_all(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    n = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("_spans", lambda s: s["kind"].isin(*secret_scans.BASE))
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("_spans")).alias("spans"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
@@ -29,9 +55,59 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
+    "op4_quality_rules": op4_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+
+_HOST_PATH = r"""
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages"""
+
+_OP3 = rf"""
+WITH r AS ({_HOST_PATH}),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(rule, rhost, rpath, action) AS (VALUES {', '.join(f"('{t}', '{t.partition('/')[0]}', '/{t.partition('/')[2]}', '{a}')" for t, a in HOST_RULES)}),
+m AS (SELECT h.*, (SELECT max_by(struct_pack(rule := rule, action := action), length(rule)) FROM rules
+        WHERE (h.host = rhost OR ends_with(h.host, '.' || rhost)) AND starts_with(h.path, rpath)) AS best FROM h)
+SELECT page_id, host, path, best.rule AS rule,
+       coalesce(best.action, CASE WHEN regexp_matches(host || path, '{'|'.join(BLOCKED)}') THEN 'block' ELSE 'allow' END) AS verdict FROM m"""
+
+_OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines FROM d),
+x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+k AS (SELECT rid, i, {' || chr(32) || '.join('word' if j == 0 else f'lead(word, {j}) OVER p' for j in range(8))} AS key FROM x WINDOW p AS (PARTITION BY rid ORDER BY i)),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, key) AS n FROM k WHERE key IS NOT NULL) WHERE n >= 2),
+rep AS (SELECT rid, count(DISTINCT i + j) AS n FROM dup, range(8) AS s(j) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+        length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters
+      FROM w LEFT JOIN rep USING (rid)),
+b AS (SELECT *, {' | '.join(f'(CASE WHEN {fails} THEN {quality_rules.bit(name)} ELSE 0 END)' for name, fails in quality_rules.RULES.items())} AS failure_bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       failure_bits & {quality_rules.mask('base') | quality_rules.mask('2024-1')} = 0 AS kept, CAST(failure_bits AS BIGINT) AS failure_bits FROM b"""
+
+
+def _op6_kind(rule: secret_scans.SecretRule) -> str:
+    p = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT rid, '{rule.kind}' AS kind, {rule.order} AS o, coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS s, length(m[i]) AS n
+  FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {rule.group}) AS g, string_split_regex(t, '{p}') AS b FROM d))
+  WHERE length(g[i]) >= {rule.least}"""
+
+
+_OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({' UNION ALL '.join(_op6_kind(r) for r in secret_scans.RULES)}),
+g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, o) AS spans,
+        string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT), ',' ORDER BY s, o) FILTER (kind IN ('assign', 'access', 'hex')) AS base FROM f GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
+
+ORACLE: dict[str, str] = {"op3_url_filter": _OP3, "op4_quality_rules": _OP4, "op6_secret_scans": _OP6}
