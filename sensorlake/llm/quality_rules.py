@@ -22,7 +22,7 @@ RULES: dict[str, str] = {
     "few_words": "n_words < 20",
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > 3 * n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines",
     "upper_case": "10 * n_upper > 6 * n_letters",
     "word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)",
 }
