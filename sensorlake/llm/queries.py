@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import jaccard_join, packing, quality_rules, secret_scans, token_counts, url_filter, warc
+from sensorlake.llm import decontaminate, jaccard_join, packing, quality_rules, secret_scans, token_counts, url_filter, warc
 from sensorlake.llm.common import WORD, new_path, table, written
 
 BPE = "byte_bpe_50k.json"
@@ -32,6 +32,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), (F.col("base_ok") & F.col("policy_ok")).alias("kept"), "failure_bits")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"), "first_word")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scans.scan_all(table(spark, sf_dir, "documents"), columns=["doc_id"])
     n = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -61,6 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_decontamination": op5_decontamination,
     "op6_secret_scans": op6_secret_scans,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
