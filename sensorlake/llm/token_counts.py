@@ -1,6 +1,6 @@
 """Token counts by overlap resynchronisation.
 
-Texts up to `chunk_chars` characters are encoded whole. A longer one is cut into overlapping chunks that are encoded with
+Texts up to `huge_chars` characters are encoded whole. A longer one is cut into overlapping chunks that are encoded with
 offsets. Two neighbours are spliced at a place in their overlap that is proven stable: a space after a non-blank
 character (always a cut of a byte-level tokenizer), where a token starts in both encodings and from where both give the
 same ids up to the last such place they share. Where no place qualifies the overlap is doubled, and at last both
@@ -13,6 +13,7 @@ give a row each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,20 +26,20 @@ from sensorlake.llm.common import quiet_threads
 CUT = re.compile(r"(?<=\S) ")
 
 
-def _splice(text: str, a: object, a_start: int, a_end: int, b: object, b_start: int, past: int) -> tuple[int, int] | None:
+class Chunk:
+    """A part of a text with its ids and where each of them starts in the text."""
+
+    def __init__(self, tokenizer: object, text: str, start: int, end: int):
+        e = tokenizer.encode(text[start:end], add_special_tokens=False)
+        self.start, self.end, self.ids, self.at = start, end, e.ids, [s + start for s, _ in e.offsets]
+
+
+def _splice(text: str, a: Chunk, b: Chunk, past: int) -> tuple[int, int] | None:
     """Token indexes (in a, in b) at a proven common boundary after `past`, or None."""
-    a_at = {}
-    for i in range(len(a.offsets) - 1, -1, -1):
-        at = a.offsets[i][0] + a_start
-        if at < b_start:
-            break
-        a_at[at] = i
-    b_at = {}
-    for i, (at, _) in enumerate(b.offsets):
-        if at + b_start >= a_end:
-            break
-        b_at.setdefault(at + b_start, i)
-    shared = [m.start() for m in CUT.finditer(text, b_start, a_end) if m.start() > max(b_start, past) and m.start() in a_at and m.start() in b_at]
+    i, j = bisect_left(a.at, b.start), bisect_left(b.at, a.end)
+    a_at = {at: i + k for k, at in reversed(list(enumerate(a.at[i:])))}
+    b_at = {at: k for k, at in reversed(list(enumerate(b.at[:j])))}
+    shared = [x for m in CUT.finditer(text, b.start, a.end) if (x := m.start()) > max(b.start, past) and x in a_at and x in b_at]
     if len(shared) < 2:
         return None
     first, last = shared[0], shared[-1]
@@ -49,29 +50,26 @@ def _splice(text: str, a: object, a_start: int, a_end: int, b: object, b_start:
 
 def long_ids(tokenizer: object, text: str, chunk_chars: int, overlap: int) -> list[int]:
     """Ids of a text of any length, encoded in overlapping chunks."""
-    one = lambda s, e: tokenizer.encode(text[s:e], add_special_tokens=False)
     out: list[int] = []
-    start, end, first, past = 0, min(len(text), chunk_chars), 0, 0  # first: a's first token not yet given out
-    a = one(start, end)
-    while end < len(text):
+    first = past = 0  # a's first token that is not yet given out, and where it starts
+    a = Chunk(tokenizer, text, 0, min(len(text), chunk_chars))
+    while a.end < len(text):
         width, found = overlap, None
-        while found is None and end - width > start:
-            b_start, b_end = end - width, min(len(text), end - width + max(chunk_chars, 2 * width))
-            b = one(b_start, b_end)
-            found = _splice(text, a, start, end, b, b_start, past)
+        while found is None and a.end - width > a.start:
+            b = Chunk(tokenizer, text, a.end - width, min(len(text), a.end - width + max(chunk_chars, 2 * width)))
+            found = _splice(text, a, b, past)
             width *= 2
         if found is None:  # nothing in common: encode both as one
-            end = min(len(text), end + chunk_chars)
-            a = one(start, end)
-            first = next((i for i, (s, _) in enumerate(a.offsets) if s + start >= past), 0)
+            a = Chunk(tokenizer, text, a.start, min(len(text), a.end + chunk_chars))
+            first = bisect_left(a.at, past)
             continue
         out += a.ids[first : found[0]]
-        past = b.offsets[found[1]][0] + b_start
-        a, start, end, first = b, b_start, b_end, found[1]
+        a, first = b, found[1]
+        past = a.at[first]
     return out + a.ids[first:]
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, chunk_chars: int = 16_384, overlap: int = 512) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, huge_chars: int = 32_768, chunk_chars: int = 16_384, overlap: int = 512) -> DataFrame:
     """Columns id_col, n_bytes, n_tokens, over_limit: one row per input row, no shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +79,7 @@ def token_counts(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(1).to_pylist()
-                n = [-1 if t and len(t) > chunk_chars else 0 for t in texts]
+                n = [-1 if t and len(t) > huge_chars else 0 for t in texts]
                 short = enc.ids(["" if k or t is None else t for t, k in zip(texts, n, strict=True)])
                 got = [len(long_ids(enc.tokenizer, t, chunk_chars, overlap)) if k else len(s) // 4 for t, k, s in zip(texts, n, short, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(got, pa.int64())], ["_id", "_bytes", "_n"])
