@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import decontaminate, jaccard_join, packing, quality_classifier, quality_rules, secret_scans, token_counts, url_filter, warc
+from sensorlake.llm import decontaminate, jaccard_join, packing, pitman_yor, quality_classifier, quality_rules, secret_scans, token_counts, url_filter, warc
 from sensorlake.llm.common import WORD, new_path, table, written
 
 BPE = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[F.round(c, 6).alias(c) for c in ("text_probability", "meta_probability", "quality")], "kept")
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(table(spark, sf_dir, "documents"))
+
+
 #: The host rules of the result contract, then patterns that block what these leave open.
 HOST_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 BLOCKED = [r"\bspam-farm\.", r"\bcheap-pills\.", r"\bcasino\b", r"\bporn\b", r"\bviagra\b", r"\bwarez\b", r"\bfree-money\b"]
@@ -70,6 +74,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
