@@ -1,8 +1,58 @@
-"""Training-corpus pipeline."""
+"""Training-corpus pipeline: quality classifier, n-gram Jaccard join, benchmark decontamination, secret scans, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Rejected
+documents go, one document of each near-duplicate class (80 % of five-word shingles) stays, documents that leak a
+benchmark item go, secrets are replaced by a mark, and what is left is packed into power-of-two sequences.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorlake.llm import decontaminate, jaccard_join, packing, quality_classifier, secret_scans
+from sensorlake.llm.common import table, written
+
+#: SQL cannot express the classifier, the index search and the token ids; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.first_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = secret_scans.scan_all(docs)
+    clean = found.withColumn("_clean", secret_scans.redacted("text", "_spans"))
+    n_chars = F.when(F.size("_spans") > 0, F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", n_chars).withColumn("text", F.col("_clean")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("bucket")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secrets),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what goes from one to the next is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
