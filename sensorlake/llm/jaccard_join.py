@@ -3,8 +3,8 @@
 1. Shingles that are frequent in some batch of documents are counted; the most frequent ones (a bounded list) stand last in the
    global order of shingles, the others come before them by hash. Any order gives the same links.
 2. Each document becomes its set size, a hash of its set and its prefix: linked sets share a shingle of their prefixes.
-3. Documents with one prefix and size form a group. Groups that share a prefix shingle and pass the size and position
-   filters are candidates; a group's members are expanded and verified with their full sets.
+3. Documents with one prefix and size form a group. Groups that share a prefix shingle and pass the filters by size and by the
+   number of shared prefix shingles are candidates; a group's members are expanded and verified with their full sets.
 4. Links between equal sets need no check. First every set is verified against the pivots it shares most with, which joins most
    copies; then all pairs whose members are still in different components are verified, so none that matters is left.
    A pair inside one component cannot change the components. Connected components give the class of each document.
@@ -129,10 +129,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, name: str
     return met.select("u", "v", "su", "sv").mapInArrow(check, "u long, v long")
 
 
-def _fits(percent: int) -> str:
-    """Size filter and position filter of two postings a and b of one shingle."""
-    sizes = f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-    return f"{sizes} AND {100 + percent} * least(a.n - a.pos, b.n - b.pos) >= {percent} * (a.n + b.n)"
+def _sizes(percent: int) -> str:
+    """Size filter of two postings a and b."""
+    return f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+
+
+def _reaches(percent: int, shared: str, a: str, b: str, part: int = 1) -> str:
+    """Count filter: shared prefix shingles and all that lies behind the shorter reach of two prefixes suffice for a link. part: of the needed number."""
+    behind = lambda n: f"(cast(ceil({percent} * {n} / 100.0D) AS long) - 1)"  # noqa: E731  sizes less prefix lengths
+    return f"{100 + percent} * ({part} * {shared} + greatest({behind(a)}, {behind(b)})) >= {percent} * ({a} + {b})"
 
 
 def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -145,15 +150,16 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     some = sets.where("n > 0 AND id IS NOT NULL").withColumn("gid", F.xxhash64("prefix", "n"))
     classes = written(some.groupBy("set_hash", "gid", "n").agg(F.min("id").alias("rep")), "jaccard-classes")  # one row a distinct set
     groups = some.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"), F.min("id").alias("rep"))
-    lists = groups.select("gid", F.col("n").cast("int").alias("n"), "rep", F.posexplode("prefix").alias("pos", "t"))
+    lists = groups.select("gid", F.col("n").cast("int").alias("n"), "rep", F.explode("prefix").alias("t"))
     # A shingle of one group alone proposes nothing.
     lists = lists.withColumn("k", F.count("*").over(_by("t"))).where("k > 1").drop("k")
     lists = written(lists, "jaccard-postings")
 
     # Each set against the pivots (the first member of a shingle's list, by size band; a group's first set) it shares most with.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))
-    pivots = lists.withColumn("band", band).groupBy("t", "band").agg(F.min("rep").alias("v"))
-    votes = lists.withColumn("band", band).join(pivots, ["t", "band"]).where("rep <> v").groupBy("rep", "v").count()
+    pivots = lists.withColumn("band", band).groupBy("t", "band").agg(F.min(F.struct("rep", "n")).alias("p")).select("t", "band", F.col("p.rep").alias("v"), F.col("p.n").alias("m"))
+    votes = lists.withColumn("band", band).join(pivots, ["t", "band"]).where("rep <> v").groupBy("rep", "n", "v", "m").count()
+    votes = votes.where(_reaches(percent, "count", "n", "m", part=2))  # some shared lists have another pivot
     best = votes.groupBy("rep").agg(F.max(F.struct("count", F.negate("v").alias("v"))).alias("b")).select(F.col("rep").alias("u"), F.negate(F.col("b.v")).alias("v"))
     inside = classes.join(classes.groupBy("gid", "n").agg(F.min("rep").alias("v")), ["gid", "n"]).where("rep <> v").select(F.col("rep").alias("u"), "v")
     copies = sets.where("n > 0 AND id IS NOT NULL").join(classes, "set_hash").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
@@ -165,10 +171,11 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     member = classes.join(label, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     member = written(member.select("gid", "n", "rep", "comp"), "jaccard-members")
     spread = member.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    mixed = lists.select("gid", "n", "pos", "t").join(spread, "gid").withColumns({"l": F.min("lo").over(_by("t")), "h": F.max("hi").over(_by("t"))}).where("l < h").drop("l", "h")
+    mixed = lists.select("gid", "n", "t").join(spread, "gid").withColumns({"l": F.min("lo").over(_by("t")), "h": F.max("hi").over(_by("t"))}).where("l < h").drop("l", "h")
     mixed = written(mixed, "jaccard-mixed")
-    near = mixed.alias("a").join(mixed.alias("b"), F.expr(f"a.t = b.t AND a.gid < b.gid AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo) AND {_fits(percent)}"))
-    near = near.select(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2")).distinct()
+    near = mixed.alias("a").join(mixed.alias("b"), F.expr(f"a.t = b.t AND a.gid < b.gid AND NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo) AND {_sizes(percent)}"))
+    near = near.groupBy(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2")).count()
+    near = near.where(_reaches(percent, "count", "n1", "n2")).select("g1", "g2")
     one = member.select(F.col("gid").alias("g1"), F.col("rep").alias("u"), F.col("comp").alias("cu"))
     two = member.select(F.col("gid").alias("g2"), F.col("rep").alias("v"), F.col("comp").alias("cv"))
     same = spread.where("lo < hi").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
