@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorlake.fixtures import ACQ, COEF, FRAME, NAMES, acquisition, coefficients, frame, frame_lines, product_names, sql
@@ -13,7 +13,9 @@ from sensorlake.plans.pixels import newton_sql
 from sensorlake.plans.registry import query
 
 BAND = ["band"]
-DN = F.col("dn").cast("double")
+def dn() -> Column:
+    return F.col("dn").cast("double")
+
 
 _M = "m AS (SELECT band, col, avg(dn) FILTER (kind = 'dark') AS d, avg(dn) FILTER (kind = 'flat') AS f FROM acq GROUP BY band, col)"
 
@@ -82,7 +84,7 @@ _COR = "cor AS (SELECT f.band, f.line, f.col, f.dn, CASE WHEN model = 'CUBIC' TH
 @query("agg_07_fpn_before_after", sql(FRAME, COEF, _COR, *fpn_sql("frame", "dn", "p"), *fpn_sql("cor", "y", "q"), "SELECT p.band, round(p.fpn, 6) AS fpn_before, round(q.fpn, 6) AS fpn_after FROM p JOIN q USING (band)"))
 def fpn_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frame(spark, sf_dir)
-    y = align.with_coefficients(f, coefficients(spark), BAND).withColumn("y", R.forward_correct(DN))
+    y = align.with_coefficients(f, coefficients(spark), BAND).withColumn("y", R.forward_correct(dn()))
     a, b = calibrate.column_fpn(f, BAND), calibrate.column_fpn(y, BAND, "y")
     return a.join(b.withColumnRenamed("fpn", "after"), "band").select("band", steady("fpn").alias("fpn_before"), steady("after").alias("fpn_after"))
 
@@ -199,7 +201,7 @@ def agg_23(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_24_quantization", sql(FRAME, COEF, "q AS (SELECT band, dn * c AS x, CAST(greatest(least(round_even(dn * c, 0), 4095), 0) AS DOUBLE) AS y FROM frame JOIN coef USING (band, col))", "SELECT band, round(CAST(count(*) FILTER (y >= 4095) AS DOUBLE) / count(*), 6) AS saturated, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse FROM q GROUP BY band"))
 def agg_24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = align.with_coefficients(frame(spark, sf_dir), coefficients(spark), BAND).withColumn("x", DN * F.col("c")).withColumn("y", R.quantize(F.col("x")))
+    x = align.with_coefficients(frame(spark, sf_dir), coefficients(spark), BAND).withColumn("x", dn() * F.col("c")).withColumn("y", R.quantize(F.col("x")))
     d = F.col("x") - F.col("y")
     return x.groupBy("band").agg(steady(F.avg(F.when(F.col("y") >= R.DN_MAX, 1.0).otherwise(0.0))).alias("saturated"), steady(F.sqrt(F.avg(d * d))).alias("rmse"))
 
@@ -234,7 +236,7 @@ def agg_29(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg_30_round_trip", sql(FRAME, COEF, "px AS (SELECT c.*, f.line, f.dn FROM frame f JOIN coef c USING (band, col))", "cr AS (SELECT *, CASE WHEN model = 'CUBIC' THEN a * (dn - dark) * (dn - dark) * (dn - dark) + b * (dn - dark) * (dn - dark) + c * (dn - dark) WHEN dn - dark <= zs THEN a1 * (dn - dark) ELSE a2 * (dn - dark) + (a1 - a2) * zs END AS w FROM px)", *newton_sql("cr", "w", "iv"), "SELECT band, count(*) AS n, max(abs(inv + dark - dn)) < 1e-6 AS exact FROM iv WHERE dn > 0 AND dn < 32768 GROUP BY band"))
 def agg_30(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = align.with_coefficients(frame(spark, sf_dir), coefficients(spark), BAND).withColumn("w", R.forward_correct(DN))
+    x = align.with_coefficients(frame(spark, sf_dir), coefficients(spark), BAND).withColumn("w", R.forward_correct(dn()))
     x = R.reverse_impress(x, F.col("w"), "back").where("dn > 0 AND dn < 32768")
     return x.groupBy("band").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("back") - F.col("dn"))) < 1e-6).alias("exact"))
 
@@ -243,7 +245,7 @@ def agg_30(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg_31(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorlake.operators.coding import array_summary
 
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("band"), F.explode("embedding").cast("double").alias("v"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("band"), F.explode("embedding").alias("v")).withColumn("v", F.col("v").cast("double"))
     return array_summary(e, BAND, "v").select("band", "lo", "hi", steady("mean").alias("mean"), "n_nan")
 
 

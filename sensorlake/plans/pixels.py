@@ -17,7 +17,9 @@ from sensorlake.sources.dimensions import BANDS, BANDS_SQL, band_dim
 KEYS = ["detector", "band"]
 PIXEL = "SELECT band, line, col"
 JOINED = "px AS (SELECT f.detector, f.band, f.line, f.col, f.dn, c.dark, c.a, c.b, c.c, c.a1, c.a2, c.zs, c.model FROM frame f JOIN coef c USING (band, col))"
-DN = F.col("dn").cast("double")
+def dn() -> Column:
+    return F.col("dn").cast("double")
+
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,38 +40,38 @@ KNEE = "CASE WHEN {z} <= zs THEN a1 * {z} ELSE a2 * {z} + (a1 - a2) * zs END"
 FORWARD = "CASE WHEN model = 'CUBIC' THEN a * {z} * {z} * {z} + b * {z} * {z} + c * {z} ELSE " + KNEE + " END"
 RAD = "dn * 0.05::DOUBLE"
 
-pixel_query("prj_01_radiance_to_counts", lambda: R.radiance_to_counts(DN * 0.05, C("c")), f"{RAD} * c")
-pixel_query("prj_02_impress_response", lambda: R.impress_response(DN, C("c")), "dn / c")
-pixel_query("prj_03_reapply_dark", lambda: R.reapply_dark(DN, C("dark")), "dn + dark")
-pixel_query("prj_04_linear_eq", lambda: R.reapply_linear_eq(DN, C("c"), C("dark")), "dn / c + dark")
-pixel_query("prj_05_quantize", lambda: R.quantize(DN * C("c") + C("dark")).cast("double"), "greatest(least(round_even(dn * c + dark, 0), 4095), 0)")
-pixel_query("prj_06_undo_offset", lambda: R.undo_offset(DN) + 2 * R.add_offset(DN), "(dn + 100) + 2 * (dn - 100)")
-pixel_query("prj_07_reverse_radiometric", lambda: R.reverse_radiometric(DN * 0.05, F.lit(20.5), C("c"), C("dark"), C("a2"), F.lit(3.0)), f"({RAD} * 20.5::DOUBLE / c + dark) / a2 + 3")
-pixel_query("prj_08_forward_radiometric", lambda: R.forward_radiometric(DN, F.lit(20.5), C("c"), C("dark"), C("a2"), F.lit(3.0)), "((dn - 3.0::DOUBLE) * a2 - dark) * c / 20.5::DOUBLE")
-pixel_query("prj_09_forward_equalize", lambda: R.forward_equalize(DN), FORWARD.format(z="CAST(dn AS DOUBLE)"))
-pixel_query("prj_11_forward_correct", lambda: R.forward_correct(DN), FORWARD.format(z="(dn - dark)"))
-pixel_query("prj_13_onboard_knee", lambda: R.bilinear(DN, C("a1"), C("a2"), C("zs")), KNEE.format(z="CAST(dn AS DOUBLE)"))
-pixel_query("prj_16_noise_sigma", lambda: R.noise_sigma(DN - C("dark"), F.lit(1.44), C("c") / 10), "sqrt(greatest(1.44::DOUBLE + c / 10 * greatest(dn - dark, 0), 0))")
+pixel_query("prj_01_radiance_to_counts", lambda: R.radiance_to_counts(dn() * 0.05, C("c")), f"{RAD} * c")
+pixel_query("prj_02_impress_response", lambda: R.impress_response(dn(), C("c")), "dn / c")
+pixel_query("prj_03_reapply_dark", lambda: R.reapply_dark(dn(), C("dark")), "dn + dark")
+pixel_query("prj_04_linear_eq", lambda: R.reapply_linear_eq(dn(), C("c"), C("dark")), "dn / c + dark")
+pixel_query("prj_05_quantize", lambda: R.quantize(dn() * C("c") + C("dark")).cast("double"), "greatest(least(round_even(dn * c + dark, 0), 4095), 0)")
+pixel_query("prj_06_undo_offset", lambda: R.undo_offset(dn()) + 2 * R.add_offset(dn()), "(dn + 100) + 2 * (dn - 100)")
+pixel_query("prj_07_reverse_radiometric", lambda: R.reverse_radiometric(dn() * 0.05, F.lit(20.5), C("c"), C("dark"), C("a2"), F.lit(3.0)), f"({RAD} * 20.5::DOUBLE / c + dark) / a2 + 3")
+pixel_query("prj_08_forward_radiometric", lambda: R.forward_radiometric(dn(), F.lit(20.5), C("c"), C("dark"), C("a2"), F.lit(3.0)), "((dn - 3.0::DOUBLE) * a2 - dark) * c / 20.5::DOUBLE")
+pixel_query("prj_09_forward_equalize", lambda: R.forward_equalize(dn()), FORWARD.format(z="CAST(dn AS DOUBLE)"))
+pixel_query("prj_11_forward_correct", lambda: R.forward_correct(dn()), FORWARD.format(z="(dn - dark)"))
+pixel_query("prj_13_onboard_knee", lambda: R.bilinear(dn(), C("a1"), C("a2"), C("zs")), KNEE.format(z="CAST(dn AS DOUBLE)"))
+pixel_query("prj_16_noise_sigma", lambda: R.noise_sigma(dn() - C("dark"), F.lit(1.44), C("c") / 10), "sqrt(greatest(1.44::DOUBLE + c / 10 * greatest(dn - dark, 0), 0))")
 pixel_query("prj_22_valid_pixels", lambda: F.when((C("dn") > 0) & (C("dn") < R.SATURATED), 1).otherwise(0) + F.when(C("dn").between(0, R.DN_MAX), 2).otherwise(0), "CASE WHEN dn > 0 AND dn < 32768 THEN 1 ELSE 0 END + CASE WHEN dn BETWEEN 0 AND 4095 THEN 2 ELSE 0 END")
 
 
 def newton_sql(source: str, y: str, final: str) -> list[str]:
     """Common table expressions for the inverse response of column y."""
-    steps = [f"z0 AS (SELECT *, ({y}) AS y, ({y}) / c AS z FROM {source})"]
+    steps = [f"z0 AS MATERIALIZED (SELECT *, ({y}) AS y, ({y}) / c AS z FROM {source})"]
     for k in range(6):
-        steps.append(f"z{k + 1} AS (SELECT * REPLACE (z - (a * z * z * z + b * z * z + c * z - y) / (3.0::DOUBLE * a * z * z + 2.0::DOUBLE * b * z + c) AS z) FROM z{k})")
+        steps.append(f"z{k + 1} AS MATERIALIZED (SELECT * REPLACE (z - (a * z * z * z + b * z * z + c * z - y) / (3.0::DOUBLE * a * z * z + 2.0::DOUBLE * b * z + c) AS z) FROM z{k})")
     steps.append(f"{final} AS (SELECT *, CASE WHEN model = 'CUBIC' THEN z WHEN y <= a1 * zs THEN y / a1 ELSE (y - (a1 - a2) * zs) / a2 END AS inv FROM z6)")
     return steps
 
 
 @query("prj_10_inverse_equalize", sql(FRAME, COEF, JOINED, *newton_sql("px", "CAST(dn AS DOUBLE)", "iv"), f"{PIXEL}, round(inv, 6) AS value FROM iv"))
 def prj_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.inverse_equalize(joined(spark, sf_dir), DN, "v").select("band", "line", "col", steady("v").alias("value"))
+    return R.inverse_equalize(joined(spark, sf_dir), dn(), "v").select("band", "line", "col", steady("v").alias("value"))
 
 
 @query("prj_12_reverse_impress", sql(FRAME, COEF, JOINED, *newton_sql("px", "CAST(dn AS DOUBLE)", "iv"), f"{PIXEL}, round(inv + dark, 6) AS value FROM iv"))
 def prj_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.reverse_impress(joined(spark, sf_dir), DN, "v").select("band", "line", "col", steady("v").alias("value"))
+    return R.reverse_impress(joined(spark, sf_dir), dn(), "v").select("band", "line", "col", steady("v").alias("value"))
 
 
 _SHAPE = "sh AS (SELECT band, col, dark / avg(dark) OVER (PARTITION BY band) AS shape FROM coef)"
@@ -112,7 +114,7 @@ def prj_19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     coef = coefficients(spark)
     shifts = coef.select("band", "col", (F.col("col") % 2).alias("shift"))
-    x = deterministic_chain(frame(spark, sf_dir).withColumn("radiance", DN * 0.05), coef.select("band", "col", F.lit(20.5).alias("gain"), F.col("c").alias("response"), "dark", F.col("a2").alias("eq_gain"), F.lit(3.0).alias("eq_offset")), ["band"], shifts=shifts, dead_cols=coef.where("col = 9").select("band", "col"))
+    x = deterministic_chain(frame(spark, sf_dir).withColumn("radiance", dn() * 0.05), coef.select("band", "col", F.lit(20.5).alias("gain"), F.col("c").alias("response"), "dark", F.col("a2").alias("eq_gain"), F.lit(3.0).alias("eq_offset")), ["band"], shifts=shifts, dead_cols=coef.where("col = 9").select("band", "col"))
     return x.select("band", "line", "col", "dn")
 
 
@@ -137,7 +139,7 @@ def prj_18(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prj_20(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorlake.operators.chain import apply_nuc, reflectance
 
-    x = joined(spark, sf_dir).withColumn("rad", apply_nuc(DN, C("c"), F.lit(2.0), C("dark"), F.lit(0.05)))
+    x = joined(spark, sf_dir).withColumn("rad", apply_nuc(dn(), C("c"), F.lit(2.0), C("dark"), F.lit(0.05)))
     return x.select("band", "line", "col", steady("rad").alias("radiance"), steady(reflectance(C("rad"), F.lit(1800.0), F.lit(0.5), 1.01)).alias("reflectance"))
 
 
@@ -160,7 +162,7 @@ def prj_23(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prj_24(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frame(spark, sf_dir)
     p = f.groupBy("band").agg(F.percentile("dn", F.array(F.lit(0.02), F.lit(0.98))).alias("p")).select(((F.col("band") + 9) % 10).alias("band"), F.col("p")[0].alias("lo"), F.col("p")[1].alias("hi"))
-    return f.join(F.broadcast(p), "band").select("band", "line", "col", steady(R.stretch_to(DN, C("lo"), C("hi"))).alias("v"))
+    return f.join(F.broadcast(p), "band").select("band", "line", "col", steady(R.stretch_to(dn(), C("lo"), C("hi"))).alias("v"))
 
 
 @query("prj_25_swap_estimates", sql(FRAME, COEF, "e AS (SELECT band, col, avg(dn) / 4 AS d FROM frame WHERE col % 2 = 0 GROUP BY band, col)", "SELECT band, col, round(coalesce(d, dark), 6) AS dark, c AS response FROM coef LEFT JOIN e USING (band, col)"))
@@ -264,12 +266,12 @@ def res_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("join_01_wide_coefficients", sql(FRAME, coef_sql(80), "SELECT f.band, line, f.col, round(dn * c.c, 6) AS value FROM frame f JOIN coef c ON c.band = f.band AND c.col = f.col + 8"))
 def join_01_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = align.with_coefficients(frame(spark, sf_dir), coefficients(spark, 80), ["band"])
-    return x.select("band", "line", "col", steady(DN * C("c")).alias("value"))
+    return x.select("band", "line", "col", steady(dn() * C("c")).alias("value"))
 
 
 @query("join_01_narrow_coefficients", sql(FRAME, coef_sql(50), "SELECT f.band, line, f.col, round(dn * c.c, 6) AS value FROM frame f JOIN coef c ON c.band = f.band AND c.col = least(f.col, 49)"))
 def join_01_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = align.with_coefficients(frame(spark, sf_dir), coefficients(spark, 50), ["band"])
-    return x.select("band", "line", "col", steady(DN * C("c")).alias("value"))
+    return x.select("band", "line", "col", steady(dn() * C("c")).alias("value"))
 
 
