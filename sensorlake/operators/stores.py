@@ -10,3 +10,46 @@ def envelope(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_lines, detectors ('01,02,...'), start, stop."""
     detectors = F.array_join(F.sort_array(F.collect_set(F.format_string("%02d", "detector"))), ",")
     return rows.groupBy(*keys).agg(F.max("line").alias("n_lines"), detectors.alias("detectors"), F.min("t").alias("start"), F.max("t").alias("stop"))
+
+
+def group_key(name: object) -> object:
+    """'start|Rorbit' of a product name; 'unknown' for a name outside of the grammar."""
+    from sensorlake.functions.names import parse_lenient
+
+    p = parse_lenient(name)
+    return F.coalesce(F.concat(p["start"], F.lit("|R"), p["relative_orbit"].cast("string")), F.lit("unknown"))
+
+
+def comparability(items: DataFrame) -> DataFrame:
+    """items: kind, group. How far each can be compared with the engine's own products (kinds that begin with our-)."""
+    own = items.where(F.col("kind").startswith("our-")).select("group").distinct().withColumn("_own", F.lit(True))
+    x = items.join(own, "group", "left")
+    known = F.col("group") != "unknown"
+    label = (
+        F.when(F.col("kind").startswith("our-") & ~known, "Group A only (placeholder identity)")
+        .when(F.col("kind") == "external-l0-public", F.when(F.col("_own"), "same-scene").otherwise("distribution-level only"))
+        .when(known, "same acquisition group")
+        .otherwise("unknown")
+    )
+    return x.withColumn("comparable", label).drop("_own")
+
+
+def foreign(theirs: DataFrame, ours: DataFrame) -> DataFrame:
+    """Their items of a group that none of ours has; none at all while we have no items."""
+    some = ours.limit(1).select(F.lit(True).alias("_any"))
+    return theirs.join(ours.select("group").distinct(), "group", "left_anti").crossJoin(F.broadcast(some)).drop("_any")
+
+
+def sync_plan(remote: DataFrame, local: DataFrame, key: str) -> DataFrame:
+    """Remote rows to fetch: not here, or here with another checksum (column sum)."""
+    x = remote.join(local.withColumnRenamed("sum", "_sum"), key, "left")
+    return x.withColumn("reason", F.when(F.col("_sum").isNull(), "missing").when(F.col("_sum") != F.col("sum"), "changed")).where("reason IS NOT NULL").drop("_sum")
+
+
+def verify(listed: DataFrame, local: DataFrame, key: str) -> DataFrame:
+    """Listed objects with the outcome of their check: missing, unsafe path, size, md5 (only of single-part tags), or ok."""
+    x = listed.join(local, key, "left")
+    unsafe = F.col("key").rlike(r"(^|/)\.\.(/|$)") | F.col("key").startswith("/")
+    single = ~F.col("etag").contains("-")
+    outcome = F.when(unsafe, "unsafe").when(F.col("local_size").isNull(), "missing").when(F.col("local_size") != F.col("size"), "size").when(single & (F.col("etag") != F.col("local_md5")), "md5").otherwise("ok")
+    return x.withColumn("verify", outcome)
