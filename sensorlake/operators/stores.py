@@ -53,3 +53,45 @@ def verify(listed: DataFrame, local: DataFrame, key: str) -> DataFrame:
     single = ~F.col("etag").contains("-")
     outcome = F.when(unsafe, "unsafe").when(F.col("local_size").isNull(), "missing").when(F.col("local_size") != F.col("size"), "size").when(single & (F.col("etag") != F.col("local_md5")), "md5").otherwise("ok")
     return x.withColumn("verify", outcome)
+
+
+def key_paths(rows: DataFrame, ids: list[str], attrs: str, depth: int) -> DataFrame:
+    """ids, path, key of every key of a metadata tree down to a depth: one explode a level, all levels from one scan each."""
+    level = rows.select(*ids, F.lit("$").alias("path"), F.col(attrs).alias("_node"))
+    out = None
+    for _ in range(depth):
+        keys = F.explode(F.coalesce(F.json_object_keys("_node"), F.array().cast("array<string>")))
+        level = level.select(*ids, "path", "_node", keys.alias("key"))
+        level = level.select(*ids, F.concat("path", F.lit("."), "key").alias("path"), "key", F.from_json("_node", "map<string,string>")[F.col("key")].alias("_node"))
+        found = level.select(*ids, "path", "key")
+        out = found if out is None else out.unionByName(found)
+        level = level.where(F.col("_node").startswith("{")).select(*ids, "path", "_node")
+    return out
+
+
+def qc_predicates(products: DataFrame) -> DataFrame:
+    """products: ring, start, stop, relative_orbit, absolute_orbit, epoch, has_measurements. One boolean column a check; unknown counts as failed."""
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    checks = {
+        "Metadata_Content": F.col("start").isNotNull() & F.col("stop").isNotNull() & F.col("relative_orbit").isNotNull(),
+        "Geometry_Ring": (F.size("ring") >= 4) & (F.element_at("ring", 1) == F.element_at("ring", -1)),
+        "Sensing_Time": (F.length("start") > 0) & (F.length("stop") > 0) & (F.col("start") <= F.col("stop")),
+        "ISO_Time": F.col("start").endswith("Z") & F.col("stop").endswith("Z"),
+        "Datation_Sync": F.col("epoch") > 0,
+        "Time_Correlation": F.col("epoch").isNotNull(),
+        "Relative_Orbit": F.col("relative_orbit").between(1, 143),
+        "Absolute_Orbit": F.col("absolute_orbit") >= 0,
+        "Product_Structure": F.col("has_measurements"),
+    }
+    return products.withColumns({k: sure(v) for k, v in checks.items()})
+
+
+QC_CHECKS = ["Metadata_Content", "Geometry_Ring", "Sensing_Time", "ISO_Time", "Datation_Sync", "Time_Correlation", "Relative_Orbit", "Absolute_Orbit", "Product_Structure"]
+
+
+def qc_report(products: DataFrame) -> DataFrame:
+    """Products with checks (name, result) and overall: OK if all pass."""
+    x = qc_predicates(products)
+    checks = F.array(*[F.struct(F.lit(c).alias("name"), F.when(F.col(c), "pass").otherwise("fail").alias("result")) for c in QC_CHECKS])
+    x = x.withColumn("checks", checks)
+    return x.withColumn("overall", F.when(F.forall("checks", lambda c: c["result"] == "pass"), "OK").otherwise("KO")).drop(*QC_CHECKS)
