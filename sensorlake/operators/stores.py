@@ -95,3 +95,101 @@ def qc_report(products: DataFrame) -> DataFrame:
     checks = F.array(*[F.struct(F.lit(c).alias("name"), F.when(F.col(c), "pass").otherwise("fail").alias("result")) for c in QC_CHECKS])
     x = x.withColumn("checks", checks)
     return x.withColumn("overall", F.when(F.forall("checks", lambda c: c["result"] == "pass"), "OK").otherwise("KO")).drop(*QC_CHECKS)
+
+
+# Path rules in order, the first that fits wins: pattern, kind, role, source.
+PATH_RULES = [
+    (r"(^|/)\.publish-stage/", "staging-zip", "stage", "local"),
+    (r"^report/", "report", "report", "local"),
+    (r"^quicklook/", "quicklook", "quicklook", "local"),
+    (r"^l1a_prime/", "our-l1a-prime", "derived", "local"),
+    (r"^caldb/(.*/)?S02MSI[DS]CA[^/]*(/|$)", "our-cal-l0", "calibration", "local"),
+    (r"^caldb/", "caldb-adf", "calibration", "local"),
+    (r"^l0/.*_OC\.zarr(/|$)", "our-l0-oc", "derived", "local"),
+    (r"^l0/", "our-l0-canonical", "derived", "local"),
+    (r"^inputs/public-data/level-0/(.*/)?S02MSIL0P", "external-l0p-annotation", "reference", "public"),
+    (r"^inputs/public-data/level-0/(.*/)?S02MSIL0__", "external-l0-public", "reference", "public"),
+    (r"^inputs/(.*/)?PDI_MSI_S2_L1A\.zarr(/|$)", "external-l1a", "input", "public"),
+    (r"^inputs/real_l0/.*\.tar$", "external-psd-tar", "reference", "public"),
+    (r"^inputs/(?i:.*(gipp|/[^/]*GIP[^/]*$))", "reference-gipp", "reference", "local"),
+    (r"^inputs/(?i:.*psf)", "reference-psf", "reference", "local"),
+    (r"\.pytest_cache|__pycache__", "ci-scratch", "scratch", "local"),
+]
+
+
+def classify(path: object) -> object:
+    """Struct kind, role, source of a path in a store."""
+    out = F.struct(F.lit("other").alias("kind"), F.lit("other").alias("role"), F.lit("local").alias("source"))
+    for pattern, kind, role, source in reversed(PATH_RULES):
+        out = F.when(path.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(role).alias("role"), F.lit(source).alias("source"))).otherwise(out)
+    return out
+
+
+def items(files: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, item, bytes: files (path, size) rolled up to their product; caches are left out, other files kept by their ending."""
+    root = F.regexp_replace("path", r"(\.zarr)/.*$", "$1")
+    wanted = root.rlike(r"(\.zarr|\.zarr\.zip|\.tar|\.json|\.md|\.zip)$") & ~F.col("path").rlike(r"(^|/)(__pycache__|\.git)/")
+    return files.where(wanted).groupBy(*keys, root.alias("item")).agg(F.sum("size").alias("bytes"))
+
+
+# Candidate layouts of a detector's band, in order.
+LAYOUTS = [r"measurements/d(\d+)/([^/]+)/img", r"measurements/DD(\d+)/([^/]+)/l1a_raw_image", r"img/(\d+)/([^/]+)", r"(\d+)/([^/]+)"]
+
+
+def layouts(files: DataFrame) -> DataFrame:
+    """detector, band, layout (the first pattern that a path fits) of paths."""
+    fits = [F.when(F.regexp_extract("path", p, 1) != "", F.struct(F.regexp_extract("path", p, 1).cast("int").alias("detector"), F.regexp_extract("path", p, 2).alias("band"), F.lit(i).alias("layout"))) for i, p in enumerate(LAYOUTS, 1)]
+    return files.withColumn("_l", F.coalesce(*fits)).where("_l IS NOT NULL").select("path", "_l.*")
+
+
+def root_attributes(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, attrs: .zattrs before .zmetadata; an unreadable document counts as {}."""
+    rank = F.when(F.col("file") == ".zattrs", 0).otherwise(1)
+    text = F.when(F.try_parse_json("text").isNotNull(), F.col("text")).otherwise("{}")
+    return docs.groupBy(*keys).agg(F.min_by(text, rank).alias("attrs"))
+
+
+def listing_pages(pages: DataFrame, text: str) -> DataFrame:
+    """key, size, etag, next_token of listing pages in XML; tags in quotes are bared."""
+    row = "STRUCT<Key: STRING, Size: BIGINT, ETag: STRING>"
+    x = pages.select(F.from_xml(F.col(text), f"NextContinuationToken STRING, Contents ARRAY<{row}>").alias("p"))
+    return x.select(F.explode("p.Contents").alias("c"), F.col("p.NextContinuationToken").alias("next_token")).select(F.col("c.Key").alias("key"), F.col("c.Size").alias("size"), F.regexp_replace("c.ETag", '"', "").alias("etag"), "next_token")
+
+
+def run_report(phases: list[str], metrics: DataFrame) -> DataFrame:
+    """All metrics, and a row with missing = true for each phase that has none."""
+    p = metrics.sparkSession.createDataFrame([(x,) for x in phases], "phase string")
+    seen = metrics.select("phase").distinct().withColumn("_seen", F.lit(True))
+    return p.join(seen, "phase", "left").join(metrics, "phase", "left").select("phase", "band", "name", "value", F.col("_seen").isNull().alias("missing"))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    return old.join(new, keys, "left_anti").unionByName(new)
+
+
+def finding(rows: DataFrame, name: str, severity: str, evidence: object) -> DataFrame:
+    return rows.select(F.lit(name).alias("id"), F.lit(severity).alias("severity"), evidence.alias("evidence"))
+
+
+def exists_finding(rows: DataFrame, name: str, severity: str, evidence: str) -> DataFrame:
+    """One finding if there is any row."""
+    return finding(rows.limit(1), name, severity, F.lit(evidence))
+
+
+def findings(records: DataFrame, reports: DataFrame, *, setting_given: bool) -> DataFrame:
+    """All rules over records (path, kind, group, flags, name_orbit, orbit, identity_source) and reports (path, text); a default row where none fires."""
+    their, our = records.where("kind = 'external-l0-public'"), records.where("kind LIKE 'our-l0%'")
+    rules = [
+        finding(records.where("name_orbit IS NOT NULL AND orbit IS NOT NULL AND name_orbit <> orbit"), "orbit-name-stac-mismatch", "HIGH", F.concat(F.col("path"), F.lit(": name R"), F.col("name_orbit").cast("string"), F.lit(" vs STAC R"), F.col("orbit").cast("string"))),
+        exists_finding(records.where("kind = 'external-l1a' AND array_contains(flags, 'no_zarr_attrs')"), "pdi-stac-missing", "HIGH", "the main input has no readable attributes"),
+        finding(foreign(their, our), "public-l0-different-datatake", "CRITICAL", F.concat(F.col("path"), F.lit(" groups as "), F.col("group"))),
+        exists_finding(records.where("kind = 'external-l0p-annotation' AND identity_source = 'none'"), "l0p-annotations-no-stac", "LOW", "annotation products have no properties"),
+        exists_finding(records.where("path = '.publish-stage/gipp.zip'").where(F.lit(not setting_given)), "radiometric-vv-gipp-skipped", "MEDIUM", "the payload exists but its setting is unset"),
+        exists_finding(reports.where("path = 'report/l0_decode.json' AND get_json_object(text, '$.groups') = '4'"), "l0-decode-empty-group-count", "INFO", "a report counts four groups"),
+    ]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    fired = out.limit(1).select(F.lit(True).alias("_f"))
+    none = records.sparkSession.createDataFrame([("inventory-no-blockers", "INFO", "no inconsistency was found")], "id string, severity string, evidence string")
+    return out.unionByName(none.join(fired, F.lit(True), "left_anti"))

@@ -67,3 +67,18 @@ def register(spark: object) -> None:
     """packet_headers(content, strict) and tar_members(content), for LATERAL joins in SQL."""
     spark.udtf.register("packet_headers", F.udtf(PacketHeaders, returnType="offset bigint, apid int, seq_flags int, seq_count int, data_len int"))
     spark.udtf.register("tar_members", F.udtf(TarMembers, returnType="name string, content binary"))
+
+
+def tar_of(name: Column, content: Column) -> Column:
+    """A tar archive with one file."""
+
+    @F.udf("binary", useArrow=True)
+    def make(n: str, c: bytes) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            info = tarfile.TarInfo(n)
+            info.size = len(c)
+            tar.addfile(info, io.BytesIO(bytes(c)))
+        return out.getvalue()
+
+    return make(name, content)
