@@ -1 +1,49 @@
-"""Queries."""
+"""Streaming queries (STR): the packet table is written as files, read as a stream and drained once."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sensorlake.fixtures import LISTING, PACKET, listing, packets, sql
+from sensorlake.plans.registry import query
+from sensorlake.sources.shared import new_path
+from sensorlake.streaming import packets as S
+
+
+def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets in eight files by time, and one late sentinel in a file of its own that lets the watermark pass them all."""
+    p = packets(spark, sf_dir)
+    path = new_path(spark, "packet-stream")
+    p.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(f"{path}/a")
+    last = p.agg((F.max("ts") + F.expr("INTERVAL 800 DAYS")).alias("ts"))
+    last.select(F.lit(-1).alias("apid"), F.lit(0).alias("seq_count"), F.lit(0).alias("pos"), F.lit(0).alias("data_len"), "ts").coalesce(1).write.parquet(f"{path}/b")
+    return spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 4).option("latestFirst", "false").option("recursiveFileLookup", "true").parquet(path)
+
+
+@query("str_01_gap_monitor", sql(PACKET, "l AS (SELECT *, lag(seq_count) OVER (PARTITION BY apid ORDER BY pos) AS previous FROM packet)", "SELECT apid, previous, seq_count, CAST((seq_count - (previous + 1) % 16384 + 16384) % 16384 AS INT) AS missing FROM l WHERE previous IS NOT NULL AND seq_count <> (previous + 1) % 16384"))
+def str_01(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.drained(S.gap_monitor(packet_stream(spark, sf_dir), "400 days"), "gaps").where("apid >= 0")
+
+
+@query("str_02_counts", sql(PACKET, "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, apid, count(*) AS n, CAST(sum(data_len + 6) AS BIGINT) AS bytes FROM packet GROUP BY ALL"))
+def str_02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.drained(S.counts(packet_stream(spark, sf_dir), "1 day", late="400 days"), "counts").where("apid >= 0")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("str_02_sliding_counts", sql(PACKET, "SELECT CAST(date_trunc('day', ts) - INTERVAL (k) DAY AS TIMESTAMP) AS start, apid, count(*) AS n, CAST(sum(data_len + 6) AS BIGINT) AS bytes FROM packet, range(2) r(k) GROUP BY ALL"))
+def str_02_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.drained(S.counts(packet_stream(spark, sf_dir), "2 days", "1 day", "400 days"), "sliding").where("apid >= 0")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("str_03_idempotent_arrivals", sql(LISTING, "SELECT page_id, size FROM listing"))
+def str_03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object arrives twice, in two deliveries; each is kept once."""
+    ls = listing(spark, sf_dir).select("page_id", "size")
+    source, target = new_path(spark, "arrivals"), new_path(spark, "store-items")
+    for _ in range(2):
+        ls.write.mode("append").parquet(source)
+    S.arrivals_into(spark.readStream.schema(ls.schema).option("maxFilesPerTrigger", 1).parquet(source), "page_id", target)
+    return spark.read.parquet(target)
