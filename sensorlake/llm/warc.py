@@ -106,16 +106,18 @@ def _members(data: bytes, upto: int, more: object) -> Iterator[bytes]:
             return
         inflate = zlib.decompressobj(16 + zlib.MAX_WBITS)
         try:
-            text, fed = inflate.decompress(data[at : at + 65_536], 4_096), at + 65_536
+            fed = min(len(data), at + 65_536)
+            text = inflate.decompress(data[at:fed], 4_096)
             while len(text) < len(VERSION) and not inflate.eof:
-                rest = inflate.unconsumed_tail or data[fed : fed + 65_536]
+                rest = inflate.unconsumed_tail
                 if not rest:
-                    extra = more()
-                    if not extra:
-                        break
-                    data += extra
-                    continue
-                fed += 0 if inflate.unconsumed_tail else 65_536
+                    if fed == len(data):
+                        extra = more()
+                        if not extra:
+                            break
+                        data += extra
+                    rest = data[fed : fed + 65_536]
+                    fed += len(rest)
                 text += inflate.decompress(rest, 4_096)
             if not text.startswith(VERSION):  # magic bytes inside of other data
                 at += 1
