@@ -310,3 +310,20 @@ def snk_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = listing(spark, sf_dir)
     local = ls.where("page_id % 5 <> 0").select("page_id", F.col("size").alias("local_size"), F.col("content_md5").alias("local_md5"))
     return written(stores.verify(ls, local, "page_id"), "fetch").groupBy("verify").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+
+
+@query("src_13_coefficient_bundle", sql(FRAME, "SELECT band, col, round(avg(dn) * any_value(1 + (col * 13 + band * 5) % 61 / 1000.0::DOUBLE), 6) AS v, bool_or(col < 4) AS blind FROM frame WHERE band IN (1, 8) GROUP BY band, col"))
+def src_13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficient tables as views of one bundle; only what a query asks for is read."""
+    from sensorlake.fixtures import coefficients
+    from sensorlake.plans.joins import blind
+
+    S.register_bundle({"eq_coef": coefficients(spark), "blind_col": blind(spark, 64, 4).where("col < 4"), "radio_param": None})
+    frame(spark, sf_dir).createOrReplaceTempView("bundle_frame")
+    x = spark.sql("SELECT f.band, f.col, avg(dn) * (any_value(c.c) + 0.03D) AS v, bool_or(b.col IS NOT NULL) AS blind FROM bundle_frame f JOIN eq_coef c ON c.band = f.band AND c.col = f.col LEFT JOIN blind_col b ON b.band = f.band AND b.col = f.col WHERE f.band IN (1, 8) GROUP BY f.band, f.col")
+    return x.select("band", "col", steady("v").alias("v"), "blind")
+
+
+@query("str_02_batch_definition", sql(PACKET, "SELECT apid, count(*) AS n, CAST(sum(data_len + 6) AS BIGINT) AS bytes FROM packet GROUP BY apid"))
+def str_02_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packets(spark, sf_dir).groupBy("apid").agg(F.count("*").alias("n"), F.sum(F.col("data_len") + 6).alias("bytes"))

@@ -62,3 +62,11 @@ def psf_matrix(files: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, r, c, w of comma-separated matrices, one text a file."""
     rows = files.select(*keys, F.posexplode(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")).alias("r", "_row"))
     return rows.select(*keys, "r", F.posexplode(F.split("_row", ",")).alias("c", "_w")).select(*keys, "r", "c", F.col("_w").cast("double").alias("w"))
+
+
+def register_bundle(tables: dict[str, DataFrame | None]) -> list[str]:
+    """Register the tables that there are as temporary views of their names; absent ones are left out. Nothing is read before a query asks."""
+    there = [name for name, df in tables.items() if df is not None]
+    for name in there:
+        tables[name].createOrReplaceTempView(name)
+    return there
