@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 # The grammar of product names, its type codes, and older name patterns.
 NAME = r"^([A-Z0-9_]{9})_(\d{8}T\d{6})_(\d{4})_([A-Z])(\d{3})_([T_S])([0-9A-F]{3})(?:_([A-Za-z0-9_]+))?(\.zarr\.zip|\.zarr)?$"
-TYPE_CODES = ("S02MSIL0_", "S02MSIL1A", "S02MSIL1B", "S02MSIDCA", "S02MSISCA", "S02MSIL0P")
-LEGACY = r"^S2([ABC])_(?:OPER|USER)_([A-Z0-9_]{10})_.*?(\d{8}T\d{6}).*$"
+LENIENT = r"^([A-Z0-9_]{9})_(\d{8}T\d{6})_(\d{4})_([A-Z])(\d{3})_([T_S])([0-9A-F]{3})(?:_([A-Za-z0-9_]+))?(\.zarr\.zip|\.zarr|\.tar)?$"
+TYPE_CODES = ("S02MSIL0_", "S02MSIL1A", "S02MSIL1B", "S02MSIL1C", "S02MSIL2A", "S02MSISCA", "S02MSIDCA", "S02MSIISP", "S02SADISP")
+LEGACY = r"^(S2[ABC])_OPER_([A-Z0-9_]+?)_(\d{8}T\d{6})_?(V\d{8}T\d{6}_\d{8}T\d{6})?.*?(?:_A(\d{6}))?"
 DATA_TAKE = r"GS2[ABC]_[A-Z0-9_]+?_(\d{6})_N"
-COEF_FILE = r"^S0?2([ABC_])_(?:OPER_)?(?:GIP|ADF)_([A-Z0-9]+)_.*?(\d{8}T\d{6})_(\d{8}T\d{6})_(\d{8}T\d{6})"
+COEF_FILE = r"S0?2([ABC])_ADF_([A-Z0-9]+)_(\d{8}T\d{6})_(\d{8}T\d{6})_(\d{8}T\d{6})"
 FIELDS = ["product_type", "start", "duration_s", "unit", "relative_orbit", "consolidation", "discriminator", "z_suffix", "ext"]
 NUMBERS = ("duration_s", "relative_orbit")
 
@@ -40,14 +41,13 @@ def build_name(product_type: Column, start: Column, duration_s: Column, unit: Co
 
 
 def parse_lenient(name: Column) -> Column:
-    """Struct psfd, product_type, start, relative_orbit, unit: the strict grammar, else the grammar with any type, else the older pattern."""
-    strict = parse_name(name)
+    """Struct psfd, product_type, start, relative_orbit, absolute_orbit, unit: the grammar with any type and archives, else the older pattern; psfd where the type is known."""
     part = lambda p, i: F.nullif(F.regexp_extract(name, p, i), F.lit(""))
-    loose = name.rlike(NAME)
-    old = name.rlike(LEGACY)
+    loose, old = name.rlike(LENIENT), name.rlike(LEGACY)
     return F.struct(
-        F.coalesce(strict["valid"], F.lit(False)).alias("psfd"), F.when(loose, part(NAME, 1)).when(old, part(LEGACY, 2)).alias("product_type"),
-        F.when(loose, part(NAME, 2)).when(old, part(LEGACY, 3)).alias("start"), F.when(loose, part(NAME, 5).cast("int")).alias("relative_orbit"), F.when(loose, part(NAME, 4)).when(old, part(LEGACY, 1)).alias("unit"),
+        F.coalesce(loose & part(LENIENT, 1).isin(*TYPE_CODES), F.lit(False)).alias("psfd"), F.when(loose, part(LENIENT, 1)).when(old, part(LEGACY, 2)).alias("product_type"),
+        F.when(loose, part(LENIENT, 2)).when(old, part(LEGACY, 3)).alias("start"), F.when(loose, part(LENIENT, 5).cast("int")).alias("relative_orbit"),
+        F.when(~loose & old, part(LEGACY, 5).cast("int")).alias("absolute_orbit"), F.when(loose, part(LENIENT, 4)).when(old, part(LEGACY, 1)).alias("unit"),
     )
 
 

@@ -10,7 +10,7 @@ from sensorlake.functions.numbers import steady
 from sensorlake.operators import profile, stores
 from sensorlake.plans.registry import query
 from sensorlake.sources import coefficients as S, frames
-from sensorlake.sources.dimensions import BANDS_SQL, band_dim
+from sensorlake.sources.dimensions import BANDS_SQL, SOLAR_SQL, UNITS, band_dim, solar_dim
 from sensorlake.sources.shared import new_path, written
 
 
@@ -127,6 +127,14 @@ def src_15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(F.broadcast(band_dim(spark)), "band_index").groupBy("band_index", "band_name", "gsd_m").agg(F.count("*").alias("pixels"))
 
 
+@query("src_15_solar_irradiance", sql(FRAME, BANDS_SQL, SOLAR_SQL, "u(unit) AS (VALUES ('S2A'), ('S2B'), ('S2C'))", "SELECT u.unit, band_name, esun, esun IS NULL AS unknown FROM (SELECT DISTINCT band FROM frame) f JOIN bands b ON b.band_index = f.band CROSS JOIN u LEFT JOIN solar s ON s.unit = u.unit AND s.band_index = b.band_index"))
+def src_15_solar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = spark.createDataFrame([(u,) for u in UNITS], "unit string")
+    used = frame(spark, sf_dir).select(F.col("band").alias("band_index")).distinct().join(F.broadcast(band_dim(spark)), "band_index")
+    x = used.crossJoin(F.broadcast(units)).join(F.broadcast(solar_dim(spark)), ["unit", "band_index"], "left")
+    return x.select("unit", "band_name", "esun", F.col("esun").isNull().alias("unknown"))
+
+
 @query("src_16_framing_offsets", sql(FRAME, "SELECT band, CAST(min(line) FILTER (dn > 2100) AS INT) AS begin FROM frame GROUP BY band"))
 def src_16(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin = frame(spark, sf_dir).groupBy("band").agg(F.min(F.when(F.col("dn") > 2100, F.col("line"))).alias("begin"))

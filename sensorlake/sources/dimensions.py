@@ -4,18 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Fixed values of the 13 spectral bands: name, ground sampling in metres, reference radiance, signal-to-noise at it, noise alpha and beta.
+# Fixed values of the 13 spectral bands: name, ground sampling in metres, reference radiance, signal-to-noise at it, noise alpha and
+# beta, physical gain.
 BANDS = [
-    ("B01", 60, 129.11, 129.0, 1.36, 0.0281), ("B02", 10, 128.0, 154.0, 1.2, 0.0414), ("B03", 10, 128.0, 168.0, 1.2, 0.0279),
-    ("B04", 10, 108.0, 142.0, 1.17, 0.0209), ("B05", 20, 74.6, 117.0, 1.3, 0.0239), ("B06", 20, 68.23, 89.0, 1.4, 0.0163),
-    ("B07", 20, 66.7, 105.0, 1.35, 0.0158), ("B08", 10, 103.0, 174.0, 1.4, 0.0245), ("B8A", 20, 52.39, 72.0, 1.32, 0.0149),
-    ("B09", 60, 8.77, 114.0, 1.3, 0.0139), ("B10", 60, 6.0, 50.0, 2.1, 0.01), ("B11", 20, 4.0, 100.0, 2.5, 0.0223), ("B12", 20, 1.7, 100.0, 2.4, 0.0203),
-]
+    ("B01", 60, 129.11, 129.0, 0.560, 0.00054, 4.10503),
+    ("B02", 10, 128.00, 154.0, 0.567, 0.04696, 3.75138),
+    ("B03", 10, 128.00, 168.0, 0.488, 0.03482, 4.17678),
+    ("B04", 10, 108.00, 142.0, 0.489, 0.04047, 4.50915),
+    ("B05", 20, 74.60, 117.0, 0.578, 0.03123, 5.19263),
+    ("B06", 20, 68.23, 89.0, 0.576, 0.04388, 4.85731),
+    ("B07", 20, 66.70, 105.0, 0.576, 0.04220, 4.52068),
+    ("B08", 10, 103.00, 174.0, 0.571, 0.04447, 6.14137),
+    ("B8A", 20, 52.39, 72.0, 0.574, 0.08714, 5.11991),
+    ("B09", 60, 8.77, 114.0, 0.563, 0.10258, 8.50206),
+    ("B10", 60, 6.00, 50.0, 1.067, 0.00961, 55.05589),
+    ("B11", 20, 4.00, 100.0, 0.683, 0.09292, 35.29882),
+    ("B12", 20, 1.70, 100.0, 0.704, 0.08259, 106.15880),
+]
+# Solar irradiance of each band in the order above; the third unit has none.
+SOLAR = {
+    "S2A": [1884.69, 1959.66, 1823.24, 1512.06, 1424.64, 1287.61, 1162.08, 1041.63, 955.32, 812.92, 367.15, 245.59, 85.25],
+    "S2B": [1874.30, 1959.75, 1824.93, 1512.79, 1425.78, 1291.13, 1175.57, 1041.28, 953.93, 817.58, 365.41, 247.08, 87.75],
+}
 SWIR = ("B10", "B11", "B12")
 UNITS = ("S2A", "S2B", "S2C")
 
-BANDS_SQL = "bands(band_index, band_name, gsd_m, lref, snr, alpha, beta) AS (VALUES " + ", ".join(f"({i}, '{n}', {g}, {l}::DOUBLE, {s}::DOUBLE, {a}::DOUBLE, {b}::DOUBLE)" for i, (n, g, l, s, a, b) in enumerate(BANDS)) + ")"
+BANDS_SQL = "bands(band_index, band_name, gsd_m, lref, snr, alpha, beta, physical_gain) AS (VALUES " + ", ".join(f"({i}, '{b[0]}', {b[1]}, " + ", ".join(f"{v}::DOUBLE" for v in b[2:]) + ")" for i, b in enumerate(BANDS)) + ")"
+SOLAR_SQL = "solar(unit, band_index, esun) AS (VALUES " + ", ".join(f"('{u}', {i}, {v}::DOUBLE)" for u, vs in SOLAR.items() for i, v in enumerate(vs)) + ")"
 
 
 def band_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *b) for i, b in enumerate(BANDS)], "band_index int, band_name string, gsd_m int, lref double, snr double, alpha double, beta double")
+    return spark.createDataFrame([(i, *b) for i, b in enumerate(BANDS)], "band_index int, band_name string, gsd_m int, lref double, snr double, alpha double, beta double, physical_gain double")
+
+
+def solar_dim(spark: SparkSession) -> DataFrame:
+    """unit, band_index, esun. Join it with left_anti to find units and bands that have no value."""
+    return spark.createDataFrame([(u, i, v) for u, vs in SOLAR.items() for i, v in enumerate(vs)], "unit string, band_index int, esun double")
