@@ -132,4 +132,29 @@ g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
 
-ORACLE: dict[str, str] = {"op3_url_filter": _OP3, "op4_quality_rules": _OP4, "op6_secret_scans": _OP6}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP7 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{WORD}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d WHERE len(w) >= 5),
+s AS (SELECT DISTINCT doc_id, key FROM (
+        SELECT doc_id, {' || chr(32) || '.join('word' if j == 0 else f'lead(word, {j}) OVER p' for j in range(5))} AS key FROM x WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+        UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4) WHERE key IS NOT NULL),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT u, v FROM pairs JOIN c cu ON cu.doc_id = u JOIN c cv ON cv.doc_id = v WHERE 100 * k >= 80 * (cu.n + cv.n - k)),
+sym AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r(node, comp) AS (SELECT v, u FROM e UNION SELECT b.v, r.comp FROM r JOIN sym b ON b.u = r.node WHERE r.comp < b.v),
+m AS (SELECT node, min(comp) AS comp FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(m.comp, d.doc_id) AS component_id FROM d LEFT JOIN c USING (doc_id) LEFT JOIN m ON m.node = d.doc_id"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(x, {at}, 5) AS INT) >> {shift}) & 31) + 1, 1)"
+
+_OP10 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p GROUP BY h)
+SELECT page_id, strlen(h) AS payload_bytes, {' || '.join(_DIGIT.format(at=5 * k + 1, shift=s) for k in range(8) for s in (15, 10, 5, 0))} AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM p JOIN g USING (h)"""
+
+ORACLE: dict[str, str] = {"op3_url_filter": _OP3, "op4_quality_rules": _OP4, "op6_secret_scans": _OP6, "op7_jaccard_join": _OP7, "op10_warc": _OP10}
