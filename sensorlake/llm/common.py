@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 import zlib
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorlake.sources.shared import new_path
+
 #: Words are runs of characters other than these six; the same class in Java, RE2 and bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -108,20 +94,15 @@ def crc_mod7(key: object) -> int:
     return zlib.crc32(b"" if key is None else str(key).encode()) % 7
 
 
-def slices(rows: Iterable, size: int) -> Iterator[list]:
-    block: list = []
-    for r in rows:
-        block.append(r)
-        if len(block) >= size:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def extra_columns(df: DataFrame, reserved: Iterable[str]) -> DataFrame:
-    """Only what an operator needs is read: other columns, clashing names included, are left out by the caller's select."""
-    return df.select(*[F.col(f"`{c}`") for c in reserved])
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows with the largest counts, at most `most` of them, by a limit from a histogram of 64 bins for each power of two: nothing is sorted or gathered."""
+    level = F.floor(F.log2(F.col(count).cast("double")) * 64).cast("int")
+    kept, limit = 0, None
+    for r in counted.groupBy(level.alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("b")).collect():
+        if kept + r["n"] > most:
+            break
+        kept, limit = kept + r["n"], r["b"]
+    return counted.where(level >= limit) if limit is not None else counted.where(F.lit(False))
 
 
 def quiet_threads() -> None:

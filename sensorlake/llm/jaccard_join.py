@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from sensorlake.llm.common import shingles, word_codes, words, written
+from sensorlake.llm.common import most_frequent, shingles, word_codes, words, written
 from sensorlake.llm.components import components
 
 HOT_IN_BATCH = 8  # a shingle in so many documents of a batch is counted
@@ -144,8 +144,8 @@ def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """id_col, n_shingles, component_id: a row per input row."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    hot = _hot_counts(docs, n).orderBy(F.desc("c"), "h").limit(MOST_HOT).toPandas()
-    sets = written(_prefixes(docs, n, percent, hot["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()), "jaccard-prefixes")
+    hot = most_frequent(written(_hot_counts(docs, n), "jaccard-hot"), "c", MOST_HOT).toPandas().sort_values(["c", "h"])
+    sets = written(_prefixes(docs, n, percent, hot["h"].to_numpy(np.int64).view(np.uint64)), "jaccard-prefixes")
 
     some = sets.where("n > 0 AND id IS NOT NULL").withColumn("gid", F.xxhash64("prefix", "n"))
     classes = written(some.groupBy("set_hash", "gid", "n").agg(F.min("id").alias("rep")), "jaccard-classes")  # one row a distinct set
