@@ -10,8 +10,7 @@ A unit of a space and letters is one piece, and a sign after letters begins anot
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from array import array
 
 from sensorlake.llm.common import quiet_threads
 
@@ -60,12 +59,12 @@ class UnitEncoder:
         self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, letters: str) -> bytes:
         """Ids of a space and letters, one piece of the pattern."""
         mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(f"Ġ{mapped}")], np.uint32).tobytes()
+        return array("I", [t.id for t in self.model.tokenize(f"Ġ{mapped}")]).tobytes()
 
     def _learn(self, missing: list[str]) -> None:
         """Ids of units that stand after a space."""
@@ -81,7 +80,7 @@ class UnitEncoder:
         for at in range(0, len(hard), 4096):
             part = hard[at : at + 4096]
             for u, e in zip(part, self.tokenizer.encode_batch_fast([f" {u}" for u in part], add_special_tokens=False), strict=True):
-                self.young[u] = np.asarray(e.ids, np.uint32).tobytes()
+                self.young[u] = array("I", e.ids).tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes an id."""
@@ -95,7 +94,7 @@ class UnitEncoder:
             missing -= known
         self._learn(list(missing))
         get = self.young.__getitem__
-        firsts = iter([np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast([s[0] for s in split if s], add_special_tokens=False)])
+        firsts = iter([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([s[0] for s in split if s], add_special_tokens=False)])
         out = [next(firsts) + b"".join(map(get, s[1:])) if s else b"" for s in split]
         for u in missing:  # very long units are not worth remembering
             if len(u) > self.longest:
