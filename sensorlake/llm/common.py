@@ -41,7 +41,7 @@ def words(text: str | None) -> list[bytes]:
 class WordCodes:
     """64-bit hash of each word, remembered for the worker's lifetime in a dictionary of bounded size."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
         self.known: dict[bytes, int] = {}
 
