@@ -3,19 +3,21 @@
 Restaurants: one for each context (the word before), all with one parent, the restaurant of single words, whose base is uniform.
 Customers of a context restaurant are the pairs seen in training; each table sends one customer to the parent.
 
-1. Words are counted over all training documents. The most frequent ones (at most `most_words`, a bounded broadcast) have ids;
-   all others are the class of rare words, inside which a smoothed distribution over all their exact counts is used.
-2. Pairs of every document are dealt out by a hash of the pair into buckets whose number follows the token count, so that a
-   frequent context is spread over all of them, and a frequent pair counts once a document.
+1. Words are counted over all training documents. The state of the most frequent ones (at most `most_words`) is broadcast, as a
+   shortcut; every other word has a restaurant and a place in the parent too, which are joined by its hash.
+2. Pairs of every document are dealt out into buckets whose number follows the token count: by a hash of the pair if the context is
+   frequent, so that it is spread over all of them, and by the hash of the context otherwise, so that its restaurant is in one
+   bucket. A frequent pair counts once a document.
 3. A sweep seats the customers of each pair, given the parent's distribution and each context's tables of the sweep before: a first
    seating by expected or sequential table counts, then `moves` Gibbs moves in which a random customer of every pair leaves and is
    seated anew. The tables of all pairs are summed into the parent, which is seated likewise. Buckets of one sweep
-   run side by side with the sums of the sweep before. Seeds come from the bucket and the sweep, so a repeated task seats alike.
+   run side by side with the sums of the sweep before. The parent's words outside the broadcast are dealt out by hash into parts,
+   which send each bucket the probabilities of just its words. Seeds come from the bucket and the sweep, so a repeated task seats alike.
 4. After `burn` sweeps each sweep gives a predictive probability of every pair; their average scores all documents.
 
 Defined results: null and empty texts have one token, the end; a null id trains like the text ''; repeated rows count and
 are scored each; without training documents scores come from the uniform base; an empty table gives no rows; other
-columns are ignored. Words are told apart by 64-bit hashes.
+columns are ignored. Words are told apart by 64-bit hashes. Words never trained on share one place of the parent's base.
 """
 
 from __future__ import annotations
@@ -32,43 +34,52 @@ from pyspark.sql import functions as F
 from sensorlake.llm.common import crc_mod7, mix, parallelism, word_codes, words, written
 
 HELD_OUT = 2
-BITS = 20  # of a word id
-RARE_SMOOTH = 0.5
+MOST_WORDS = 1 << 20  # of a broadcast
+BLOCK_BITS, BITS = 26, 32  # of a word's number in a block and in a bucket
 SEGMENTS = 64
+PART_WORDS = 1_000_000
 
 
 @dataclass
 class Head:
-    """The frequent words: sorted hashes, their ids (0 is the most frequent) and counts by id; then the rare class and the end."""
+    """The frequent words: sorted hashes, their ids (0 is the most frequent) and counts by id; then the end. Numbers from `first` on are other words'."""
 
     hashes: np.ndarray
     ids: np.ndarray
-    counts: np.ndarray  # by id, with the rare class and the end
+    counts: np.ndarray  # by id, with the end
     tokens: int  # N
     distinct: int  # V
-    rare_words: int
+    other_words: int
+    other_tokens: int
 
     @property
-    def rare(self) -> int:
+    def end(self) -> int:
         return len(self.hashes)
 
     @property
-    def end(self) -> int:
+    def first(self) -> int:
         return len(self.hashes) + 1
 
+    @property
+    def places(self) -> int:
+        """Of the parent's base: all words, the end, and one for words that were never seen."""
+        return len(self.hashes) + self.other_words + 2
+
     def of(self, codes: np.ndarray) -> np.ndarray:
+        """Ids; -1 for other words."""
         if not len(self.hashes):
-            return np.full(len(codes), self.rare, np.int64)
+            return np.full(len(codes), -1, np.int64)
         i = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == codes, self.ids[i], self.rare)
+        return np.where(self.hashes[i] == codes, self.ids[i], -1)
 
 
 @dataclass
 class Restaurants:
-    """What a sweep hands on: the parent's distribution and the tables of each context."""
+    """What a sweep hands on of the frequent words: the parent's distribution and the tables of each context; and the probability of any other word of which a bucket was told nothing."""
 
     parent: np.ndarray
     tables: np.ndarray
+    other: float
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -130,8 +141,8 @@ def _head(vocabulary: DataFrame, most_words: int) -> Head:
     h, c = h[order], c[order]
     by_hash = np.argsort(h)
     tokens, distinct = sum(r["c"] for r in bins), sum(r["n"] for r in bins)
-    counts = np.concatenate([c, [tokens - c.sum(), docs]])
-    return Head(h[by_hash], by_hash.astype(np.int64), counts, tokens + docs, distinct + (docs > 0), distinct - len(h))
+    counts = np.concatenate([c, [docs]])
+    return Head(h[by_hash], by_hash.astype(np.int64), counts, tokens + docs, distinct + (docs > 0), distinct - len(h), int(tokens - c.sum()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most_docs: int = 1_000, most_tokens: int = 500_000) -> Iterator[tuple[int, list, list[np.ndarray]]]:
@@ -151,56 +162,84 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_docs: int = 1_000, most_toke
         yield at, ids, codes
 
 
+def _renumbered(numbers: np.ndarray, first: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers with those from `first` on replaced by the places among the ones that occur, and the hashes of these."""
+    there = np.unique(numbers[numbers >= first])
+    return np.where(numbers >= first, first + np.searchsorted(there, numbers), numbers), hashes[there - first]
+
+
 def _pairs(docs: DataFrame, head: object, buckets: int) -> DataFrame:
-    """bucket, block, data: distinct (document, context, word) of a block with how often, and which documents are held out."""
+    """bucket, block, others, data: distinct (document, context, word) of a block with how often, which documents are held out, and the hashes of contexts and words that are not in the head."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
+        frequent = np.zeros(h.first, np.uint64)
+        frequent[h.ids] = h.hashes
         for block, ids, codes in _blocks(batches):
             n = np.array([len(c) for c in codes])
             last = np.cumsum(n + 1) - 1
             w = np.full(int(n.sum()) + len(n), h.end, np.int64)
             inner = np.ones(len(w), bool)
             inner[last] = False
-            w[inner] = h.of(np.concatenate(codes))
+            code = np.concatenate(codes)
+            number = h.of(code)
+            other = number < 0
+            others, number[other] = np.unique(code[other], return_inverse=True)
+            number[other] += h.first
+            w[inner] = number
             u = np.concatenate([[h.end], w[:-1]])  # a document begins after an end
             doc = np.repeat(np.arange(len(n)), n + 1)
-            key, times = np.unique((doc << 2 * BITS) | (u << BITS) | w, return_counts=True)
-            doc, pair = key >> 2 * BITS, key & ((1 << 2 * BITS) - 1)
+            key, times = np.unique((doc << 2 * BLOCK_BITS) | (u << BLOCK_BITS) | w, return_counts=True)
+            doc, u, w = key >> 2 * BLOCK_BITS, (key >> BLOCK_BITS) & ((1 << BLOCK_BITS) - 1), key & ((1 << BLOCK_BITS) - 1)
             held = np.packbits([crc_mod7(k) == HELD_OUT for k in ids])
-            bucket = (mix(pair.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            code = np.concatenate([frequent, others])
+            context = mix(code[u])
+            bucket = (np.where(u < h.first, mix(context + code[w]), context) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, order[s:e]) for b, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if e > s]
-            data = [pack(np.diff(doc[i], prepend=0).astype(np.uint16), pair[i].astype(np.uint64) >> np.uint64(BITS), (pair[i] & ((1 << BITS) - 1)).astype(np.uint32), times[i].astype(np.uint32), held) for _, i in rows]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _ in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "data": pa.array(data, pa.binary())})
+            rows = []
+            for b, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                if e > s:
+                    i = order[s:e]
+                    (x, hx), (y, hy) = _renumbered(u[i], h.first, others), _renumbered(w[i], h.first, others)
+                    rows.append((b, pack(hx, hy), pack(np.diff(doc[i], prepend=0).astype(np.uint16), x.astype(np.uint32), y.astype(np.uint32), times[i].astype(np.uint32), held)))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()), "others": pa.array([r[1] for r in rows], pa.binary()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
-    return docs.mapInArrow(make, "bucket int, block long, data binary")
+    return docs.mapInArrow(make, "bucket int, block long, others binary, data binary")
 
 
-def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """document, pair, times, and whether the document is held out, of one block in one bucket."""
-    step, u, w, times, held = unpack(data, np.uint16, np.uint64, np.uint32, np.uint32, np.uint8)
+def _entries(data: bytes, first: int, places: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """document, pair, times, and whether the document is held out, of one block in one bucket; places: of the block's other contexts and words among the bucket's."""
+    step, *numbers, times, held = unpack(data, np.uint16, np.uint32, np.uint32, np.uint32, np.uint8)
     doc = np.cumsum(step.astype(np.int64))
-    return doc, (u.astype(np.int64) << BITS) | w.astype(np.int64), times.astype(np.int64), np.unpackbits(held)[doc].astype(bool)
+    for k, place in enumerate(places):
+        x = numbers[k].astype(np.int64)
+        other = x >= first
+        x[other] = first + place[x[other] - first]
+        numbers[k] = x
+    return doc, (numbers[0] << BITS) | numbers[1], times.astype(np.int64), np.unpackbits(held)[doc].astype(bool)
 
 
-def _gathered(pairs: DataFrame) -> DataFrame:
-    """One row a bucket: counts (the distinct pairs of training documents and how often), blocks and data."""
+def _gathered(pairs: DataFrame, first: int) -> DataFrame:
+    """One row a bucket: counts (the distinct pairs of training documents and how often), others (sorted hashes of its other contexts and words), blocks, places and data."""
 
     def gather(t: pa.Table) -> pa.Table:
         blocks, data = t.column("block").to_pylist(), t.column("data").to_pylist()
+        own = [unpack(x, np.uint64, np.uint64) for x in t.column("others").to_pylist()]
+        others = [np.unique(np.concatenate([x[k] for x in own])) for k in (0, 1)]
+        places = [[np.searchsorted(others[k], x[k]).astype(np.uint32) for k in (0, 1)] for x in own]
         order = np.argsort(np.array(blocks), kind="stable").tolist()
         pair, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for at in range(0, len(order), 64):
-            got = [_entries(data[i]) for i in order[at : at + 64]]
+            got = [_entries(data[i], first, places[i]) for i in order[at : at + 64]]
             p, back = np.unique(np.concatenate([pair, *(x[1][~x[3]] for x in got)]), return_inverse=True)
             count = np.bincount(back, np.concatenate([count, *(x[2][~x[3]] for x in got)]), len(p)).astype(np.int64)
             pair = p
         step = np.diff(pair, prepend=0).astype(np.uint64)
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "counts": pa.array([pack(step, count.astype(np.uint64))], pa.binary()), "blocks": pa.array([[blocks[i] for i in order]], pa.list_(pa.int64())), "data": pa.array([[data[i] for i in order]], pa.list_(pa.binary()))})
+        many = lambda values: pa.array([[values[i] for i in order]], pa.list_(pa.binary()))
+        return pa.table({"bucket": t.column("bucket").slice(0, 1), "counts": pa.array([pack(step, count.astype(np.uint64))], pa.binary()), "others": pa.array([pack(*others)], pa.binary()), "blocks": pa.array([[blocks[i] for i in order]], pa.list_(pa.int64())), "places": many([pack(*x) for x in places]), "data": many(data)})
 
-    return pairs.groupBy("bucket").applyInArrow(gather, "bucket int, counts binary, blocks array<long>, data array<binary>")
+    return pairs.groupBy("bucket").applyInArrow(gather, "bucket int, counts binary, others binary, blocks array<long>, places array<binary>, data array<binary>")
 
 
 def seat(c: np.ndarray, a: np.ndarray, d: float, moves: int, rng: np.random.Generator) -> np.ndarray:
@@ -254,29 +293,75 @@ def _contexts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pair >> BITS, pair & ((1 << BITS) - 1)
 
 
-def _seated(bucket: int, sweep: int, counts: bytes, state: Restaurants, d: float, strength: float, moves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    step, c = unpack(counts, np.uint64, np.uint64)
-    pair, c = np.cumsum(step.astype(np.int64)), c.astype(np.int64)
-    u, w = _contexts(pair)
-    a = (strength + d * state.tables[u]) * state.parent[w]
-    return pair, c, seat(c, a, d, moves, np.random.default_rng([bucket, sweep]))
-
-
-def _sweep(table: DataFrame, sweep: int, state: Restaurants, d: float, strength: float, moves: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables by word and by context, summed over all buckets in segments."""
+@dataclass
+class Bucket:
+    """The training pairs of a bucket and how often, and the hashes of its contexts and words that are not in the head."""
+
+    bucket: int
+    first: int
+    pair: np.ndarray
+    count: np.ndarray
+    contexts: np.ndarray
+    words: np.ndarray
+
+    @classmethod
+    def of(cls, bucket: int, first: int, counts: bytes, others: bytes) -> Bucket:
+        step, c = unpack(counts, np.uint64, np.uint64)
+        return cls(bucket, first, np.cumsum(step.astype(np.int64)), c.astype(np.int64), *unpack(others, np.uint64, np.uint64))
+
+    def customers(self) -> np.ndarray:
+        """Of its other contexts: all their pairs are here."""
+        u = _contexts(self.pair)[0]
+        other = u >= self.first
+        return np.bincount(u[other] - self.first, self.count[other], len(self.contexts))
+
+    def whole(self, state: Restaurants, told: list[tuple[int, bytes]], parts: int) -> Restaurants:
+        """The state with this bucket's other words (part, probabilities) and contexts (-1, tables) after the frequent ones."""
+        parent, tables = np.full(len(self.words), state.other), self.customers() ** 0.8
+        part = _part(self.words, parts)
+        for k, data in told:
+            if k < 0:
+                tables = unpack(data, np.int64)[0].astype(np.float64)
+            else:
+                parent[part == k] = unpack(data, np.float64)[0]
+        return Restaurants(np.concatenate([state.parent, parent]), np.concatenate([state.tables, tables]), state.other)
+
+    def seated(self, sweep: int, state: Restaurants, d: float, strength: float, moves: int) -> np.ndarray:
+        u, w = _contexts(self.pair)
+        return seat(self.count, (strength + d * state.tables[u]) * state.parent[w], d, moves, np.random.default_rng([self.bucket, sweep]))
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(hashes) >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+
+
+def _sweep(table: DataFrame, sweep: int, state: Restaurants, told: DataFrame, parts: int, d: float, strength: float, moves: int) -> DataFrame:
+    """segment, bucket, data, written once: tables by frequent word and context in segments; by other word in a segment a part, from SEGMENTS on; by other context in segment -1."""
     size = len(state.parent)
     given = table.sparkSession.sparkContext.broadcast(state)
     edges = np.linspace(0, size, SEGMENTS + 1).astype(int).tolist()
-    schema = "segment int, salt int, data binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pair, _, t = _seated(bucket, sweep, counts, given.value, d, strength, moves)
-                u, w = _contexts(pair)
-                by_word, by_context = (np.bincount(k, t, size).astype(np.int64) for k in (w, u))
-                data = [pack(by_word[s:e], by_context[s:e]) for s, e in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(SEGMENTS), pa.int32()), pa.array([bucket % 64] * SEGMENTS, pa.int32()), pa.array(data, pa.binary())], ["segment", "salt", "data"])
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        rows = []
+        for bucket, counts, others in zip(*(t.column(c).to_pylist() for c in ("bucket", "counts", "others")), strict=True):
+            x = Bucket.of(bucket, size, counts, others)
+            now = x.whole(given.value, list(zip(s.column("part").to_pylist(), s.column("data").to_pylist(), strict=True)), parts)
+            tables = x.seated(sweep, now, d, strength, moves)
+            u, w = _contexts(x.pair)
+            by_word, by_context = np.bincount(w, tables, len(now.parent)).astype(np.int64), np.bincount(u, tables, len(now.tables)).astype(np.int64)
+            rows += [(k, bucket, pack(by_word[a:e], by_context[a:e])) for k, (a, e) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+            part = _part(x.words, parts)
+            rows += [(SEGMENTS + k, bucket, pack(x.words[part == k], by_word[size:][part == k])) for k in np.unique(part).tolist()]
+            rows.append((-1, bucket, pack(by_context[size:])))
+        return pa.table({"segment": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
+
+    out = table.select("bucket", "counts", "others").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, "segment int, bucket int, data binary")
+    return written(out, "lm-tables")
+
+
+def _frequent(swept: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tables by frequent word and by frequent context, summed over all buckets."""
+    schema = "segment int, salt int, data binary"
 
     def add(t: pa.Table) -> pa.Table:
         total = None
@@ -285,50 +370,97 @@ def _sweep(table: DataFrame, sweep: int, state: Restaurants, d: float, strength:
             total = got if total is None else total + got
         return pa.table({"segment": t.column("segment").slice(0, 1), "salt": pa.array([0], pa.int32()), "data": pa.array([pack(*total)], pa.binary())})
 
-    parts = table.select("bucket", "counts").mapInArrow(run, schema).groupBy("segment", "salt").applyInArrow(add, schema).groupBy("segment").applyInArrow(add, schema).orderBy("segment").collect()
+    rows = swept.where(f"segment >= 0 AND segment < {SEGMENTS}").select("segment", (F.col("bucket") % 64).alias("salt"), "data")
+    parts = rows.groupBy("segment", "salt").applyInArrow(add, schema).groupBy("segment").applyInArrow(add, schema).orderBy("segment").collect()
     if not parts:
         return np.zeros(size, np.int64), np.zeros(size, np.int64)
     got = [unpack(r["data"], np.int64, np.int64) for r in parts]
     return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
 
 
-def _parent(tables: np.ndarray, d: float, strength: float, sweep: int, moves: int) -> np.ndarray:
-    """The parent's distribution after it has been seated; its base is uniform."""
-    size = len(tables)
-    t = np.minimum(tables, 1)
-    for k in range(2):
-        t = seat(tables, (strength + d * t.sum()) / size * np.ones(size), d, moves, np.random.default_rng([7, sweep, k]))
-    return (tables - d * t + (strength + d * t.sum()) / size) / (strength + tables.sum())
+def _others(swept: DataFrame) -> DataFrame:
+    """One row a part, written once: tables of its other words, how many words have some, their sum, and which of the words each bucket has."""
 
+    def add(t: pa.Table) -> pa.Table:
+        got = [unpack(x, np.uint64, np.int64) for x in t.column("data").to_pylist()]
+        word, back = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
+        tables = np.bincount(back, np.concatenate([x[1] for x in got]), len(word)).astype(np.int64)
+        places = [pack(np.searchsorted(word, x[0]).astype(np.uint32)) for x in got]
+        one = lambda v, kind: pa.array([v], kind)
+        return pa.table({"part": one(t.column("segment")[0].as_py() - SEGMENTS, pa.int32()), "tables": one(pack(tables), pa.binary()), "occupied": one(int((tables > 0).sum()), pa.int64()), "total": one(int(tables.sum()), pa.int64()), "buckets": one(t.column("bucket").to_pylist(), pa.list_(pa.int32())), "places": one(places, pa.list_(pa.binary()))})
 
-def _scored(table: DataFrame, samples: list[tuple[int, Restaurants, Restaurants]], counts: np.ndarray, d: float, strength: float, moves: int) -> DataFrame:
-    """block, kind, data: log10 probabilities of the documents' pairs in a bucket, by document of the block."""
-    given = table.sparkSession.sparkContext.broadcast((samples, counts))
+    return written(swept.where(f"segment >= {SEGMENTS}").groupBy("segment").applyInArrow(add, "part int, tables binary, occupied long, total long, buckets array<int>, places array<binary>"), "lm-others")
+
+
+def _parent(tables: np.ndarray, others: DataFrame, places: int, d: float, strength: float, sweep: int, moves: int) -> tuple[np.ndarray, float, DataFrame]:
+    """The parent after it has been seated: its probabilities of the frequent words, of a word without tables, and of the other words by bucket and part. Its base is uniform over `places`."""
+
+    def seats(c: np.ndarray, total: int, k: int, part: int) -> np.ndarray:
+        return seat(c, np.full(len(c), (strength + d * total) / places), d, moves, np.random.default_rng([7, sweep, k, part + 1]))
+
+    def seated(total: int, k: int) -> tuple[np.ndarray, int]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = [int(seats(unpack(x, np.int64)[0], total, k, part).sum()) for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+        t = seats(tables, total, k, -1)
+        return t, int(t.sum()) + (others.select("part", "tables").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        samples, c_context = given.value
+    r = others.agg(F.sum("occupied"), F.sum("total")).first()
+    zeroth = int((tables > 0).sum()) + (r[0] or 0)
+    _, once = seated(zeroth, 0)
+    t, twice = seated(once, 1)
+    rest, all_tables = (strength + d * twice) / places, strength + float(tables.sum()) + (r[1] or 0)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for bucket, packed, blocks, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seated = [_seated(bucket, k, packed, before, d, strength, moves) for k, before, _ in samples]
-                pair, c = seated[0][:2]
-                u, w = _contexts(pair)
-                known = np.mean([np.maximum(c - d * t, 0) / (strength + c_context[u]) for _, _, t in seated], axis=0) if len(pair) else np.zeros(0)
-                for block, x in zip(blocks, data, strict=True):
-                    doc, key, times, _ = _entries(x)
-                    u, w = _contexts(key)
-                    p = np.mean([(strength + d * after.tables[u]) / (strength + c_context[u]) * after.parent[w] for _, _, after in samples], axis=0)
-                    if len(pair):
-                        i = np.minimum(np.searchsorted(pair, key), len(pair) - 1)
-                        p = p + np.where(pair[i] == key, known[i], 0.0)
-                    total = np.bincount(doc, times * np.log10(p))
-                    there = np.flatnonzero(total)
-                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([1], pa.int32()), pa.array([pack(there.astype(np.uint16), total[there])], pa.binary())], ["block", "kind", "data"])
-
-    return table.mapInArrow(run, "block long, kind int, data binary")
+            for part, data, buckets, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                c = unpack(data, np.int64)[0]
+                p = (c - d * seats(c, once, 1, part) + rest) / all_tables
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([part] * len(buckets), pa.int32()), pa.array([pack(p[unpack(x, np.uint32)[0]]) for x in wanted], pa.binary())], ["bucket", "part", "data"])
+
+    told = others.select("part", "tables", "buckets", "places").mapInArrow(tell, "bucket int, part int, data binary")
+    return (tables - d * t + rest) / all_tables, rest / all_tables, told
+
+
+def _scored(table: DataFrame, samples: list[int], states: list[Restaurants], told: list[DataFrame], counts: np.ndarray, parts: int, d: float, strength: float, moves: int) -> DataFrame:
+    """block, kind, data: log10 probabilities of the documents' pairs in a bucket, by document of the block."""
+    used = sorted({k + i for k in samples for i in (0, 1)})
+    given = table.sparkSession.sparkContext.broadcast(({k: states[k] for k in used}, counts))
+    rows = told[used[0]].withColumn("state", F.lit(used[0]))
+    for k in used[1:]:
+        rows = rows.unionByName(told[k].withColumn("state", F.lit(k)))
+
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        states, c_frequent = given.value
+        size, out = len(c_frequent), []
+        for bucket, packed, others, blocks, places, data in zip(*(t.column(c).to_pylist() for c in ("bucket", "counts", "others", "blocks", "places", "data")), strict=True):
+            x = Bucket.of(bucket, size, packed, others)
+            at, part, told = (s.column(c).to_pylist() for c in ("state", "part", "data"))
+            whole = {k: x.whole(states[k], [(p, b) for j, p, b in zip(at, part, told, strict=True) if j == k], parts) for k in states}
+            c_context = np.concatenate([c_frequent, x.customers()])
+            known = np.zeros(len(x.pair))
+            for k in samples:
+                known += np.maximum(x.count - d * x.seated(k, whole[k], d, strength, moves), 0)
+            known /= len(samples) * (strength + c_context[_contexts(x.pair)[0]])
+            for block, place, got in zip(blocks, places, data, strict=True):
+                doc, key, times, _ = _entries(got, size, unpack(place, np.uint32, np.uint32))
+                u, w = _contexts(key)
+                p = np.mean([(strength + d * whole[k + 1].tables[u]) / (strength + c_context[u]) * whole[k + 1].parent[w] for k in samples], axis=0)
+                if len(x.pair):
+                    i = np.minimum(np.searchsorted(x.pair, key), len(x.pair) - 1)
+                    p = p + np.where(x.pair[i] == key, known[i], 0.0)
+                total = np.bincount(doc, times * np.log10(p))
+                there = np.flatnonzero(total)
+                out.append((block, pack(there.astype(np.uint16), total[there])))
+        return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([1] * len(out), pa.int32()), "data": pa.array([r[1] for r in out], pa.binary())})
+
+    return table.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, "block long, kind int, data binary")
 
 
 def _tails(docs: DataFrame, vocabulary: DataFrame, head: object, buckets: int) -> DataFrame:
-    """block, kind, data: kind 0 describes a block's documents; kind 2 has the rare words' counts of some of its documents."""
+    """block, kind, data: kind 0 describes a block's documents; kind 2 has the counts of the words outside the head of some of its documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
@@ -337,7 +469,7 @@ def _tails(docs: DataFrame, vocabulary: DataFrame, head: object, buckets: int) -
             n = np.array([len(c) for c in codes])
             doc, code = np.repeat(np.arange(len(n)), n), np.concatenate(codes)
             word = h.of(code)
-            rare = word == h.rare
+            rare = word < 0
             base = np.bincount(doc[~rare], logs[word[~rare]], len(n)) + logs[h.end]
             known = np.bincount(doc[~rare], minlength=len(n)) + (h.counts[h.end] > 0)
             held = np.array([crc_mod7(k) == HELD_OUT for k in ids], np.uint8)
@@ -351,11 +483,10 @@ def _tails(docs: DataFrame, vocabulary: DataFrame, head: object, buckets: int) -
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "block", "kind", "data"])
 
     def look(t: pa.Table, v: pa.Table) -> pa.Table:
-        out, h = [], head.value
+        out = []
         code = v.column("h").to_numpy().view(np.uint64) if len(v) else np.zeros(0, np.uint64)
         order = np.argsort(code)
         code, count = code[order], (v.column("c").to_numpy()[order] if len(v) else np.zeros(0, np.int64))
-        rare_mass = np.log10(max(h.counts[h.rare] + RARE_SMOOTH * (h.rare_words + 1), RARE_SMOOTH))
         for block, kind, data in zip(t.column("block").to_pylist(), t.column("kind").to_pylist(), t.column("data").to_pylist(), strict=True):
             if kind == 2:
                 step, wanted = unpack(data, np.uint16, np.uint64)
@@ -365,7 +496,7 @@ def _tails(docs: DataFrame, vocabulary: DataFrame, head: object, buckets: int) -
                     i = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
                     c = np.where(code[i] == wanted, count[i], 0)
                 there = np.unique(doc)
-                sums = [np.bincount(doc, x)[there] for x in (np.log10(c + 1.0), c > 0, np.log10(c + RARE_SMOOTH) - rare_mass)]
+                sums = [np.bincount(doc, x)[there] for x in (np.log10(c + 1.0), c > 0)]
                 data = pack(there.astype(np.uint16), *sums)
             out.append((block, kind, data))
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
@@ -391,10 +522,9 @@ def _summed(parts: DataFrame, head: object) -> DataFrame:
                 doc, s = unpack(x, np.uint16, np.float64)
                 score[doc] += s
             elif k == 2:
-                doc, b, there, s = unpack(x, np.uint16, np.float64, np.float64, np.float64)
+                doc, b, there = unpack(x, np.uint16, np.float64, np.float64)
                 base[doc] += b
                 known[doc] += there
-                score[doc] += s
         base -= n * np.log10(h.tokens + h.distinct + 1.0)
         size = len(n)
         return pa.table({"id": pa.array(ids, mask=none.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(known).astype(np.int64)), "train_tokens": pa.array(np.full(size, h.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
@@ -404,24 +534,28 @@ def _summed(parts: DataFrame, head: object) -> DataFrame:
 
 def scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 18, sweeps: int = 3, burn: int = 1, moves: int = 3, discounts: tuple[float, float] = (0.5, 0.75), strengths: tuple[float, float] = (1.0, 1.0), bucket_tokens: int = 3_000_000) -> DataFrame:
     """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (of the text, by token)."""
-    if most_words > (1 << BITS) - 2:
-        raise ValueError("word ids have 20 bits")
+    if most_words > MOST_WORDS - 2:
+        raise ValueError("the broadcast of frequent words is bounded")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     vocabulary = written(_word_counts(docs), "lm-words")
     h = _head(vocabulary, most_words)
     head = spark.sparkContext.broadcast(h)
     buckets = max(min(parallelism(spark), 24), -(-h.tokens // bucket_tokens))
-    table = written(_gathered(_pairs(docs, head, buckets)), "lm-pairs")
+    table = written(_gathered(_pairs(docs, head, buckets), h.first), "lm-pairs")
+    parts = max(min(parallelism(spark), 24), -(-h.other_words // PART_WORDS))
     contexts = h.counts.astype(np.float64)
-    state = Restaurants((contexts + 1) / (contexts + 1).sum(), contexts**0.8)
-    samples = []
+    everything = h.tokens + h.distinct + 1.0
+    states = [Restaurants((contexts + 1) / everything, contexts**0.8, (h.other_tokens + h.other_words + 1) / (h.other_words + 1) / everything)]
+    told = [spark.createDataFrame([], "bucket int, part int, data binary")]
     for k in range(sweeps):
-        by_word, by_context = _sweep(table, k, state, discounts[1], strengths[1], moves)
-        after = Restaurants(_parent(by_word, discounts[0], strengths[0], k, moves), by_context.astype(np.float64))
-        if k >= burn:
-            samples.append((k, state, after))
-        state = after
-    parts = _scored(table, samples, contexts, discounts[1], strengths[1], moves).unionByName(_tails(docs, vocabulary, head, buckets))
+        swept = _sweep(table, k, states[k], told[k], parts, discounts[1], strengths[1], moves)
+        by_word, by_context = _frequent(swept, h.first)
+        parent, other, words_told = _parent(by_word, _others(swept), h.places, discounts[0], strengths[0], k, moves)
+        contexts_told = swept.where("segment = -1").select("bucket", F.col("segment").alias("part"), "data")
+        states.append(Restaurants(parent, by_context.astype(np.float64), other))
+        told.append(written(words_told.unionByName(contexts_told), "lm-told"))
+    scored = _scored(table, list(range(burn, sweeps)), states, told, contexts, parts, discounts[1], strengths[1], moves)
+    parts = scored.unionByName(_tails(docs, vocabulary, head, buckets))
     out = _summed(parts, head)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -116,6 +116,20 @@ def test_predictive_distribution_sums_to_one():
     assert abs(p.sum() - 1) < 1e-9 and u < size
 
 
+def test_words_outside_the_broadcast_have_their_own_contexts(spark):
+    """`key` words tell which of their two words follows; with a broadcast of three words they are all outside of it."""
+    rng = random.Random(4)
+    follow = {f"key{i}": f"val{rng.randrange(40)}" for i in range(60)}
+    texts = [" ".join(f"{k} {follow[k]} the of and" for k in rng.choices(sorted(follow), k=30)) for _ in range(120)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    few, many = ({r["doc_id"]: r for r in pitman_yor.scores(docs, most_words=n).collect()} for n in (3, 1 << 18))
+    held = [i for i, r in many.items() if r["held_out"]]
+    a, b = (sum(x[i]["score"] for i in held) for x in (few, many))
+    assert len(held) > 5 and abs(a - b) < 0.02 * abs(b)
+    tokens = sum(many[i]["n_tokens"] for i in held)
+    assert a / tokens > -0.5  # only the choice of one of 60 keys is open, once in five words
+
+
 def test_scores_awkward(spark, awkward, empty):
     got = pitman_yor.scores(awkward).collect()
     assert len(got) == len(AWKWARD) and all(math.isfinite(r["score"]) for r in got)
