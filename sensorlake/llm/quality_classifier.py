@@ -2,23 +2,26 @@
 
 1. Each document becomes two short feature vectors, written once: its content (shares of character classes and of their
    pairs, word statistics) and its metadata (language, source, length band). Rounds read these, not the texts.
-2. Both views are fitted on a sample of labelled documents of at most `most_labelled`, chosen by hash of the id. In each round each
-   view labels the `per_round` unlabelled documents of each class that it is surest of, among all documents with
-   a calibrated probability of at least `confident`; the other view trains on these too.
+2. Both views are fitted on a sample of labelled documents of at most `most_labelled`, chosen by hash of the id. The pool has one
+   unlabelled document of each text vector. In each round each view labels about a `share` of the pool, `per_round` documents
+   at least, of each class, among those with a calibrated probability of at least `confident` that no view has labelled
+   before; the other view trains on these too, by sums over them that Spark adds up. The text view takes the documents it is surest
+   of; the metadata view, whose vectors are shared by many documents, takes as evenly from all of them as their numbers allow.
 3. A fifth of the labelled sample is never trained on: it calibrates each view, and then the weights that combine them.
 4. All documents are scored by the combined, calibrated views.
 
 Defined results: labels that contradict each other count as low quality; without labels of both classes every document
 gets the share of good labels (1 without labels); null texts have the features of the empty text and null metadata are
 a value of their own; repeated rows get a score each; empty tables give no rows; other columns are ignored. Pseudo-label
-ties go by hash of the id, then the id; rows with a null id are scored, not learned from.
+ties go by hash of the text vector; rows with a null id are scored, not learned from.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -90,15 +93,25 @@ class Linear:
         return self.a * (((x - self.mean) / self.scale) @ self.weights + self.bias) + self.b
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> tuple[np.ndarray, float]:
+def _gradient(x1: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
+    return (x1 * (p * (1 - p))[:, None]).T @ x1, x1.T @ (p - y)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, more: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, float]:
+    """more: curvature and gradient of further rows, given the weights."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x1.shape[1])
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (p * (1 - p))[:, None]).T @ x1 + np.diag(penalty)
-        w = w - np.linalg.solve(h, x1.T @ (p - y) + penalty * w)
+        h, g = _gradient(x1, y, w)
+        if more is not None:
+            h, g = (a + b for a, b in zip((h, g), more(w), strict=True))
+        step = np.linalg.solve(h + np.diag(penalty), g + penalty * w)
+        w = w - step
+        if more is not None and np.abs(step).max() < 1e-6:
+            break
     return w[:-1], float(w[-1])
 
 
@@ -108,9 +121,39 @@ def _smooth(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarray) -> Linear:
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-    w, b = _newton((x - mean) / scale, y, ridge=1.0)
+def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | float:
+    """The sums of an array over all taught rows: one array comes from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                got = sums(_arrays(batch, name, width), batch.column(batch.schema.get_field_index("y")).to_numpy().astype(np.float64))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], ["data", "shape"])
+
+    rows = taught.select(name, "y").mapInArrow(run, "data binary, shape array<int>").collect()
+    return sum((np.frombuffer(r["data"], np.float64).reshape(r["shape"]) for r in rows), 0.0)
+
+
+def fit_linear(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarray, taught: DataFrame | None = None, name: str = "t") -> Linear:
+    """taught: pseudo-labelled rows with the view's vector as `name`, and y."""
+    width = x.shape[1]
+    moments = np.array([np.full(width, len(x)), x.sum(axis=0), (x * x).sum(axis=0)])
+    if taught is not None:
+        moments = moments + _summed(taught, name, width, lambda x, y: np.array([np.full(x.shape[1], float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)]))
+    mean = moments[1] / moments[0]
+    scale = np.maximum(np.sqrt(np.maximum(moments[2] / moments[0] - mean * mean, 0)), 1e-3)
+
+    def more(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.column_stack(_gradient(np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), y, w))
+
+        got = _summed(taught, name, width, sums)
+        return (got[:, :-1], got[:, -1]) if isinstance(got, np.ndarray) else (0.0, 0.0)
+
+    w, b = _newton((x - mean) / scale, y, ridge=1.0, more=None if taught is None else more)
     view = Linear(mean, scale, w, b)
     a, shift = _newton(view.logit(x_cal)[:, None], _smooth(y_cal), ridge=1e-3)
     view.a, view.b = (float(a[0]), shift) if a[0] > 0 else (0.0, float(np.log((y_cal.mean() + 1e-3) / (1 - y_cal.mean() + 1e-3))))
@@ -150,9 +193,21 @@ def features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(make, "_id long, t binary, m binary")
 
 
-def _surest(table: DataFrame, known: DataFrame, view: Linear, name: str, width: int, confident: float, per_round: int) -> list[tuple[bytes, bytes, int]]:
-    """The features of the unlabelled documents that a view is surest of, per_round of each class at most."""
-    given = table.sparkSession.sparkContext.broadcast(view)
+def _shares(groups: list[tuple[object, int]], wanted: int, evenly: bool) -> list[tuple[object, float]]:
+    """What share of each group is taken for about `wanted` rows: whole groups in their order and a part of the last, or as evenly from all as their sizes allow."""
+    out, left = [], wanted
+    if evenly:
+        groups = sorted(groups, key=lambda g: g[1])
+    for i, (key, n) in enumerate(groups):
+        take = min(n, left / (len(groups) - i) if evenly else left)
+        out.append((key, take / n))
+        left -= take
+    return [x for x in out if x[1] > 0]
+
+
+def _surest(pool: DataFrame, before: DataFrame | None, view: Linear, name: str, width: int, confident: float, wanted: int) -> DataFrame:
+    """_id, t, m, y, written once: about `wanted` rows of each class that a view is sure of, and that are not among those taken before."""
+    given = pool.sparkSession.sparkContext.broadcast(view)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,12 +216,17 @@ def _surest(table: DataFrame, known: DataFrame, view: Linear, name: str, width:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], ["_id", "t", "m", "z"])
 
     edge = float(np.log(confident / (1 - confident)))
-    scored = table.mapInArrow(score, "_id long, t binary, m binary, z double").where(F.abs("z") >= edge).join(F.broadcast(known), "_id", "left_anti")
-    out = []
-    for sign in (1, -1):
-        rows = scored.where(F.col("z") * sign > 0).orderBy(F.desc(F.abs(F.round("z", 6))), F.xxhash64("_id"), "_id").limit(per_round).collect()
-        out += [(bytes(r["t"]), bytes(r["m"]), int(sign > 0)) for r in rows]
-    return out
+    sure = pool.mapInArrow(score, "_id long, t binary, m binary, z double").where(F.abs("z") >= edge)
+    if before is not None:
+        sure = sure.join(before.select("_id"), "_id", "left_anti")
+    # A metadata vector is a group of its own; there are SOURCES x LANGS x BANDS of them at most.
+    group = F.xxhash64("m") if name == "m" else F.floor(F.least(F.abs("z"), F.lit(1000.0)) * 256)
+    sure = sure.select("_id", "t", "m", (F.col("z") > 0).cast("int").alias("y"), group.alias("g"))
+    counts = sure.groupBy("y", "g").count().orderBy("y", F.desc("g")).collect()
+    shares = [(y, g, share) for y in (0, 1) for g, share in _shares([(r["g"], r["count"]) for r in counts if r["y"] == y], wanted, name == "m")]
+    shares = pool.sparkSession.createDataFrame(shares, "y int, g long, share double")
+    place = F.pmod(F.xxhash64("t", F.lit("place")), F.lit(1 << 30)) / float(1 << 30)
+    return written(sure.join(F.broadcast(shares), ["y", "g"]).where(place < F.col("share")).select("_id", "t", "m", "y"), "quality-taught")
 
 
 def _sourced(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,10 +234,11 @@ def _sourced(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), has("lang", "string").alias("_lang"), has("source", "string").alias("_source"), has("n_chars", "long").alias("_n"))
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rounds: int = 3, per_round: int = 500, confident: float = 0.95, most_labelled: int = 20_000) -> tuple[Model, DataFrame]:
+def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rounds: int = 3, per_round: int = 500, share: float = 0.02, confident: float = 0.95, most_labelled: int = 20_000) -> tuple[Model, DataFrame]:
     """The model, and the features of all documents, written once."""
     table = written(features(_sourced(df, id_col, text_col)), "quality-features")
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
+    labelled = y.select("_id")
     y = y.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
     y = written(y.withColumn("cal", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(5)) == 0), "quality-labels")  # at most most_labelled rows
     rows = table.join(F.broadcast(y), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
@@ -188,18 +249,22 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     if len(set(target[cal])) < 2 or len(set(target[~cal])) < 2:
         return Model(None, None, (0.0, 0.0, 0.0), good), table
     target = (target > 0).astype(np.float64)
-    more_t: list[tuple[bytes, bytes, int]] = []  # what the metadata view teaches the text view, and the other way round
-    more_m: list[tuple[bytes, bytes, int]] = []
+    first = F.min(F.struct(F.xxhash64("_id"), "_id", "m")).alias("s")
+    pool = written(table.where("_id IS NOT NULL").join(labelled, "_id", "left_anti").groupBy("t").agg(first).select("s._id", "t", "s.m"), "quality-pool")
+    wanted = max(per_round, int(share * pool.count()))
+    taught: dict[str, list[DataFrame]] = {"t": [], "m": []}  # what the metadata view teaches the text view, and the other way round
+
+    def together(tables: list[DataFrame]) -> DataFrame | None:
+        return reduce(DataFrame.unionByName, tables) if tables else None
 
-    def fitted(x: np.ndarray, more: list, place: int, width: int) -> Linear:
-        extra = np.frombuffer(b"".join(r[place] for r in more), np.float16).reshape(-1, width).astype(np.float64)
-        return fit_linear(np.vstack([x[~cal], extra]), np.concatenate([target[~cal], [r[2] for r in more]]), x[cal], target[cal])
+    def fitted(x: np.ndarray, name: str) -> Linear:
+        return fit_linear(x[~cal], target[~cal], x[cal], target[cal], together(taught[name]), name)
 
-    text, meta = fitted(t, more_t, 0, TEXT), fitted(m, more_m, 1, META)
+    text, meta = fitted(t, "t"), fitted(m, "m")
     for _ in range(rounds):
-        more_m += _surest(table, y.select("_id"), text, "t", TEXT, confident, per_round)
-        more_t += _surest(table, y.select("_id"), meta, "m", META, confident, per_round)
-        text, meta = fitted(t, more_t, 0, TEXT), fitted(m, more_m, 1, META)
+        for view, name, other, width in ((text, "t", "m", TEXT), (meta, "m", "t", META)):
+            taught[other].append(_surest(pool, together(taught["t"] + taught["m"]), view, name, width, confident, wanted))
+        text, meta = fitted(t, "t"), fitted(m, "m")
     both = np.column_stack([text.logit(t[cal]), meta.logit(m[cal])])
     w, b = _newton(both, _smooth(target[cal]), ridge=0.1)
     return Model(text, meta, (float(w[0]), float(w[1]), b), good), table

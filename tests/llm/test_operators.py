@@ -70,6 +70,21 @@ def test_classifier_awkward(spark, awkward, empty):
     assert quality_classifier.keep_good(awkward, labels.limit(0)).columns == awkward.columns
 
 
+def test_pseudo_labels_are_new_texts_from_many_cells_and_follow_the_input(spark, documents, monkeypatch):
+    """With a text of many copies and a source of most documents; every round teaches other texts."""
+    copies = documents.limit(1).crossJoin(spark.range(900)).withColumn("doc_id", F.col("id") + 1_000_000).drop("id")
+    many = documents.crossJoin(spark.range(12)).withColumns({"doc_id": F.col("doc_id") * 12 + F.col("id"), "text": F.concat("text", F.repeat(F.lit(" more"), F.col("id").cast("int")))}).drop("id")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("doc_id", F.col("doc_id") * 12)
+    taught, surest = [], quality_classifier._surest
+    monkeypatch.setattr(quality_classifier, "_surest", lambda *a: taught.append(surest(*a)) or taught[-1])
+    quality_classifier.fit(many.unionByName(copies), labels, per_round=5, share=0.05, confident=0.6)
+    rows = [[(bytes(r["t"]), bytes(r["m"])) for r in x.collect()] for x in taught]
+    texts = [t for x in rows for t, _ in x]
+    assert len(rows) == 6 and len(texts) == len(set(texts)) and len(rows[0]) > 50
+    cells = Counter(m for _, m in rows[1])
+    assert len(cells) > 3 and max(cells.values()) < len(rows[1]) / 2
+
+
 # 2 language model
 
 
