@@ -159,7 +159,7 @@ def join_18(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = frame(spark, sf_dir).select("band", "line").distinct()
     n = fine.groupBy("band").agg((F.max("line") + 1).alias("n"))
     group = n.select("band", "n", F.floor(F.col("n") / (1 + F.col("band") % 3)).cast("int").alias("m"))
-    return validity.line_stride(fine, group, BAND).where("line < 600").select("band", "line", "fine_line")
+    return validity.line_stride(fine, group, BAND).select("band", "line", "fine_line")
 
 
 _DRIFT = "o AS (SELECT band, line + band % 3 AS line, col, dn FROM frame), sh AS (SELECT f.band, s, corr(CAST(f.dn AS DOUBLE), CAST(o.dn AS DOUBLE)) AS cc FROM frame f, range(-4, 5) r(s) JOIN o ON o.band = f.band AND o.line = f.line + s AND o.col = f.col GROUP BY f.band, s)"

@@ -58,6 +58,15 @@ def test_crosstalk_only_between_equal_shapes(spark):
     assert values(out.where("band = 3")) == [500.0]
 
 
+def test_line_stride_keeps_all_lines_of_long_frames(spark, tmp_path):
+    from sensorlake.plans.joins import join_18
+
+    long = spark.range(3000).select(F.col("id").alias("vec_id"), (F.col("id") % 2).cast("int").alias("label"), F.array(F.lit(0.1).cast("float")).alias("embedding"))
+    long.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["band"]: (r["n"], r["last"]) for r in join_18(spark, str(tmp_path)).groupBy("band").agg(F.count("*").alias("n"), F.max("fine_line").alias("last")).collect()}
+    assert got == {0: (1500, 1499), 1: (750, 1498)}
+
+
 def test_blind_columns_come_back(spark):
     blind = spark.createDataFrame([(1, 0), (1, 3)], "band int, col int")
     p = pixels(spark, [[7, 8]])
