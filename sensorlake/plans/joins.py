@@ -62,6 +62,25 @@ def join_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.uniform_crosstalk(frame(spark, sf_dir).where("line < 40"), ["detector"], 0.002).select("band", "line", "col", steady("dn").alias("dn"))
 
 
+def shaped(f: DataFrame) -> DataFrame:
+    return f.join(F.broadcast(f.groupBy("detector", "band").agg((F.max("line") + 1).alias("h"), (F.max("col") + 1).alias("w"))), ["detector", "band"])
+
+
+_SHAPED = "sh AS (SELECT band, max(line) + 1 AS h, max(col) + 1 AS w FROM frame GROUP BY band), fs AS (SELECT * FROM frame JOIN sh USING (band)), cw AS (SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, ((k * 3 + l) % 5) / 1000.0::DOUBLE AS coef FROM range(10) a(k), range(10) b(l) WHERE k <> l)"
+
+
+@query("join_05_crosstalk_all_lines", sql(FRAME, _SHAPED, "SELECT f.band, f.line, f.col, round(any_value(f.dn) + coalesce(sum(coef * g.dn), 0), 6) AS dn FROM fs f LEFT JOIN (SELECT * FROM cw JOIN fs ON fs.band = l) g ON g.k = f.band AND g.h = f.h AND g.w = f.w AND g.line = f.line AND g.col = f.col GROUP BY f.band, f.line, f.col"))
+def join_05_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole frames; as in the source, only bands of equal shape mix."""
+    matrix = spark.range(100).select((F.col("id") / 10).cast("int").alias("k"), (F.col("id") % 10).cast("int").alias("l")).where("k <> l").withColumn("coef", ((F.col("k") * 3 + F.col("l")) % 5) / 1000.0)
+    return resample.crosstalk(frame(spark, sf_dir), matrix, ["detector"]).select("band", "line", "col", steady("dn").alias("dn"))
+
+
+@query("join_06_uniform_crosstalk_all_lines", sql(FRAME, _SHAPED, "SELECT band, line, col, round(dn + 0.002::DOUBLE * (sum(dn) OVER (PARTITION BY h, w, line, col) - dn), 6) AS dn FROM fs"))
+def join_06_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.uniform_crosstalk(shaped(frame(spark, sf_dir)), ["detector", "h", "w"], 0.002).select("band", "line", "col", steady("dn").alias("dn"))
+
+
 @query("join_07_framing_compare", sql(FRAME, "o AS (SELECT band, line - (band % 4) AS line, col, dn + col % 3 AS dn FROM frame WHERE line >= band % 4)", "d AS (SELECT f.band, CAST(f.dn - o.dn AS DOUBLE) AS d FROM frame f JOIN o USING (band, line, col))", "SELECT band, count(*) AS n, round(quantile_cont(abs(d), 0.5), 6) AS median_abs, round(sqrt(avg(d * d)), 6) AS rmse FROM d GROUP BY band"))
 def join_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     begin = spark.range(10).select(F.col("id").cast("int").alias("band"), (F.col("id") % 4).cast("int").alias("begin")).where("begin > 0")

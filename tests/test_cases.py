@@ -67,6 +67,20 @@ def test_line_stride_keeps_all_lines_of_long_frames(spark, tmp_path):
     assert got == {0: (1500, 1499), 1: (750, 1498)}
 
 
+def test_all_lines_of_crosstalk_and_composite(spark):
+    from conftest import SF
+
+    from sensorlake.fixtures import frame
+    from sensorlake.plans.registry import QUERIES, load_all
+
+    load_all()
+    f = frame(spark, SF)
+    for name in ("join_05_crosstalk_all_lines", "join_06_uniform_crosstalk_all_lines"):
+        assert QUERIES[name](spark, SF).count() == f.count()
+    last = f.where("band IN (2, 3, 4)").agg(F.max("line")).first()[0]
+    assert last > 40 and QUERIES["res_05_composite_all_lines"](spark, SF).agg(F.max("line")).first()[0] == last // 2
+
+
 def test_blind_columns_come_back(spark):
     blind = spark.createDataFrame([(1, 0), (1, 3)], "band int, col int")
     p = pixels(spark, [[7, 8]])
