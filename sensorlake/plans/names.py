@@ -210,6 +210,18 @@ def top_01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.row_number().over(Window.orderBy("name", "o_orderkey")).alias("place"), "name", "o_orderkey")
 
 
+@query("top_01_ordered_listing_whole", sql(NAMES, "SELECT row_number() OVER (ORDER BY name, o_orderkey) AS place, name, o_orderkey FROM pn"))
+def top_01_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names in order. A range is a kind and a month, the first 16 characters; only the counts of ranges are summed in one place."""
+    from pyspark.sql import Window
+
+    n = product_names(spark, sf_dir).select("name", "o_orderkey", F.substring("name", 1, 16).alias("range"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = n.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("name", "o_orderkey")) + F.col("offset")
+    return n.join(F.broadcast(offsets), "range").select(place.cast("long").alias("place"), "name", "o_orderkey").orderBy("place")
+
+
 @query("top_03_newest", sql(NAMES, "SELECT kind, arg_max(name, strftime(o_orderdate, '%Y%m%d') || name) AS newest FROM pn GROUP BY kind"))
 def top_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_names(spark, sf_dir).groupBy("kind").agg(F.max_by("name", F.struct("o_orderdate", "name")).alias("newest"))

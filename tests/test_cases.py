@@ -81,6 +81,18 @@ def test_all_lines_of_crosstalk_and_composite(spark):
     assert last > 40 and QUERIES["res_05_composite_all_lines"](spark, SF).agg(F.max("line")).first()[0] == last // 2
 
 
+def test_whole_listing_has_a_place_for_every_name(spark):
+    from conftest import SF
+
+    from sensorlake.fixtures import product_names
+    from sensorlake.plans.registry import QUERIES, load_all
+
+    load_all()
+    rows = QUERIES["top_01_ordered_listing_whole"](spark, SF).collect()
+    assert [r["place"] for r in rows] == list(range(1, product_names(spark, SF).count() + 1))
+    assert [r["name"] for r in rows] == sorted(r["name"] for r in rows)
+
+
 def test_blind_columns_come_back(spark):
     blind = spark.createDataFrame([(1, 0), (1, 3)], "band int, col int")
     p = pixels(spark, [[7, 8]])
