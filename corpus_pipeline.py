@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scans.scan_all(docs)
+    found = secret_scans.scan_all(docs, rules=secret_scans.REDACTED)
     clean = found.withColumn("_clean", secret_scans.redacted("text", "_spans"))
     n_chars = F.when(F.size("_spans") > 0, F.char_length("_clean").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).withColumn("text", F.col("_clean")).select(docs.columns)

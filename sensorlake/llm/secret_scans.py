@@ -44,6 +44,10 @@ RULES = [
     SecretRule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 4),
     SecretRule("hub_token", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 5),
 ]
+# A whole key: from its first line to its last, or to the end of its base64 lines where the last is missing.
+KEY = r"-----BEGIN [A-Za-z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*(?:-(?!----)[^-]*){0,20}-----END [A-Za-z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:\s*Proc-Type:[^\n]*\n\s*DEK-Info:[^\n]*\n)?[A-Za-z0-9+/=\\\r\n]*)"
+#: What the pipeline takes out of texts: the rules above, but whole keys.
+REDACTED = [SecretRule("private_key", 2, KEY, r.order) if r.kind == "private_key" else r for r in RULES]
 BASE = ("assign", "access", "hex")
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
 LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"

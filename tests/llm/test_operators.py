@@ -282,6 +282,19 @@ def test_redaction(spark):
     assert got[1] == "é🙂 [SECRET] [SECRET]'"
 
 
+def test_pipeline_leaves_nothing_of_private_keys(spark):
+    import corpus_pipeline
+
+    body = "\n".join(base64.b64encode(bytes(range(k, k + 48))).decode() for k in range(20)) + "\nQUJD"
+    texts = [f"before\n-----BEGIN {k}PRIVATE KEY-----\n{body}\n-----END {k}PRIVATE KEY-----\nafter it" for k in ("", "RSA ", "X25519 ", "Ec ")]
+    texts += [f"before\n-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n-----END RSA PRIVATE KEY-----\nafter it"]
+    texts += [f"before\n-----BEGIN PRIVATE KEY-----\n{body}\n\n- after it", f"before -----BEGIN PRIVATE KEY----- is the mark, {texts[0]}"]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, docs_of(spark, list(enumerate(texts))), SF).select("doc_id", "text").collect()}
+    assert {got[i] for i in range(5)} == {"before\n[SECRET]\nafter it"}
+    assert got[5] == "before\n[SECRET]- after it"
+    assert got[6] == "before [SECRET] is the mark, before\n[SECRET]\nafter it"
+
+
 def test_ledger_scans_only_what_is_new(spark, empty):
     path = common.new_path(spark, "ledger")
     first = docs_of(spark, [(1, SECRETS[0]), (2, SECRETS[0]), (3, SECRETS[2])])
