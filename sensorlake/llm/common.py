@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from sensorlake.sources.shared import new_path
 
@@ -29,6 +30,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """Dealt out by the key and written once to the shared folder as n buckets: groups and joins by the key read it without a shuffle."""
+    path = new_path(df.sparkSession, name)
+    catalog_name = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(n, key).write.option("path", path).bucketBy(n, key).saveAsTable(catalog_name)
+    return df.sparkSession.table(catalog_name)
+
+
+def integer_ids(df: DataFrame, id_col: str) -> Column:
+    """The id as a long. Ids of another kind raise an error, since a cast would turn them into nulls."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"{id_col} must be a whole number, not {kind.simpleString()}")
+    return F.col(id_col).cast("long")
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -5,19 +5,23 @@ Customers of a context restaurant are the pairs seen in training; each table sen
 
 1. Words are counted over all training documents. The state of the most frequent ones (at most `most_words`) is broadcast, as a
    shortcut; every other word has a restaurant and a place in the parent too, which are joined by its hash.
-2. Pairs of every document are dealt out into buckets whose number follows the token count: by a hash of the pair if the context is
-   frequent, so that it is spread over all of them, and by the hash of the context otherwise, so that its restaurant is in one
-   bucket. A frequent pair counts once a document.
-3. A sweep seats the customers of each pair, given the parent's distribution and each context's tables of the sweep before: a first
-   seating by expected or sequential table counts, then `moves` Gibbs moves in which a random customer of every pair leaves and is
-   seated anew. The tables of all pairs are summed into the parent, which is seated likewise. Buckets of one sweep
-   run side by side with the sums of the sweep before. The parent's words outside the broadcast are dealt out by hash into parts,
-   which send each bucket the probabilities of just its words. Seeds come from the bucket and the sweep, so a repeated task seats alike.
-4. After `burn` sweeps each sweep gives a predictive probability of every pair; their average scores all documents.
+2. Texts are read once more; their pairs are dealt out into buckets, whose number follows the token count, and written as a table
+   bucketed by them: by a hash of the pair if the context is frequent, so that it is spread over all buckets, and by the hash of the
+   context otherwise, so that its restaurant is in one bucket. A row holds the pairs of one block of documents in one bucket.
+3. In a sweep every customer of every pair leaves and is seated anew (seating.draw), given the tables of the other dishes of
+   its restaurant and the parent; pairs seen once sit at one table always. Seatings are written and the next sweep goes on from them. A bucket
+   makes `sweeps` sweeps a round with its own changes in sight, the pairs of a context in four turns; buckets of one round run side
+   by side with each other's tables of the round before. Then the tables of all pairs are summed into the parent, which is
+   seated likewise: the frequent words in segments, the others in parts by hash. Discounts are fitted to the pairs (n1 / (n1 + 2 n2)).
+   Seeds come from bucket and sweep, so a repeated task seats alike.
+4. After `burn` rounds the tables of every sweep and the parent's probabilities of every round are averaged; the predictive probabilities from these
+   averages score all documents. They sum to one over the words of a context and the one place for all words never seen.
+
+Where a document's words stand as contexts their counts are at hand, each once a document's pair; so the base score is summed there too.
 
 Defined results: null and empty texts have one token, the end; a null id trains like the text ''; repeated rows count and
 are scored each; without training documents scores come from the uniform base; an empty table gives no rows; other
-columns are ignored. Words are told apart by 64-bit hashes. Words never trained on share one place of the parent's base.
+columns are ignored; ids must be whole numbers (text ids raise an error). Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,16 +32,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import crc_mod7, mix, parallelism, word_codes, words, written
+from sensorlake.llm.common import bucketed, crc_mod7, integer_ids, mix, parallelism, word_codes, words, written
+from sensorlake.llm.seating import draw
 
 HELD_OUT = 2
 MOST_WORDS = 1 << 20  # of a broadcast
 BLOCK_BITS, BITS = 26, 32  # of a word's number in a block and in a bucket
-SEGMENTS = 64
-PART_WORDS = 1_000_000
+SEGMENTS = 16
+PART_WORDS = 250_000
+TURNS = 4
+ROW = "kind string, bucket int, part int, data binary, customers long, tables long"
 
 
 @dataclass
@@ -73,15 +80,6 @@ class Head:
         return np.where(self.hashes[i] == codes, self.ids[i], -1)
 
 
-@dataclass
-class Restaurants:
-    """What a sweep hands on of the frequent words: the parent's distribution and the tables of each context; and the probability of any other word of which a bucket was told nothing."""
-
-    parent: np.ndarray
-    tables: np.ndarray
-    other: float
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes, the first, second, ... bytes of all values together, compressed."""
     parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.int64).tobytes()]
@@ -169,14 +167,14 @@ def _renumbered(numbers: np.ndarray, first: int, hashes: np.ndarray) -> tuple[np
 
 
 def _pairs(docs: DataFrame, head: object, buckets: int) -> DataFrame:
-    """bucket, block, others, data: distinct (document, context, word) of a block with how often, which documents are held out, and the hashes of contexts and words that are not in the head."""
+    """bucket, block, others, data: distinct (document, context, word) of a block with how often, which documents are held out, and the hashes of contexts and words that are not in the head; others is null in one row a block that describes its documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
         frequent = np.zeros(h.first, np.uint64)
         frequent[h.ids] = h.hashes
         for block, ids, codes in _blocks(batches):
-            n = np.array([len(c) for c in codes])
+            n = np.array([len(c) for c in codes], np.int64)
             last = np.cumsum(n + 1) - 1
             w = np.full(int(n.sum()) + len(n), h.end, np.int64)
             inner = np.ones(len(w), bool)
@@ -197,7 +195,8 @@ def _pairs(docs: DataFrame, head: object, buckets: int) -> DataFrame:
             bucket = (np.where(u < h.first, mix(context + code[w]), context) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = []
+            none = np.array([k is None for k in ids], np.uint8)
+            rows = [(int(block % buckets), None, pack(np.array([k or 0 for k in ids], np.int64), none, held, n + 1))]
             for b, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if e > s:
                     i = order[s:e]
@@ -220,342 +219,360 @@ def _entries(data: bytes, first: int, places: tuple[np.ndarray, np.ndarray]) ->
     return doc, (numbers[0] << BITS) | numbers[1], times.astype(np.int64), np.unpackbits(held)[doc].astype(bool)
 
 
-def _gathered(pairs: DataFrame, first: int) -> DataFrame:
-    """One row a bucket: counts (the distinct pairs of training documents and how often), others (sorted hashes of its other contexts and words), blocks, places and data."""
+def _contexts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return pair >> BITS, pair & ((1 << BITS) - 1)
+
+
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((mix(hashes) >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
+
 
-    def gather(t: pa.Table) -> pa.Table:
-        blocks, data = t.column("block").to_pylist(), t.column("data").to_pylist()
-        own = [unpack(x, np.uint64, np.uint64) for x in t.column("others").to_pylist()]
-        others = [np.unique(np.concatenate([x[k] for x in own])) for k in (0, 1)]
-        places = [[np.searchsorted(others[k], x[k]).astype(np.uint32) for k in (0, 1)] for x in own]
-        order = np.argsort(np.array(blocks), kind="stable").tolist()
+class Bucket:
+    """The pairs of a bucket: its other contexts and words (sorted hashes), training pairs and how often, and the entries by block."""
+
+    def __init__(self, t: pa.Table, first: int):
+        rows = sorted((b, o, x) for b, o, x in zip(*(t.column(c).to_pylist() for c in ("block", "others", "data")), strict=True) if o is not None)
+        self.first, self.blocks = first, [b for b, _, _ in rows]
+        own = [unpack(o, np.uint64, np.uint64) for _, o, _ in rows]
+        self.contexts, self.words = ([np.unique(np.concatenate([x[k] for x in own])) for k in (0, 1)]) if own else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        self.packed = [x for _, _, x in rows]
+        self.places = [[np.searchsorted(all_, x).astype(np.uint32) for all_, x in zip((self.contexts, self.words), both, strict=True)] for both in own]
         pair, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(order), 64):
-            got = [_entries(data[i], first, places[i]) for i in order[at : at + 64]]
-            p, back = np.unique(np.concatenate([pair, *(x[1][~x[3]] for x in got)]), return_inverse=True)
-            count = np.bincount(back, np.concatenate([count, *(x[2][~x[3]] for x in got)]), len(p)).astype(np.int64)
-            pair = p
-        step = np.diff(pair, prepend=0).astype(np.uint64)
-        many = lambda values: pa.array([[values[i] for i in order]], pa.list_(pa.binary()))
-        return pa.table({"bucket": t.column("bucket").slice(0, 1), "counts": pa.array([pack(step, count.astype(np.uint64))], pa.binary()), "others": pa.array([pack(*others)], pa.binary()), "blocks": pa.array([[blocks[i] for i in order]], pa.list_(pa.int64())), "places": many([pack(*x) for x in places]), "data": many(data)})
-
-    return pairs.groupBy("bucket").applyInArrow(gather, "bucket int, counts binary, others binary, blocks array<long>, places array<binary>, data array<binary>")
-
-
-def seat(c: np.ndarray, a: np.ndarray, d: float, moves: int, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish: c customers, a = (strength + d * tables of its restaurant) * probability of the dish in the parent."""
-    t = np.minimum(c, 1)
-    more = np.flatnonzero(c > 1)
-    if not len(more):
-        return t
-    c, a = c[more], np.maximum(a[more], 1e-12)
-    now = np.maximum(1, np.minimum(c, np.rint(a * np.log1p(c / a)))).astype(np.int64)
-    small = np.flatnonzero(c <= 64)
-    now[small] = 1
-    for i in range(1, int(c[small].max()) if len(small) else 1):  # customers one by one
-        small = small[c[small] > i]
-        now[small] += rng.random(len(small)) * (i - d * now[small] + a[small]) < a[small]
-    room = np.minimum(c, now + moves)  # table places of a dish
-    begin = np.concatenate([[0], np.cumsum(room)[:-1]])
-    place = np.arange(room.sum()) - np.repeat(begin, room)
-    # First sizes fall off as a power; what is left over sits at the first table.
-    size = np.where(place < np.repeat(now, room), 1, 0)
-    share = np.where(size > 0, (place + 1.0) ** (-1 / max(d, 0.1)), 0.0)
-    spare = np.repeat((c - now) / np.maximum(np.add.reduceat(share, begin), 1e-300), room)
-    size = size + np.floor(share * spare).astype(np.int64)
-    size[begin] += c - np.add.reduceat(size, begin)
-    for _ in range(moves):
-        ends = np.cumsum(size)
-        first = np.concatenate([[0], ends[begin[1:] - 1]])
-        out = np.searchsorted(ends, first + (rng.random(len(c)) * c).astype(np.int64), side="right")
-        size[out] -= 1
-        gone = size[out] == 0
-        now -= gone
-        weight = (c - 1) - d * now
-        x = rng.random(len(c)) * (weight + a)
-        new = (x >= weight) | (now == 0)
-        empty = np.minimum.reduceat(np.where(size == 0, np.arange(len(size)), len(size)), begin)  # each dish's first free place
-        slot = np.where(gone, out, np.minimum(empty, len(size) - 1))
-        stay = np.flatnonzero(~new)
-        left = np.cumsum(np.where(size > 0, size - d, 0.0))
-        base = np.concatenate([[0.0], left[begin[1:] - 1]])
-        pick = np.minimum(np.maximum(np.searchsorted(left, base[stay] + x[stay], side="right"), begin[stay]), begin[stay] + room[stay] - 1)
-        bad = size[pick] == 0  # rounding at a dish's edge: the customer sits down where it was
-        slot[stay] = np.where(bad, out[stay], pick)
-        now += new
-        now[stay] += bad & gone[stay]
-        size[slot] += 1
-    t[more] = now
-    return t
+        for at in range(0, len(rows), 64):
+            got = [self.entries(i) for i in range(at, min(len(rows), at + 64))]
+            pair, back = np.unique(np.concatenate([pair, *(x[1][~x[3]] for x in got)]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([count, *(x[2][~x[3]] for x in got)]), len(pair)).astype(np.int64)
+        self.pair, self.count = pair, count
 
+    def entries(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return _entries(self.packed[i], self.first, self.places[i])
 
-def _contexts(pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return pair >> BITS, pair & ((1 << BITS) - 1)
+    def size(self, other: np.ndarray) -> int:
+        return self.first + len(other)
 
 
-@dataclass
-class Bucket:
-    """The training pairs of a bucket and how often, and the hashes of its contexts and words that are not in the head."""
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(("kind", "bucket", "part", "data", "customers", "tables"), kinds, strict=True))})
 
-    bucket: int
-    first: int
-    pair: np.ndarray
-    count: np.ndarray
-    contexts: np.ndarray
-    words: np.ndarray
-
-    @classmethod
-    def of(cls, bucket: int, first: int, counts: bytes, others: bytes) -> Bucket:
-        step, c = unpack(counts, np.uint64, np.uint64)
-        return cls(bucket, first, np.cumsum(step.astype(np.int64)), c.astype(np.int64), *unpack(others, np.uint64, np.uint64))
-
-    def customers(self) -> np.ndarray:
-        """Of its other contexts: all their pairs are here."""
-        u = _contexts(self.pair)[0]
-        other = u >= self.first
-        return np.bincount(u[other] - self.first, self.count[other], len(self.contexts))
-
-    def whole(self, state: Restaurants, told: list[tuple[int, bytes]], parts: int) -> Restaurants:
-        """The state with this bucket's other words (part, probabilities) and contexts (-1, tables) after the frequent ones."""
-        parent, tables = np.full(len(self.words), state.other), self.customers() ** 0.8
-        part = _part(self.words, parts)
-        for k, data in told:
-            if k < 0:
-                tables = unpack(data, np.int64)[0].astype(np.float64)
-            else:
-                parent[part == k] = unpack(data, np.float64)[0]
-        return Restaurants(np.concatenate([state.parent, parent]), np.concatenate([state.tables, tables]), state.other)
-
-    def seated(self, sweep: int, state: Restaurants, d: float, strength: float, moves: int) -> np.ndarray:
-        u, w = _contexts(self.pair)
-        return seat(self.count, (strength + d * state.tables[u]) * state.parent[w], d, moves, np.random.default_rng([self.bucket, sweep]))
 
+def _rows(t: pa.Table, kind: str) -> list[tuple[int, int, bytes]]:
+    """bucket, part, data of the rows of a kind."""
+    got = zip(*(t.column(c).to_pylist() for c in ("kind", "bucket", "part", "data")), strict=True)
+    return sorted((b, p, x) for k, b, p, x in got if k == kind)
 
-def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((mix(hashes) >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
 
+def _edges(size: int) -> list[tuple[int, int]]:
+    e = np.linspace(0, size, SEGMENTS + 1).astype(int).tolist()
+    return list(zip(e[:-1], e[1:], strict=True))
 
-def _sweep(table: DataFrame, sweep: int, state: Restaurants, told: DataFrame, parts: int, d: float, strength: float, moves: int) -> DataFrame:
-    """segment, bucket, data, written once: tables by frequent word and context in segments; by other word in a segment a part, from SEGMENTS on; by other context in segment -1."""
-    size = len(state.parent)
-    given = table.sparkSession.sparkContext.broadcast(state)
-    edges = np.linspace(0, size, SEGMENTS + 1).astype(int).tolist()
 
-    def run(t: pa.Table, s: pa.Table) -> pa.Table:
-        rows = []
-        for bucket, counts, others in zip(*(t.column(c).to_pylist() for c in ("bucket", "counts", "others")), strict=True):
-            x = Bucket.of(bucket, size, counts, others)
-            now = x.whole(given.value, list(zip(s.column("part").to_pylist(), s.column("data").to_pylist(), strict=True)), parts)
-            tables = x.seated(sweep, now, d, strength, moves)
-            u, w = _contexts(x.pair)
-            by_word, by_context = np.bincount(w, tables, len(now.parent)).astype(np.int64), np.bincount(u, tables, len(now.tables)).astype(np.int64)
-            rows += [(k, bucket, pack(by_word[a:e], by_context[a:e])) for k, (a, e) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            part = _part(x.words, parts)
-            rows += [(SEGMENTS + k, bucket, pack(x.words[part == k], by_word[size:][part == k])) for k in np.unique(part).tolist()]
-            rows.append((-1, bucket, pack(by_context[size:])))
-        return pa.table({"segment": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
-
-    out = table.select("bucket", "counts", "others").groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, "segment int, bucket int, data binary")
-    return written(out, "lm-tables")
-
-
-def _frequent(swept: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tables by frequent word and by frequent context, summed over all buckets."""
-    schema = "segment int, salt int, data binary"
+def _seen(table: DataFrame, first: int, parts: int) -> DataFrame:
+    """What the pairs of each bucket give once. static: what its sweeps need of the pairs seen twice or more; word: by part, its other words, in how many pairs they
+    are and in how many of those seen twice or more; head: by segment, pairs by frequent word and by frequent context, of all and of those seen once; counts: how many pairs were seen once and twice."""
 
-    def add(t: pa.Table) -> pa.Table:
-        total = None
-        for x in t.column("data").to_pylist():
-            got = np.stack(unpack(x, np.int64, np.int64))
-            total = got if total is None else total + got
-        return pa.table({"segment": t.column("segment").slice(0, 1), "salt": pa.array([0], pa.int32()), "data": pa.array([pack(*total)], pa.binary())})
+    def run(t: pa.Table) -> pa.Table:
+        x, bucket = Bucket(t, first), t.column("bucket")[0].as_py()
+        u, w = _contexts(x.pair)
+        many = x.count > 1
+        mu, mw = u[many], w[many]
+        ou, ow = np.unique(mu[mu >= first]), np.unique(mw[mw >= first])
+        short = lambda v, there: np.where(v >= first, first + np.searchsorted(there, v), v)
+        single = np.bincount(u[~many], minlength=x.size(x.contexts))[ou]
+        part = _part(x.words, parts)
+        shorter = part[ow - first]
+        key = (short(mu, ou) << BITS) | short(mw, ow)
+        rows = [("static", bucket, -1, pack(np.diff(key, prepend=0).astype(np.uint64), x.count[many].astype(np.uint64), single.astype(np.int64), shorter.astype(np.uint32)), len(u), len(mu))]
+        by_word, by_many = (np.bincount(v, minlength=x.size(x.words)).astype(np.uint32) for v in (w, mw))
+        for k in np.unique(part).tolist():
+            here = np.flatnonzero(part == k) + first
+            rows.append(("word", bucket, k, pack(x.words[here - first], by_word[here], by_many[here]), 0, 0))
+        heads = [*(np.bincount(v, minlength=first)[:first].astype(np.int64) for v in (w, u, w[~many], u[~many]))]
+        rows += [("head", bucket, k, pack(*(v[a:e] for v in heads)), 0, 0) for k, (a, e) in enumerate(_edges(first))]
+        rows.append(("counts", bucket, -1, None, int((x.count == 1).sum()), int((x.count == 2).sum())))
+        return _table(rows)
 
-    rows = swept.where(f"segment >= 0 AND segment < {SEGMENTS}").select("segment", (F.col("bucket") % 64).alias("salt"), "data")
-    parts = rows.groupBy("segment", "salt").applyInArrow(add, schema).groupBy("segment").applyInArrow(add, schema).orderBy("segment").collect()
-    if not parts:
-        return np.zeros(size, np.int64), np.zeros(size, np.int64)
-    got = [unpack(r["data"], np.int64, np.int64) for r in parts]
-    return np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+    return written(table.groupBy("bucket").applyInArrow(run, ROW), "lm-seen")
 
 
-def _others(swept: DataFrame) -> DataFrame:
-    """One row a part, written once: tables of its other words, how many words have some, their sum, and which of the words each bucket has."""
+def _frequent(rows: DataFrame, size: int, arrays: int) -> list[np.ndarray]:
+    """Sums over all buckets of what they give by segment: `arrays` arrays of the frequent words' length."""
 
-    def add(t: pa.Table) -> pa.Table:
-        got = [unpack(x, np.uint64, np.int64) for x in t.column("data").to_pylist()]
-        word, back = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-        tables = np.bincount(back, np.concatenate([x[1] for x in got]), len(word)).astype(np.int64)
-        places = [pack(np.searchsorted(word, x[0]).astype(np.uint32)) for x in got]
-        one = lambda v, kind: pa.array([v], kind)
-        return pa.table({"part": one(t.column("segment")[0].as_py() - SEGMENTS, pa.int32()), "tables": one(pack(tables), pa.binary()), "occupied": one(int((tables > 0).sum()), pa.int64()), "total": one(int(tables.sum()), pa.int64()), "buckets": one(t.column("bucket").to_pylist(), pa.list_(pa.int32())), "places": one(places, pa.list_(pa.binary()))})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, segment = None, None
+        for batch in batches:
+            for s, x in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                got = np.stack(unpack(x, *[np.int64] * arrays))
+                segment, total = s, got if total is None else total + got
+        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(*total)], pa.binary())], ["part", "salt", "data"])
+
+    schema = "part int, salt int, data binary"
+    dealt = rows.where("kind = 'head'").select("part", (F.col("bucket") % 64).alias("salt"), "data")
+    got = dealt.groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
+    if not got:
+        return [np.zeros(size, np.int64) for _ in range(arrays)]
+    return [np.concatenate(x) for x in zip(*(unpack(r["data"], *[np.int64] * arrays) for r in got), strict=True)]
+
+
+def _placed(seen: DataFrame) -> DataFrame:
+    """The parent's other words, by part. base: their customers from pairs of one table; place: which of them each bucket has, and which of these are in pairs seen more often; told and parent: the first state, one table each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        part = t.column("part")[0].as_py()
+        got = [(b, *unpack(x, np.uint64, np.uint32, np.uint32)) for b, _, x in _rows(t, "word")]
+        word, back = np.unique(np.concatenate([x[1] for x in got]), return_inverse=True)
+        c = np.bincount(back, np.concatenate([x[2] for x in got]), len(word)).astype(np.int64)
+        rows, at = [("parent", -1, part, pack(np.minimum(c, 1), np.zeros(len(c))), int(c.sum()), int((c > 0).sum()))], 0
+        fixed = c.copy()
+        for b, h, _, many in got:
+            place = back[at : at + len(h)]
+            at += len(h)
+            fixed[place] -= many  # what changes from sweep to sweep is sent anew each time
+            rows.append(("place", b, part, pack(place.astype(np.uint32), (many > 0).astype(np.uint8)), 0, 0))
+            now = c[place[many > 0]]
+            rows.append(("told", b, part, pack(now, np.minimum(now, 1)), 0, 0))
+        return _table([*rows, ("base", -1, part, pack(fixed), int((c == 1).sum()), int((c == 2).sum()))])
+
+    return written(seen.where("kind = 'word'").groupBy("part").applyInArrow(run, ROW), "lm-words-placed")
+
+
+@dataclass
+class Parent:
+    """The parent after a round: of the frequent words customers, tables and (by context) their own restaurants' tables; and its totals."""
 
-    return written(swept.where(f"segment >= {SEGMENTS}").groupBy("segment").applyInArrow(add, "part int, tables binary, occupied long, total long, buckets array<int>, places array<binary>"), "lm-others")
+    customers: np.ndarray
+    seated: np.ndarray
+    contexts: np.ndarray
+    all_customers: int
+    all_tables: int
 
 
-def _parent(tables: np.ndarray, others: DataFrame, places: int, d: float, strength: float, sweep: int, moves: int) -> tuple[np.ndarray, float, DataFrame]:
-    """The parent after it has been seated: its probabilities of the frequent words, of a word without tables, and of the other words by bucket and part. Its base is uniform over `places`."""
+@dataclass
+class Settings:
+    d: tuple[float, float]  # of the parent and of the contexts
+    strength: tuple[float, float]
+    places: int  # of the parent's base
 
-    def seats(c: np.ndarray, total: int, k: int, part: int) -> np.ndarray:
-        return seat(c, np.full(len(c), (strength + d * total) / places), d, moves, np.random.default_rng([7, sweep, k, part + 1]))
+    def rest(self, p: Parent) -> float:
+        """What the parent's base gives to each word, in customers."""
+        return (self.strength[0] + self.d[0] * p.all_tables) / self.places
 
-    def seated(total: int, k: int) -> tuple[np.ndarray, int]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n = [int(seats(unpack(x, np.int64)[0], total, k, part).sum()) for part, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
-        t = seats(tables, total, k, -1)
-        return t, int(t.sum()) + (others.select("part", "tables").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+def _swept(static: DataFrame, state: DataFrame, parent: Parent, how: Settings, number: int, sweeps: int, keep: bool) -> DataFrame:
+    """`sweeps` sweeps of each bucket. state: the tables of its pairs, and their sum over kept sweeps; word: by part; head: by segment, with the sums over the sweeps of tables by context."""
+    given = static.sparkSession.sparkContext.broadcast(parent)
 
-    r = others.agg(F.sum("occupied"), F.sum("total")).first()
-    zeroth = int((tables > 0).sum()) + (r[0] or 0)
-    _, once = seated(zeroth, 0)
-    t, twice = seated(once, 1)
-    rest, all_tables = (strength + d * twice) / places, strength + float(tables.sum()) + (r[1] or 0)
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        p, rows = given.value, []
+        first = len(p.customers)
+        for bucket, _, data in _rows(t, "static"):
+            step, count, single, part = unpack(data, np.uint64, np.uint64, np.int64, np.uint32)
+            u, w = _contexts(np.cumsum(step.astype(np.int64)))
+            c = count.astype(np.int64)
+            before = _rows(s, "state")
+            tables, total = (x.copy() for x in unpack(before[0][2], np.int64, np.int64)) if before else (np.ones_like(c), np.zeros_like(c))
+            customers, seated = np.zeros(first + len(part), np.int64), np.zeros(first + len(part), np.int64)
+            customers[:first], seated[:first] = p.customers, p.seated
+            for _, k, x in _rows(s, "told"):
+                here = np.flatnonzero(part == k) + first
+                if len(here):
+                    customers[here], seated[here] = unpack(x, np.int64, np.int64)
+            at_context = np.concatenate([p.contexts, single + np.bincount(u, tables, first + len(single)).astype(np.int64)[first:]])
+            rng = np.random.default_rng([bucket, number])
+            rest, everything = how.rest(p), how.strength[0] + p.all_customers
+            sums = np.zeros(first, np.int64)
+            for _ in range(sweeps):
+                for turn in range(TURNS):
+                    i = slice(turn, None, TURNS)
+                    elsewhere = customers[w[i]] - tables[i]
+                    place = np.where(elsewhere > 0, np.minimum(seated[w[i]], elsewhere), 0)
+                    q = (elsewhere - how.d[0] * place + rest) / everything
+                    later = (elsewhere - how.d[0] * np.maximum(place, 1) + rest) / everything
+                    now = draw(c[i], at_context[u[i]] - tables[i], how.d[1], how.strength[1], q, (later, 1 / everything), rng)
+                    change = now - tables[i]
+                    moved = np.flatnonzero(change)
+                    np.add.at(at_context, u[i][moved], change[moved])
+                    np.add.at(customers, w[i][moved], change[moved])
+                    tables[i] = now
+                if keep:
+                    total += tables
+                sums += np.bincount(u, tables, first + len(single)).astype(np.int64)[:first]
+            by_word = np.bincount(w, tables, first + len(part)).astype(np.int64)
+            by_context = np.bincount(u, tables, first + len(single)).astype(np.int64)
+            rows.append(("state", bucket, -1, pack(tables, total), 0, int(tables.sum())))
+            rows += [("word", bucket, k, pack(by_word[first:][part == k].astype(np.int64)), 0, 0) for k in np.unique(part).tolist()]
+            rows += [("head", bucket, k, pack(by_word[a:e], by_context[a:e], sums[a:e]), 0, 0) for k, (a, e) in enumerate(_edges(first))]
+        return _table(rows)
+
+    return written(static.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, ROW), "lm-swept")
+
+
+def _parent_parts(placed: DataFrame, words_: DataFrame, all_tables: int, all_customers: int, how: Settings, number: int, keep: bool) -> DataFrame:
+    """The parent's other words, seated anew. told: customers and tables for each bucket; parent: tables, and the sum of kept rounds' probabilities without the base's share."""
 
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        rows = []
+        for _, part, data in _rows(t, "base"):
+            customers = unpack(data, np.int64)[0].copy()
+            places = {b: [x[0], x[1].astype(bool)] for b, _, d in _rows(t, "place") for x in [unpack(d, np.uint32, np.uint8)]}
+            for b, _, x in _rows(s, "word"):
+                place, many = places[b]
+                customers[place[many]] += unpack(x, np.int64)[0]
+            seated, total = unpack(_rows(s, "parent")[0][2], np.int64, np.float64)
+            base = np.full(len(customers), 1 / how.places)
+            seated = draw(customers, all_tables - seated, how.d[0], how.strength[0], base, (base, 0.0), np.random.default_rng([7, number, part]))
+            if keep:
+                total = total + (customers - how.d[0] * seated) / (how.strength[0] + all_customers)
+            rows.append(("parent", -1, part, pack(seated, total), int(customers.sum()), int(seated.sum())))
+            rows += [("told", b, part, pack(customers[place[many]], seated[place[many]]), 0, 0) for b, (place, many) in places.items()]
+        return _table(rows)
+
+    return written(placed.groupBy("part").cogroup(words_.groupBy("part")).applyInArrow(run, ROW), "lm-parent")
+
+
+def _head_seated(customers: np.ndarray, before: np.ndarray, all_tables: int, how: Settings, number: int, spark: SparkSession) -> np.ndarray:
+    """The frequent words' tables in the parent, by segments side by side."""
+    given = spark.sparkContext.broadcast((customers, before))
+    edges = _edges(len(customers))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, old = given.value
         for batch in batches:
-            for part, data, buckets, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                c = unpack(data, np.int64)[0]
-                p = (c - d * seats(c, once, 1, part) + rest) / all_tables
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array([part] * len(buckets), pa.int32()), pa.array([pack(p[unpack(x, np.uint32)[0]]) for x in wanted], pa.binary())], ["bucket", "part", "data"])
+            for k in batch.column(0).to_pylist():
+                a, e = edges[k]
+                base = np.full(e - a, 1 / how.places)
+                t = draw(c[a:e], all_tables - old[a:e], how.d[0], how.strength[0], base, (base, 0.0), np.random.default_rng([11, number, k]))
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([pack(t)], pa.binary())], ["id", "data"])
 
-    told = others.select("part", "tables", "buckets", "places").mapInArrow(tell, "bucket int, part int, data binary")
-    return (tables - d * t + rest) / all_tables, rest / all_tables, told
+    got = spark.range(SEGMENTS, numPartitions=min(SEGMENTS, 16)).mapInArrow(run, "id long, data binary").orderBy("id").collect()
+    return np.concatenate([unpack(r["data"], np.int64)[0] for r in got])
 
 
-def _scored(table: DataFrame, samples: list[int], states: list[Restaurants], told: list[DataFrame], counts: np.ndarray, parts: int, d: float, strength: float, moves: int) -> DataFrame:
-    """block, kind, data: log10 probabilities of the documents' pairs in a bucket, by document of the block."""
-    used = sorted({k + i for k in samples for i in (0, 1)})
-    given = table.sparkSession.sparkContext.broadcast(({k: states[k] for k in used}, counts))
-    rows = told[used[0]].withColumn("state", F.lit(used[0]))
-    for k in used[1:]:
-        rows = rows.unionByName(told[k].withColumn("state", F.lit(k)))
+def _means(placed: DataFrame, state: DataFrame, kept: int, rest: float) -> DataFrame:
+    """mean: the parent's average probability of each bucket's other words, by part."""
 
     def run(t: pa.Table, s: pa.Table) -> pa.Table:
-        states, c_frequent = given.value
-        size, out = len(c_frequent), []
-        for bucket, packed, others, blocks, places, data in zip(*(t.column(c).to_pylist() for c in ("bucket", "counts", "others", "blocks", "places", "data")), strict=True):
-            x = Bucket.of(bucket, size, packed, others)
-            at, part, told = (s.column(c).to_pylist() for c in ("state", "part", "data"))
-            whole = {k: x.whole(states[k], [(p, b) for j, p, b in zip(at, part, told, strict=True) if j == k], parts) for k in states}
-            c_context = np.concatenate([c_frequent, x.customers()])
-            known = np.zeros(len(x.pair))
-            for k in samples:
-                known += np.maximum(x.count - d * x.seated(k, whole[k], d, strength, moves), 0)
-            known /= len(samples) * (strength + c_context[_contexts(x.pair)[0]])
-            for block, place, got in zip(blocks, places, data, strict=True):
-                doc, key, times, _ = _entries(got, size, unpack(place, np.uint32, np.uint32))
-                u, w = _contexts(key)
-                p = np.mean([(strength + d * whole[k + 1].tables[u]) / (strength + c_context[u]) * whole[k + 1].parent[w] for k in samples], axis=0)
-                if len(x.pair):
-                    i = np.minimum(np.searchsorted(x.pair, key), len(x.pair) - 1)
-                    p = p + np.where(x.pair[i] == key, known[i], 0.0)
-                total = np.bincount(doc, times * np.log10(p))
-                there = np.flatnonzero(total)
-                out.append((block, pack(there.astype(np.uint16), total[there])))
-        return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([1] * len(out), pa.int32()), "data": pa.array([r[1] for r in out], pa.binary())})
-
-    return table.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(run, "block long, kind int, data binary")
-
-
-def _tails(docs: DataFrame, vocabulary: DataFrame, head: object, buckets: int) -> DataFrame:
-    """block, kind, data: kind 0 describes a block's documents; kind 2 has the counts of the words outside the head of some of its documents."""
+        rows = []
+        for _, part, data in _rows(s, "parent"):
+            p = unpack(data, np.int64, np.float64)[1] / kept + rest
+            rows += [("mean", b, part, pack(p[unpack(x, np.uint32, np.uint8)[0]]), 0, 0) for b, _, x in _rows(t, "place")]
+        return _table(rows)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = head.value
-        logs = np.log10(h.counts + 1.0)
-        for block, ids, codes in _blocks(batches):
-            n = np.array([len(c) for c in codes])
-            doc, code = np.repeat(np.arange(len(n)), n), np.concatenate(codes)
-            word = h.of(code)
-            rare = word < 0
-            base = np.bincount(doc[~rare], logs[word[~rare]], len(n)) + logs[h.end]
-            known = np.bincount(doc[~rare], minlength=len(n)) + (h.counts[h.end] > 0)
-            held = np.array([crc_mod7(k) == HELD_OUT for k in ids], np.uint8)
-            none = np.array([k is None for k in ids], np.uint8)
-            rows = [(int(block % buckets), 0, pack(np.array([k or 0 for k in ids], np.int64), none, held, n.astype(np.int64) + 1, known.astype(np.int64), base))]
-            doc, code = doc[rare], code[rare]
-            bucket = (code % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
-            rows += [(b, 2, pack(np.diff(doc[order[s:e]], prepend=0).astype(np.uint16), code[order[s:e]])) for b, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if e > s]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "block", "kind", "data"])
-
-    def look(t: pa.Table, v: pa.Table) -> pa.Table:
-        out = []
-        code = v.column("h").to_numpy().view(np.uint64) if len(v) else np.zeros(0, np.uint64)
-        order = np.argsort(code)
-        code, count = code[order], (v.column("c").to_numpy()[order] if len(v) else np.zeros(0, np.int64))
-        for block, kind, data in zip(t.column("block").to_pylist(), t.column("kind").to_pylist(), t.column("data").to_pylist(), strict=True):
-            if kind == 2:
-                step, wanted = unpack(data, np.uint16, np.uint64)
-                doc = np.cumsum(step.astype(np.int64))
-                c = np.zeros(len(wanted), np.int64)
-                if len(code):
-                    i = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
-                    c = np.where(code[i] == wanted, count[i], 0)
-                there = np.unique(doc)
-                sums = [np.bincount(doc, x)[there] for x in (np.log10(c + 1.0), c > 0)]
-                data = pack(there.astype(np.uint16), *sums)
-            out.append((block, kind, data))
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "data": pa.array([x[2] for x in out], pa.binary())})
-
-    rows = docs.mapInArrow(make, "bucket int, block long, kind int, data binary")
-    # pmod of the unsigned hash: the sign bit's worth is added back.
-    sign = (1 << 64) % buckets
-    bucket = F.pmod(F.pmod("h", F.lit(buckets)) + F.when(F.col("h") < 0, F.lit(sign)).otherwise(F.lit(0)), F.lit(buckets)).cast("int")
-    words_by_bucket = vocabulary.where("h IS NOT NULL").select(bucket.alias("bucket"), "h", "c")
-    return rows.groupBy("bucket").cogroup(words_by_bucket.groupBy("bucket")).applyInArrow(look, "block long, kind int, data binary")
-
-
-def _summed(parts: DataFrame, head: object) -> DataFrame:
+    return placed.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(run, ROW)
+
+
+def _scored(table: DataFrame, state: DataFrame, parent: np.ndarray, contexts: np.ndarray, counts: np.ndarray, how: Settings, samples: int, parts: int, rest: float) -> DataFrame:
+    """block, kind, data: by document of the block, log10 probabilities of its pairs in a bucket, and of their contexts in the base and as known; kind 0 describes the block's documents.
+    parent and contexts: averages of the frequent words' probabilities and of their restaurants' tables."""
+    given = table.sparkSession.sparkContext.broadcast((parent, contexts, counts))
+
+    def run(t: pa.Table, s: pa.Table) -> pa.Table:
+        parent, at_context, counts = given.value
+        first = len(counts)
+        out = [(b, 0, x) for b, o, x in zip(*(t.column(c).to_pylist() for c in ("block", "others", "data")), strict=True) if o is None]
+        x = Bucket(t, first)
+        u, w = _contexts(x.pair)
+        tables, many = np.ones(len(x.pair)), x.count > 1
+        for _, _, data in _rows(s, "state"):
+            tables[many] = unpack(data, np.int64, np.int64)[1] / samples
+        p_word = np.concatenate([parent, np.full(len(x.words), rest)])
+        part = _part(x.words, parts)
+        for _, k, data in _rows(s, "mean"):
+            p_word[first:][part == k] = unpack(data, np.float64)[0]
+        own = np.bincount(u, tables, x.size(x.contexts))[first:]
+        context_tables = np.concatenate([at_context, own])
+        customers = np.concatenate([counts, np.bincount(u, x.count, x.size(x.contexts))[first:]]).astype(np.float64)
+        d, strength = how.d[1], how.strength[1]
+        seen = (x.count - d * tables) / (strength + customers[u])
+        back = (strength + d * context_tables) / (strength + customers)
+        log_base, known = np.log10(customers + 1), (customers > 0).astype(np.float64)
+        for i, block in enumerate(x.blocks):
+            doc, key, times, _ = x.entries(i)
+            u, w = _contexts(key)
+            p = back[u] * p_word[w]
+            if len(x.pair):
+                j = np.minimum(np.searchsorted(x.pair, key), len(x.pair) - 1)
+                p = p + np.where(x.pair[j] == key, seen[j], 0.0)
+            sums = [np.bincount(doc, times * y) for y in (np.log10(p), log_base[u], known[u])]
+            there = np.unique(doc)
+            out.append((block, 1, pack(there.astype(np.uint16), *(y[there] for y in sums))))
+        return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "data": pa.array([r[2] for r in out], pa.binary())})
+
+    return table.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, "block long, kind int, data binary")
+
+
+def _summed(parts: DataFrame, tokens: int, distinct: int) -> DataFrame:
     """A row a document from all parts of its block."""
 
     def add(t: pa.Table) -> pa.Table:
-        h = head.value
         kinds, data = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        ids, none, held, n, known, base = unpack(data[kinds.index(0)], np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64)
-        score, base, known = np.zeros(len(n)), base.copy(), known.astype(np.float64)
+        ids, none, held, n = unpack(data[kinds.index(0)], np.int64, np.uint8, np.uint8, np.int64)
+        size = len(n)
+        sums = [np.zeros(size) for _ in range(3)]
         for k, x in sorted(zip(kinds, data, strict=True)):  # one order, so that sums are the same each time
             if k == 1:
-                doc, s = unpack(x, np.uint16, np.float64)
-                score[doc] += s
-            elif k == 2:
-                doc, b, there = unpack(x, np.uint16, np.float64, np.float64)
-                base[doc] += b
-                known[doc] += there
-        base -= n * np.log10(h.tokens + h.distinct + 1.0)
-        size = len(n)
-        return pa.table({"id": pa.array(ids, mask=none.astype(bool)), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(known).astype(np.int64)), "train_tokens": pa.array(np.full(size, h.tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+                doc, *got = unpack(x, np.uint16, np.float64, np.float64, np.float64)
+                for total, y in zip(sums, got, strict=True):
+                    total[doc] += y
+        score, base, known = sums
+        base -= n * np.log10(tokens + distinct + 1.0)
+        return pa.table({"id": pa.array(ids, mask=none.astype(bool)), "held_out": pa.array(np.unpackbits(held)[:size].astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(known).astype(np.int64)), "train_tokens": pa.array(np.full(size, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return parts.groupBy("block").applyInArrow(add, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 18, sweeps: int = 3, burn: int = 1, moves: int = 3, discounts: tuple[float, float] = (0.5, 0.75), strengths: tuple[float, float] = (1.0, 1.0), bucket_tokens: int = 3_000_000) -> DataFrame:
-    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (of the text, by token)."""
+def _discount(once: int, twice: int) -> float:
+    """The usual estimate from how many counts are one and two."""
+    return float(np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.9))
+
+
+def scores(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_words: int = 1 << 18, rounds: int = 6, sweeps: int = 3, burn: int = 2, discounts: tuple[float, float] | None = None, strengths: tuple[float, float] = (1.0, 1.0), bucket_tokens: int = 1_000_000) -> DataFrame:
+    """id_col, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity (of the text, by token). Discounts of the parent and the contexts are fitted where not given."""
     if most_words > MOST_WORDS - 2:
         raise ValueError("the broadcast of frequent words is bounded")
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    vocabulary = written(_word_counts(docs), "lm-words")
-    h = _head(vocabulary, most_words)
+    docs = df.select(integer_ids(df, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    h = _head(written(_word_counts(docs), "lm-words"), most_words)
     head = spark.sparkContext.broadcast(h)
-    buckets = max(min(parallelism(spark), 24), -(-h.tokens // bucket_tokens))
-    table = written(_gathered(_pairs(docs, head, buckets), h.first), "lm-pairs")
-    parts = max(min(parallelism(spark), 24), -(-h.other_words // PART_WORDS))
-    contexts = h.counts.astype(np.float64)
-    everything = h.tokens + h.distinct + 1.0
-    states = [Restaurants((contexts + 1) / everything, contexts**0.8, (h.other_tokens + h.other_words + 1) / (h.other_words + 1) / everything)]
-    told = [spark.createDataFrame([], "bucket int, part int, data binary")]
-    for k in range(sweeps):
-        swept = _sweep(table, k, states[k], told[k], parts, discounts[1], strengths[1], moves)
-        by_word, by_context = _frequent(swept, h.first)
-        parent, other, words_told = _parent(by_word, _others(swept), h.places, discounts[0], strengths[0], k, moves)
-        contexts_told = swept.where("segment = -1").select("bucket", F.col("segment").alias("part"), "data")
-        states.append(Restaurants(parent, by_context.astype(np.float64), other))
-        told.append(written(words_told.unionByName(contexts_told), "lm-told"))
-    scored = _scored(table, list(range(burn, sweeps)), states, told, contexts, parts, discounts[1], strengths[1], moves)
-    parts = scored.unionByName(_tails(docs, vocabulary, head, buckets))
-    out = _summed(parts, head)
+    few = min(parallelism(spark), 24)
+    buckets = max(few, -(-h.tokens // bucket_tokens))
+    parts = max(min(few, 1 + h.other_words), -(-h.other_words // PART_WORDS))
+    table = bucketed(_pairs(docs, head, buckets), "bucket", max(few, buckets // 2), "lm-pairs")
+    seen = _seen(table, h.first, parts)
+    static = bucketed(seen.where("kind = 'static'"), "bucket", max(few, buckets // 2), "lm-static")
+    words_placed = _placed(seen)
+    placed = bucketed(words_placed.where("kind IN ('base', 'place')"), "part", max(few, parts // 2), "lm-places")
+    totals = {r["kind"]: r for r in seen.unionByName(words_placed).groupBy("kind").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect()}
+    total = lambda kind, of: totals[kind][of] if kind in totals else 0
+    by_word, by_context, *single = _frequent(seen, h.first, 4)
+    if discounts is None:
+        discounts = (_discount(total("base", "customers") + int((by_word == 1).sum()), total("base", "tables") + int((by_word == 2).sum())), _discount(total("counts", "customers"), total("counts", "tables")))
+    how = Settings(discounts, strengths, h.places)
+    parent = Parent(by_word, np.minimum(by_word, 1), by_context, total("static", "customers"), int((by_word > 0).sum()) + total("parent", "tables"))
+    told = words_placed.where("kind IN ('told', 'parent')")
+    state = told.where("kind = 'told'")
+    p_head, p_rest, c_head, kept = np.zeros(h.first), 0.0, np.zeros(h.first), 0
+    for k in range(rounds):
+        keep = k >= burn
+        swept = _swept(static, state, parent, how, k, sweeps, keep)
+        by_word, by_context, sums = _frequent(swept, h.first, 3)
+        customers, contexts = single[0] + by_word, single[1] + by_context
+        all_customers = total("static", "customers") - total("static", "tables") + (swept.agg(F.sum("tables")).first()[0] or 0)
+        words_now = swept.where("kind = 'word'").unionByName(told.where("kind = 'parent'"))
+        told = _parent_parts(placed, words_now, parent.all_tables, all_customers, how, k, keep)
+        seated = _head_seated(customers, parent.seated, parent.all_tables, how, k, spark)
+        other_tables = told.where("kind = 'parent'").agg(F.sum("tables")).first()[0] or 0
+        parent = Parent(customers, seated, contexts, all_customers, int(seated.sum()) + other_tables)
+        state = told.where("kind = 'told'").unionByName(swept.where("kind = 'state'"))
+        if keep:
+            kept += 1
+            everything = strengths[0] + parent.all_customers
+            p_head += (customers - how.d[0] * seated) / everything
+            p_rest += how.rest(parent) / everything
+            c_head += single[1] + sums / sweeps
+    p_rest /= kept
+    means = _means(placed, told.where("kind = 'parent'"), kept, p_rest)
+    last = swept.where("kind = 'state'").unionByName(means)
+    scored = _scored(table, last, p_head / kept + p_rest, c_head / kept, h.counts, how, kept * sweeps, parts, p_rest)
+    out = _summed(scored, h.tokens, h.distinct)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

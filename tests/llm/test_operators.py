@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorlake.llm import bpe, common, components, decontaminate, jaccard_join, packing, pitman_yor, quality_classifier, quality_rules, secret_scans, token_counts, url_filter, warc
+from sensorlake.llm import bpe, common, components, decontaminate, jaccard_join, packing, pitman_yor, quality_classifier, quality_rules, seating, secret_scans, token_counts, url_filter, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -88,20 +88,165 @@ def test_pseudo_labels_are_new_texts_from_many_cells_and_follow_the_input(spark,
 # 2 language model
 
 
-def test_seating_keeps_its_bounds_and_follows_the_base():
-    rng = np.random.default_rng(1)
-    c = np.array([0, 1, 2, 5, 100, 100_000])
-    t = pitman_yor.seat(c, np.full(6, 0.5), 0.75, 4, rng)
-    assert t[0] == 0 and t[1] == 1 and (t[1:] >= 1).all() and (t <= c).all()
-    few, many = (np.mean([pitman_yor.seat(np.full(50, 20), np.full(50, a), 0.5, 4, np.random.default_rng(k)).mean() for k in range(20)]) for a in (0.01, 50.0))
-    assert few < 2 and many > 12
-
-
-def test_two_customers_share_a_table_as_often_as_the_posterior_says():
-    """Two customers of a dish sit together with weight 1 - d against a for a second table."""
-    d, a = 0.75, 0.4
-    t = pitman_yor.seat(np.full(40_000, 2), np.full(40_000, a), d, 6, np.random.default_rng(3))
-    assert abs((t == 2).mean() - a / (a + 1 - d)) < 0.02
+def stirling_by_hand(d, c):
+    """Logarithms of the weights of all seatings of c customers at 1, 2, ... c tables."""
+    now = np.full(c, -np.inf)
+    now[0] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n in range(1, c):
+            t = np.arange(1, n + 2)
+            now[: n + 1] = np.logaddexp(now[: n + 1] + np.log(np.maximum(n - d * t, 1e-300)), np.concatenate([[-np.inf], now[:n]]))
+    return now
+
+
+@pytest.mark.parametrize("c", [2, 65, 1_000, 1_025, 6_000])
+@pytest.mark.parametrize(("others", "q", "step"), [(0, 0.3, 0.0), (300, 0.01, 0.0), (100_000, 0.02, 0.0), (40, 1e-5, 1e-5)])
+def test_tables_follow_the_weights_of_all_seatings(c, others, q, step):
+    d, strength, n = 0.75, 1.0, 4_000
+    j = np.arange(c)
+    weight = stirling_by_hand(d, c) + np.cumsum(np.log(strength + d * (others + j)) + np.log(q + step * j))
+    p = np.exp(weight - weight.max())
+    p /= p.sum()
+    mean = (p * (j + 1)).sum()
+    sd = math.sqrt((p * (j + 1 - mean) ** 2).sum())
+    got = seating.draw(np.full(n, c), np.full(n, others), d, strength, np.full(n, q), (np.full(n, q), step), np.random.default_rng(c))
+    assert got.min() >= 1 and got.max() <= c
+    assert abs(got.mean() - mean) < max(0.02 * mean, 4 * sd / math.sqrt(n)) and abs(got.std() - sd) < 0.1 * sd + 0.05
+
+
+def test_stirling_numbers_of_many_customers():
+    d, c, most = 0.75, 100_000, 400
+    now, t = np.full(most, -np.inf), np.arange(1, most + 1)
+    now[0] = 0.0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n in range(1, c):
+            now = np.logaddexp(now + np.where(t <= n, np.log(np.maximum(n - d * t, 1e-300)), -np.inf), np.concatenate([[-np.inf], now[:-1]]))
+    got = seating.log_stirling(np.array([[float(c)]]), t[None].astype(float), d)[0]
+    assert np.abs(got - (now - math.lgamma(c))).max() < 1e-3
+
+
+@pytest.mark.parametrize(("c", "a", "sweeps"), [(65, 0.5, 3_000), (65, 20.0, 600), (1_000, 100.0, 50)])
+def test_tables_equal_those_of_customers_that_move_one_by_one(c, a, sweeps):
+    """One dish whose new tables have weight a: in the plain sampler single customers leave and sit down again."""
+    d, rng = 0.75, random.Random(c)
+    q = np.full(3_000, a / (d * 1e9))
+    drawn = seating.draw(np.full(3_000, c), np.full(3_000, 10**9), d, 0.0, q, (q, 0.0), np.random.default_rng(1))
+    seen = []
+    for chain in range(6):
+        sizes = [c] if chain % 2 else [1] * c
+        for sweep in range(sweeps):
+            for _ in range(c):
+                x, k = rng.random() * c, 0
+                while x >= sizes[k]:
+                    x -= sizes[k]
+                    k += 1
+                sizes[k] -= 1
+                if not sizes[k]:
+                    sizes.pop(k)
+                x = rng.random() * (c - 1 - d * len(sizes) + a) - a
+                if x < 0 or not sizes:
+                    sizes.append(1)
+                else:
+                    k = 0
+                    while k < len(sizes) - 1 and x >= sizes[k] - d:
+                        x -= sizes[k] - d
+                        k += 1
+                    sizes[k] += 1
+            if sweep >= sweeps // 4:
+                seen.append(len(sizes))
+    assert abs(drawn.mean() - np.mean(seen)) < 0.06 * np.mean(seen) + 0.05
+
+
+def one_machine_scores(docs, d, strength, sweeps, burn):
+    """A sequential sampler of the same model: every customer of every restaurant leaves and sits down again, one after the other; its average predictive probability of each pair."""
+    rng = random.Random(7)
+    pairs = [(u, w) for i, ws in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for u, w in zip([None, *ws], [*ws, None], strict=True)]
+    places = len({w for _, w in pairs}) + 1
+    rooms, top = defaultdict(lambda: defaultdict(list)), defaultdict(list)  # table sizes by context and word; of the parent by word
+    n_context, t_context = Counter(), Counter()
+    n_top = t_top = 0
+
+    def p_top(w):
+        return (sum(top[w]) - d[0] * len(top[w]) + (strength[0] + d[0] * t_top) / places) / (strength[0] + n_top)
+
+    def p_pair(u, w):
+        c, t = sum(rooms[u][w]), len(rooms[u][w])
+        return (c - d[1] * t + (strength[1] + d[1] * t_context[u]) * p_top(w)) / (strength[1] + n_context[u])
+
+    def choose(sizes, discount, new):
+        x = rng.random() * (sum(sizes) - discount * len(sizes) + new) - new
+        if x < 0 or not sizes:
+            return None
+        for k, s in enumerate(sizes):
+            x -= s - discount
+            if x < 0:
+                return k
+        return len(sizes) - 1
+
+    def leave(sizes):
+        k = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if sizes[k]:
+            return False
+        sizes.pop(k)
+        return True
+
+    def add(u, w):
+        nonlocal n_top, t_top
+        k = choose(rooms[u][w], d[1], (strength[1] + d[1] * t_context[u]) * p_top(w))
+        n_context[u] += 1
+        if k is not None:
+            rooms[u][w][k] += 1
+            return
+        rooms[u][w].append(1)
+        t_context[u] += 1
+        k = choose(top[w], d[0], (strength[0] + d[0] * t_top) / places)
+        n_top += 1
+        if k is not None:
+            top[w][k] += 1
+        else:
+            top[w].append(1)
+            t_top += 1
+
+    def remove(u, w):
+        nonlocal n_top, t_top
+        n_context[u] -= 1
+        if leave(rooms[u][w]):
+            t_context[u] -= 1
+            n_top -= 1
+            if leave(top[w]):
+                t_top -= 1
+
+    for u, w in pairs:
+        add(u, w)
+    asked = {(u, w) for ws in docs.values() for u, w in zip([None, *ws], [*ws, None], strict=True)}
+    total = Counter()
+    for s in range(sweeps):
+        for u, w in pairs:
+            remove(u, w)
+            add(u, w)
+        if s >= burn:
+            for u, w in asked:
+                total[u, w] += p_pair(u, w)
+    return {i: sum(math.log10(total[u, w] / (sweeps - burn)) for u, w in zip([None, *ws], [*ws, None], strict=True)) for i, ws in docs.items()}
+
+
+def test_scores_equal_a_sequential_sampler(spark):
+    rng = random.Random(3)
+    follow = {w: [rng.randrange(60) for _ in range(4)] for w in range(60)}
+    docs = {}
+    for i in range(60):
+        w, ws = rng.randrange(60), []
+        for _ in range(rng.randrange(5, 60)):
+            w = rng.choice(follow[w]) if rng.random() < 0.7 else int(60 * rng.random() ** 2)
+            ws.append(f"w{w}" if rng.random() < 0.97 else f"rare{rng.randrange(300)}")
+        docs[i] = ws
+    d, strength = (0.4, 0.6), (1.0, 1.0)
+    want = one_machine_scores(docs, d, strength, sweeps=60, burn=20)
+    for most in (1 << 18, 20):
+        got = {r["doc_id"]: r["score"] for r in pitman_yor.scores(docs_of(spark, [(i, " ".join(ws)) for i, ws in docs.items()]), most_words=most, rounds=6, sweeps=8, burn=2, discounts=d, strengths=strength).collect()}
+        assert max(abs(got[i] - want[i]) / abs(want[i]) for i in docs) < 0.03
+        assert abs(sum(got.values()) / sum(want.values()) - 1) < 0.005
 
 
 def test_scores_against_plain_counts(spark, documents):
@@ -120,17 +265,6 @@ def test_scores_against_plain_counts(spark, documents):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_predictive_distribution_sums_to_one():
-    """Over all words of a context, seen or not."""
-    rng = np.random.default_rng(5)
-    size, u = 50, 7
-    c = rng.integers(0, 6, size)
-    parent = rng.dirichlet(np.ones(size))
-    t = pitman_yor.seat(c, (1 + 0.75 * 10) * parent, 0.75, 3, rng)
-    p = (np.maximum(c - 0.75 * t, 0) + (1 + 0.75 * t.sum()) * parent) / (1 + c.sum())
-    assert abs(p.sum() - 1) < 1e-9 and u < size
-
-
 def test_words_outside_the_broadcast_have_their_own_contexts(spark):
     """`key` words tell which of their two words follows; with a broadcast of three words they are all outside of it."""
     rng = random.Random(4)
