@@ -4,7 +4,8 @@ A byte-level tokenizer first cuts a text by a pattern, then merges inside each c
 non-blank character followed by a blank one, so the place between a non-blank character and a space is always
 a cut, whatever stands around it. A text is split there into units; ids of the units, concatenated, are the ids of the
 text. Special strings hold no space, so they lie inside one unit and the library treats them as its default.
-A unit of a space and letters is one piece, and a sign after letters begins another: these go straight to the model.
+A unit of a space and letters is one piece, and a sign after letters begins another: these go straight to the model. Other units
+of ASCII and Latin letters are cut by the tokenizer's own pattern, and the model gets each new piece once; all else goes to the library.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from sensorlake.llm.common import quiet_threads
 
 BLANK_THEN_SPACE = re.compile(r"\s ")
 SIGNS = frozenset(".,;:!?")
+SIMPLE = re.compile(r"[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Fixed value: the pattern of byte-level tokenizers, for simple units after at most one space.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\n+(?!\S)|\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,6 +59,7 @@ class UnitEncoder:
         self.letters = _byte_letters()
         self.signs = {s: self._plain(s) for s in SIGNS}
         self.most, self.longest = most, longest
+        self.pieces: dict[str, bytes] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -66,6 +71,16 @@ class UnitEncoder:
         mapped = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(f"Ġ{mapped}")]).tobytes()
 
+    def _cut(self, text: str) -> bytes:
+        """Ids of a simple text by its pieces."""
+        out = []
+        for p in PIECES.findall(text):
+            ids = self.pieces.get(p)
+            if ids is None:
+                ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def _learn(self, missing: list[str]) -> None:
         """Ids of units that stand after a space."""
         hard = []
@@ -75,6 +90,8 @@ class UnitEncoder:
             elif u[-1:] in SIGNS and u[:-1].isalpha():
                 stem = self.young.get(u[:-1]) or self.old.get(u[:-1]) or self._piece(u[:-1])
                 self.young[u] = stem + self.signs[u[-1]]
+            elif len(u) <= self.longest and SIMPLE.fullmatch(u) and "<|" not in u:
+                self.young[u] = self._cut(f" {u}")
             else:
                 hard.append(u)
         for at in range(0, len(hard), 4096):
@@ -85,6 +102,8 @@ class UnitEncoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four bytes an id."""
         split = [split_units(t) if t else [] for t in texts]
+        if len(self.pieces) > self.most // 2:
+            self.pieces.clear()
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         missing = set().union(*[s[1:] for s in split]).difference(self.young)
@@ -94,8 +113,11 @@ class UnitEncoder:
             missing -= known
         self._learn(list(missing))
         get = self.young.__getitem__
-        firsts = iter([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([s[0] for s in split if s], add_special_tokens=False)])
-        out = [next(firsts) + b"".join(map(get, s[1:])) if s else b"" for s in split]
+        simple = [len(s[0]) <= self.longest and SIMPLE.fullmatch(s[0]) is not None and "<|" not in s[0] for s in split if s]
+        hard = [s[0] for s, easy in zip((s for s in split if s), simple, strict=True) if not easy]
+        firsts = iter([array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)])
+        easy = iter(simple)
+        out = [(self._cut(s[0]) if next(easy) else next(firsts)) + b"".join(map(get, s[1:])) if s else b"" for s in split]
         for u in missing:  # very long units are not worth remembering
             if len(u) > self.longest:
                 self.young.pop(u, None)

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,13 @@ def piece_lengths(n: int, longest: int) -> list[int]:
     return [longest] * full + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
+@lru_cache(1 << 16)
+def _cuts(n: int, longest: int) -> tuple[tuple[int, int], ...]:
+    """Start and length of each piece of n ids."""
+    lengths = piece_lengths(n, longest)
+    return tuple(zip(accumulate([0, *lengths[:-1]]), lengths, strict=True))
+
+
 def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", longest: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length), and ids (as little-endian uint32 bytes) if asked for."""
     if longest & (longest - 1):
@@ -41,17 +50,16 @@ def pack(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col
                 part = batch.slice(at, 512)
                 row, start, length, crc, total, ids = [], [], [], [], [], []
                 for i, data in enumerate(enc.ids([t or "" for t in part.column(1).to_pylist()])):
-                    data, done = memoryview(data + end), 0
-                    for n in piece_lengths(len(data) // 4, longest):
-                        piece = data[4 * done : 4 * (done + n)]
-                        row.append(i)
-                        start.append(done)
-                        length.append(n)
-                        crc.append(zlib.crc32(piece))
-                        total.append(len(data) // 4)
-                        if with_ids:
-                            ids.append(bytes(piece))
-                        done += n
+                    data += end
+                    cuts = _cuts(len(data) // 4, longest)
+                    row += [i] * len(cuts)
+                    total += [len(data) // 4] * len(cuts)
+                    start += [s for s, _ in cuts]
+                    length += [n for _, n in cuts]
+                    pieces = [data[4 * s : 4 * (s + n)] for s, n in cuts]
+                    crc += map(zlib.crc32, pieces)
+                    if with_ids:
+                        ids += pieces
                 cols = [part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
                 names = ["_id", "start", "length", "ids_crc32", "doc_tokens"]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.binary())] if with_ids else cols, [*names, "ids"] if with_ids else names)

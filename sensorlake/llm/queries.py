@@ -63,7 +63,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE)).drop("bucket")
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

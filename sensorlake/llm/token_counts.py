@@ -1,10 +1,13 @@
 """Token counts by overlap resynchronisation.
 
-Texts up to `huge_chars` characters are encoded whole. A longer one is cut into overlapping chunks that are encoded with
-offsets. Two neighbours are spliced at a place in their overlap that is proven stable: a space after a non-blank
-character (always a cut of a byte-level tokenizer), where a token starts in both encodings and from where both give the
-same ids up to the last such place they share. Where no place qualifies the overlap is doubled, and at last both
-chunks are encoded as one. Counts are those of the whole text.
+A huge text, one of more than `huge_chars` characters, is cut into overlapping chunks that are encoded with offsets. Two neighbours are
+spliced at a place in their overlap that is proven stable: a cut of every byte-level tokenizer's pattern (a blank after a non-blank
+character, a change between letters, digits and signs) where a token starts in both encodings and from where both give the same ids up to
+the last such place they share. Where no place qualifies the overlap is doubled, and at last the left chunk is, so that a text without any
+cut costs a constant number of encodings of its length. Counts are those of the library for the whole text.
+
+A text of up to `huge_chars` characters is one chunk and needs no splice. Its ids are put together from the ids of its units (bpe.py), which
+each Python worker remembers: the same ids in less time.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); an empty text has 0 tokens; null or repeated doc_ids
 give a row each; an empty table gives no rows; other columns are ignored.
@@ -12,18 +15,19 @@ give a row each; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.llm.bpe import unit_encoder
 from sensorlake.llm.common import quiet_threads
 
-CUT = re.compile(r"(?<=\S) ")
+CUT = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}'])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
+SPECIAL = 16  # no special string is longer: nearer to an end of the overlap both chunks could hold a part of one
 
 
 class Chunk:
@@ -39,7 +43,7 @@ def _splice(text: str, a: Chunk, b: Chunk, past: int) -> tuple[int, int] | None:
     i, j = bisect_left(a.at, b.start), bisect_left(b.at, a.end)
     a_at = {at: i + k for k, at in reversed(list(enumerate(a.at[i:])))}
     b_at = {at: k for k, at in reversed(list(enumerate(b.at[:j])))}
-    shared = [x for m in CUT.finditer(text, b.start, a.end) if (x := m.start()) > max(b.start, past) and x in a_at and x in b_at]
+    shared = [x for m in CUT.finditer(text, b.start + SPECIAL, max(b.start + SPECIAL, a.end - SPECIAL)) if (x := m.start()) > past and x in a_at and x in b_at]
     if len(shared) < 2:
         return None
     first, last = shared[0], shared[-1]
@@ -59,8 +63,8 @@ def long_ids(tokenizer: object, text: str, chunk_chars: int, overlap: int) -> li
             b = Chunk(tokenizer, text, a.end - width, min(len(text), a.end - width + max(chunk_chars, 2 * width)))
             found = _splice(text, a, b, past)
             width *= 2
-        if found is None:  # nothing in common: encode both as one
-            a = Chunk(tokenizer, text, a.start, min(len(text), a.end + chunk_chars))
+        if found is None:  # nothing in common: a larger left chunk
+            a = Chunk(tokenizer, text, a.start, min(len(text), 2 * a.end - a.start))
             first = bisect_left(a.at, past)
             continue
         out += a.ids[first : found[0]]
