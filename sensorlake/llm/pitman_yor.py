@@ -26,7 +26,7 @@ columns are ignored; ids must be whole numbers (text ids raise an error). Words
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ from sensorlake.llm.seating import draw
 HELD_OUT = 2
 MOST_WORDS = 1 << 20  # of a broadcast
 BLOCK_BITS, BITS = 26, 32  # of a word's number in a block and in a bucket
+SLOT_BITS = 20
 SEGMENTS = 16
 PART_WORDS = 250_000
 TURNS = 4
@@ -57,7 +58,10 @@ class Head:
     tokens: int  # N
     distinct: int  # V
     other_words: int
-    other_tokens: int
+
+    def __post_init__(self) -> None:
+        self.slots = np.searchsorted(self.hashes, np.arange(1 << SLOT_BITS, dtype=np.uint64) << np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.append(self.slots, len(self.hashes))
 
     @property
     def end(self) -> int:
@@ -73,11 +77,19 @@ class Head:
         return len(self.hashes) + self.other_words + 2
 
     def of(self, codes: np.ndarray) -> np.ndarray:
-        """Ids; -1 for other words."""
+        """Ids; -1 for other words. Looks only at the words that share the first bits, of which there are few."""
+        out = np.full(len(codes), -1, np.int64)
         if not len(self.hashes):
-            return np.full(len(codes), -1, np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == codes, self.ids[i], -1)
+            return out
+        slot = (codes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            same = self.hashes[at[open_]] == codes[open_]
+            out[open_[same]] = self.ids[at[open_[same]]]
+            at[open_] += 1
+            open_ = open_[~same & (at[open_] < end[open_])]
+        return out
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -140,7 +152,7 @@ def _head(vocabulary: DataFrame, most_words: int) -> Head:
     by_hash = np.argsort(h)
     tokens, distinct = sum(r["c"] for r in bins), sum(r["n"] for r in bins)
     counts = np.concatenate([c, [docs]])
-    return Head(h[by_hash], by_hash.astype(np.int64), counts, tokens + docs, distinct + (docs > 0), distinct - len(h), int(tokens - c.sum()))
+    return Head(h[by_hash], by_hash.astype(np.int64), counts, tokens + docs, distinct + (docs > 0), distinct - len(h))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most_docs: int = 1_000, most_tokens: int = 500_000) -> Iterator[tuple[int, list, list[np.ndarray]]]:
@@ -237,12 +249,8 @@ class Bucket:
         self.contexts, self.words = ([np.unique(np.concatenate([x[k] for x in own])) for k in (0, 1)]) if own else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
         self.packed = [x for _, _, x in rows]
         self.places = [[np.searchsorted(all_, x).astype(np.uint32) for all_, x in zip((self.contexts, self.words), both, strict=True)] for both in own]
-        pair, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(rows), 64):
-            got = [self.entries(i) for i in range(at, min(len(rows), at + 64))]
-            pair, back = np.unique(np.concatenate([pair, *(x[1][~x[3]] for x in got)]), return_inverse=True)
-            count = np.bincount(back, np.concatenate([count, *(x[2][~x[3]] for x in got)]), len(pair)).astype(np.int64)
-        self.pair, self.count = pair, count
+        got = [self.entries(i) for i in range(len(rows))]
+        self.pair, self.count = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.repeat(key, times * ~held) for _, key, times, held in got)]), return_counts=True)
 
     def entries(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return _entries(self.packed[i], self.first, self.places[i])
@@ -287,7 +295,7 @@ def _seen(table: DataFrame, first: int, parts: int) -> DataFrame:
         for k in np.unique(part).tolist():
             here = np.flatnonzero(part == k) + first
             rows.append(("word", bucket, k, pack(x.words[here - first], by_word[here], by_many[here]), 0, 0))
-        heads = [*(np.bincount(v, minlength=first)[:first].astype(np.int64) for v in (w, u, w[~many], u[~many]))]
+        heads = [*(np.bincount(v, minlength=first)[:first].astype(np.uint32) for v in (w, u, w[~many], u[~many]))]
         rows += [("head", bucket, k, pack(*(v[a:e] for v in heads)), 0, 0) for k, (a, e) in enumerate(_edges(first))]
         rows.append(("counts", bucket, -1, None, int((x.count == 1).sum()), int((x.count == 2).sum())))
         return _table(rows)
@@ -298,17 +306,19 @@ def _seen(table: DataFrame, first: int, parts: int) -> DataFrame:
 def _frequent(rows: DataFrame, size: int, arrays: int) -> list[np.ndarray]:
     """Sums over all buckets of what they give by segment: `arrays` arrays of the frequent words' length."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, segment = None, None
-        for batch in batches:
-            for s, x in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                got = np.stack(unpack(x, *[np.int64] * arrays))
-                segment, total = s, got if total is None else total + got
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(*total)], pa.binary())], ["part", "salt", "data"])
+    def adder(kind: type) -> Callable:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, segment = np.zeros(1, np.int64), None
+            for batch in batches:
+                for segment, x in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):  # noqa: B007
+                    total = total + np.stack(unpack(x, *[kind] * arrays))
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([0], pa.int32()), pa.array([pack(*total)], pa.binary())], ["part", "salt", "data"])
+
+        return add
 
     schema = "part int, salt int, data binary"
-    dealt = rows.where("kind = 'head'").select("part", (F.col("bucket") % 64).alias("salt"), "data")
-    got = dealt.groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).orderBy("part").collect()
+    dealt = rows.where("kind = 'head'").select("part", (F.floor(F.col("bucket") / 64) % 64).cast("int").alias("salt"), "data")
+    got = dealt.groupBy("part", "salt").applyInArrow(adder(np.uint32), schema).groupBy("part").applyInArrow(adder(np.int64), schema).orderBy("part").collect()
     if not got:
         return [np.zeros(size, np.int64) for _ in range(arrays)]
     return [np.concatenate(x) for x in zip(*(unpack(r["data"], *[np.int64] * arrays) for r in got), strict=True)]
@@ -401,7 +411,8 @@ def _swept(static: DataFrame, state: DataFrame, parent: Parent, how: Settings, n
             by_context = np.bincount(u, tables, first + len(single)).astype(np.int64)
             rows.append(("state", bucket, -1, pack(tables, total), 0, int(tables.sum())))
             rows += [("word", bucket, k, pack(by_word[first:][part == k].astype(np.int64)), 0, 0) for k in np.unique(part).tolist()]
-            rows += [("head", bucket, k, pack(by_word[a:e], by_context[a:e], sums[a:e]), 0, 0) for k, (a, e) in enumerate(_edges(first))]
+            heads = [v[:first].astype(np.uint32) for v in (by_word, by_context, sums)]
+            rows += [("head", bucket, k, pack(*(v[a:e] for v in heads)), 0, 0) for k, (a, e) in enumerate(_edges(first))]
         return _table(rows)
 
     return written(static.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, ROW), "lm-swept")
@@ -495,7 +506,7 @@ def _scored(table: DataFrame, state: DataFrame, parent: np.ndarray, contexts: np
                 p = p + np.where(x.pair[j] == key, seen[j], 0.0)
             sums = [np.bincount(doc, times * y) for y in (np.log10(p), log_base[u], known[u])]
             there = np.unique(doc)
-            out.append((block, 1, pack(there.astype(np.uint16), *(y[there] for y in sums))))
+            out.append((block, 1, pack(there.astype(np.uint16), *(y[there] for y in sums[:2]), sums[2][there].astype(np.uint32))))
         return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "data": pa.array([r[2] for r in out], pa.binary())})
 
     return table.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, "block long, kind int, data binary")
@@ -511,7 +522,7 @@ def _summed(parts: DataFrame, tokens: int, distinct: int) -> DataFrame:
         sums = [np.zeros(size) for _ in range(3)]
         for k, x in sorted(zip(kinds, data, strict=True)):  # one order, so that sums are the same each time
             if k == 1:
-                doc, *got = unpack(x, np.uint16, np.float64, np.float64, np.float64)
+                doc, *got = unpack(x, np.uint16, np.float64, np.float64, np.uint32)
                 for total, y in zip(sums, got, strict=True):
                     total[doc] += y
         score, base, known = sums

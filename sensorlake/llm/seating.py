@@ -5,7 +5,7 @@ S(c, t) * prod_{j<t} (strength + d * (others + j)) * q_j: S, a generalised Stirl
 seatings of c customers at t tables; `others` are the tables of the other dishes; q_j is the parent's probability of the dish
 after j more of its tables. Drawing t from these weights removes every customer of the dish and seats all of them anew.
 
-Up to LIMIT customers the weights are summed over all t, with exact Stirling numbers. Beyond it the weights are
+Up to LIMIT customers the weights are summed over all t, with exact Stirling numbers (up to FEW by ratios of neighbours, without logarithms). Beyond it the weights are
 looked at on a coarse grid first, then on a fine one around the most likely t; Stirling numbers come from their alternating series, and from
 a saddle point where that would cancel.
 """
@@ -17,7 +17,7 @@ from functools import cache
 
 import numpy as np
 
-LIMIT = 1024
+LIMIT, FEW = 1024, 32
 EDGES = [2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512, 768, LIMIT]
 SERIES, NEAR = 48, 2.0
 COARSE, FINE = 48, 128
@@ -39,7 +39,7 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 @cache
 def stirling(d: float, limit: int = LIMIT) -> np.ndarray:
-    """Logarithms of S(c, t) at [c, t - 1], for c up to limit."""
+    """Logarithms of S(c, t) at [t - 1, c], for c up to limit."""
     out = np.full((limit + 1, limit), -np.inf)
     out[1, 0] = 0.0
     t = np.arange(1, limit + 1)
@@ -47,7 +47,15 @@ def stirling(d: float, limit: int = LIMIT) -> np.ndarray:
         for c in range(1, limit):
             stay = np.where(t <= c, out[c] + np.log(np.maximum(c - d * t, 1e-300)), -np.inf)
             out[c + 1] = np.logaddexp(stay, np.concatenate([[-np.inf], out[c, :-1]]))
-    return out.astype(np.float32)
+    return np.ascontiguousarray(out.T.astype(np.float32))
+
+
+@cache
+def _ratios(d: float) -> np.ndarray:
+    """S(c, t + 1) / S(c, t) at [t - 1, c], for c up to FEW."""
+    s = stirling(d)[: FEW + 1, : FEW + 1].astype(np.float64)
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num(np.exp(s[1:] - s[:-1]), nan=0.0, posinf=0.0)
 
 
 @cache
@@ -108,16 +116,21 @@ def draw(c: np.ndarray, others: np.ndarray, d: float, strength: float, first: np
     base, step = later
     for lo, hi in zip([1, *EDGES[:-1]], EDGES, strict=True):
         at = np.flatnonzero((c > lo) & (c <= hi))
+        if hi <= FEW:
+            for s in range(0, len(at), 16_384):
+                i = at[s : s + 16_384]
+                t[i] = _draw_few(c[i], hi, strength + d * others[i], d, base[i], step, rng)
+            continue
         for s in range(0, len(at), max(1, 2_000_000 // hi)):
             i = at[s : s + max(1, 2_000_000 // hi)]
-            j = np.arange(hi)
-            way = strength + d * (others[i, None] + j)
-            way[:, 0] *= first[i]
-            way[:, 1:] *= base[i, None] + step * j[1:]
-            weight = np.cumsum(np.log(way), axis=1) + stirling(d)[c[i], :hi]
-            weight = np.exp(weight - weight.max(axis=1, keepdims=True))
-            weight = np.cumsum(weight, axis=1)
-            t[i] = 1 + (weight < (rng.random(len(i)) * weight[:, -1])[:, None]).sum(axis=1)
+            j = np.arange(hi)[:, None]  # a row a table count: all steps run along the dishes
+            way = strength + d * (others[i] + j)
+            way[0] *= first[i]
+            way[1:] *= base[i] + step * j[1:]
+            weight = np.cumsum(np.log(way, out=way), axis=0) + stirling(d)[:hi, c[i]]
+            weight -= weight.max(axis=0)
+            weight = np.cumsum(np.exp(weight, out=weight), axis=0)
+            t[i] = 1 + (weight < rng.random(len(i)) * weight[-1]).sum(axis=0)
     at = np.flatnonzero(c > LIMIT)
     for s in range(0, len(at), 2_000):
         i = at[s : s + 2_000]
@@ -125,6 +138,19 @@ def draw(c: np.ndarray, others: np.ndarray, d: float, strength: float, first: np
     return t
 
 
+def _draw_few(c: np.ndarray, hi: int, room: np.ndarray, d: float, base: np.ndarray, step: float, rng: np.random.Generator) -> np.ndarray:
+    ratio, weight, q = _ratios(d), np.ones(len(c)), base
+    sums = [weight]
+    for j in range(1, hi):
+        room, q = room + d, q + step
+        weight = weight * ratio[j - 1, c] * room * q
+        sums.append(sums[-1] + weight)
+    mark, t = rng.random(len(c)) * sums[-1], np.ones(len(c), np.int64)
+    for x in sums[:-1]:
+        t += x < mark
+    return t
+
+
 def _draw_many(c: np.ndarray, others: np.ndarray, d: float, strength: float, first: np.ndarray, base: np.ndarray, step: float, rng: np.random.Generator) -> np.ndarray:
     def weight(t: np.ndarray) -> np.ndarray:
         """By dish and table count."""

@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,7 +100,7 @@ def stirling_by_hand(d, c):
     return now
 
 
-@pytest.mark.parametrize("c", [2, 65, 1_000, 1_025, 6_000])
+@pytest.mark.parametrize("c", [2, 3, 20, 65, 1_000, 1_025, 6_000])
 @pytest.mark.parametrize(("others", "q", "step"), [(0, 0.3, 0.0), (300, 0.01, 0.0), (100_000, 0.02, 0.0), (40, 1e-5, 1e-5)])
 def test_tables_follow_the_weights_of_all_seatings(c, others, q, step):
     d, strength, n = 0.75, 1.0, 4_000
@@ -549,13 +550,22 @@ def test_units_equal_whole_texts(tokenizer, documents):
         assert got == want
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(60, 8), (300, 40), (2_000, 100)])
+@pytest.mark.parametrize(("chunk", "overlap"), [(60, 8), (300, 40), (2_000, 100), (90, 45)])
 def test_spliced_chunks_equal_whole_texts(tokenizer, documents, chunk, overlap):
     texts = TRICKY + ["x" * 1_000, "\n \n  ".join(TRICKY) * 9] + [r["text"] or "" for r in documents.collect()[:60]]
     for t in texts:
         assert token_counts.long_ids(tokenizer, t, chunk, overlap) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_long_texts_without_blanks_take_linear_time(tokenizer):
+    text = base64.b64encode(random.Random(1).randbytes(1_500_000)).decode()
+    began = time.perf_counter()
+    assert len(token_counts.long_ids(tokenizer, text, 16_384, 512)) == len(tokenizer.encode(text, add_special_tokens=False).ids)
+    assert time.perf_counter() - began < 60
+    for text in ("x" * 150_000, "".join(chr(0x4E00 + i * 7 % 20_000) for i in range(40_000))):  # no cut at all
+        assert token_counts.long_ids(tokenizer, text, 16_384, 512) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts(spark, awkward, empty, tokenizer):
     got = token_counts.token_counts(awkward, BPE, huge_chars=100, chunk_chars=80, overlap=10).collect()
     want = sorted((str(i), len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in AWKWARD)
