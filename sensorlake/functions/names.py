@@ -95,6 +95,14 @@ def product_root(key: Column, marker: str) -> Column:
     return F.when(at > 0, F.array_join(F.slice(parts, F.lit(1), at), "/"))
 
 
+def satellite(key: Column) -> Column:
+    """S2A, S2B or S2C, whichever the key names first in this order; `?` for none."""
+    unit = F.lit("?")
+    for letter in "CBA":
+        unit = F.when(key.rlike(f"S0?2{letter}"), f"S2{letter}").otherwise(unit)
+    return unit
+
+
 def number_list(text: Column) -> Column:
     """Numbers of a text with blanks between them; anything else is left out."""
     return F.filter(F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())

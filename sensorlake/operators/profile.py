@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.functions.radiometry import DN_MAX, SATURATED
+from sensorlake.operators import lineblocks
 
 
 def frame_profile(pixels: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,10 +63,9 @@ def framed(a: DataFrame, b: DataFrame, begin: DataFrame, keys: list[str]) -> Dat
 
 def drift(a: DataFrame, b: DataFrame, keys: list[str], reach: int) -> DataFrame:
     """keys, shift, correlation of the best line shift within +-reach; the smallest shift wins a tie."""
-    shifted = a.withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("line", F.col("line") + F.col("shift"))
-    at = [*keys, "line", "col"]
-    x = shifted.select(*at, "shift", F.col("dn").cast("double").alias("x")).join(b.select(*at, F.col("dn").cast("double").alias("y")), at)
-    c = x.groupBy(*keys, "shift").agg(F.corr("x", "y").alias("cc")).where("cc IS NOT NULL")
+    s = lineblocks.shifted_sums(a, b, keys, reach)
+    vx, vy = (F.col("n") * F.col(f"s{v}{v}") - F.col(f"s{v}") * F.col(f"s{v}") for v in "xy")
+    c = s.where((vx > 0) & (vy > 0)).withColumn("cc", (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx) / F.sqrt(vy))
     best = F.max(F.struct(F.round("cc", 9).alias("cc"), (-F.col("shift")).alias("s")))
     return c.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.s")).alias("shift"), F.col("b.cc").alias("correlation"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.operators import lineblocks
+
 
 def unbin(pixels: DataFrame, factor: int, axis: str = "col") -> DataFrame:
     """Each pixel repeated `factor` times along an axis."""
@@ -20,11 +22,8 @@ def bin_mean(pixels: DataFrame, factor: int, keys: list[str], value: str = "dn",
 
 
 def blur(pixels: DataFrame, kernel: DataFrame, keys: list[str], value: str = "dn") -> DataFrame:
-    """Circular convolution with a small kernel (dy, dx, w): each pixel gives to its neighbours, sums are kept."""
-    size = pixels.groupBy(*keys).agg((F.max("line") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    x = pixels.join(F.broadcast(size), keys).crossJoin(F.broadcast(kernel))
-    line, col = F.pmod(F.col("line") + F.col("dy"), F.col("_h")), F.pmod(F.col("col") + F.col("dx"), F.col("_w"))
-    return x.select(*keys, line.alias("line"), col.alias("col"), (F.col(value) * F.col("w")).alias("_v")).groupBy(*keys, "line", "col").agg(F.sum("_v").alias(value))
+    """Circular convolution with a small kernel (dy, dx, w), by blocks of lines."""
+    return lineblocks.convolve(pixels, kernel, keys, value)
 
 
 def integrate_psf(matrix: DataFrame, keys: list[str], centre: int, oversampling: int) -> DataFrame:

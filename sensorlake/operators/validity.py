@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, right_id: str) -> DataFrame:
     """Each row with the latest right row that starts at or before its time (the smallest id of a start); null where there is none.
 
-    Both sides are put on one time line by day, and the last start is carried forward: a window over distinct days, not a range join.
+    Times become dates. Both sides are put on one time line by day, and the last start is carried forward: a window over distinct days,
+    of which the calendar has few (36,525 in a century) however many rows there are.
     """
-    starts = right.groupBy(F.col(right_time).alias("_t")).agg(F.min(right_id).alias(right_id))
+    left = left.withColumn(left_time, F.col(left_time).cast("date"))
+    starts = right.groupBy(F.col(right_time).cast("date").alias("_t")).agg(F.min(right_id).alias(right_id))
     days = left.select(F.col(left_time).alias("_t")).distinct().join(starts, "_t", "full_outer")
     w = Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col(right_id).isNotNull(), F.struct(F.col("_t").alias("s"), right_id)), ignorenulls=True).over(w)
@@ -19,6 +21,29 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, ri
     return left.join(line, left_time, "left")
 
 
+def _month(day: Column) -> Column:
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def applicable(left: DataFrame, files: DataFrame, time: str, file_id: str, kind: str, warn_years: float = 1.0) -> DataFrame:
+    """left with, for each type of file, the one that applies: the last that starts at or before the day (the smallest id of a start), or the
+    first of its type where all start later. files: file_id, kind, start, stop. Adds within_validity (the day is in [start, stop]), gap_days,
+    gap_years (two decimals) and warn (outside, or a gap of more than warn_years).
+
+    Each file of a type holds the interval to the next start; intervals are dealt out to their months, and rows meet them by an equi join
+    on the month. Windows run within a type over its distinct starts. Rows without a day have no file and are kept.
+    """
+    own = Window.partitionBy(kind).orderBy("start")
+    first = files.where(F.col("start").isNotNull()).groupBy(kind, F.col("start").cast("date").alias("start")).agg(F.min(F.struct(file_id, F.col("stop").cast("date").alias("stop"))).alias("f"))
+    held = first.select(kind, "start", f"f.{file_id}", "f.stop", F.when(F.lag("start").over(own).isNull(), F.lit("1900-01-01").cast("date")).otherwise(F.col("start")).alias("_lo"), F.coalesce(F.lead("start").over(own), F.lit("2200-01-01").cast("date")).alias("_hi"))
+    held = held.withColumn("_m", F.explode(F.sequence(_month(F.col("_lo")), _month(F.col("_hi")))))
+    x = left.withColumn("_d", F.col(time).cast("date")).withColumn("_m", _month(F.col("_d")))
+    x = x.join(held, (x["_m"] == held["_m"]) & (x["_d"] >= held["_lo"]) & (x["_d"] < held["_hi"]), "left").drop("_m", "_lo", "_hi")
+    days = F.abs(F.datediff("_d", "start"))
+    x = x.withColumns({"within_validity": F.col("_d").between(F.col("start"), F.col("stop")), "gap_days": days, "gap_years": F.round(days / 365.25, 2)})
+    return x.withColumn("warn", F.coalesce((F.col("gap_years") > warn_years) | ~F.col("within_validity"), F.lit(True))).drop("_d")
+
+
 def gap(rows: DataFrame, time: str, start: str, warn_days: int) -> DataFrame:
     """gap_days, gap_years, and warn where the gap is longer than wanted or nothing is valid."""
     days = F.abs(F.datediff(time, start))
@@ -38,6 +63,13 @@ def epoch_change(a: DataFrame, b: DataFrame, keys: list[str], index: list[str],
     return x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(d).alias("mean_abs"), F.avg(d / (F.abs("a") + 1e-12)).alias("mean_relative"))
 
 
+def shape_mismatch(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_a, n_b of those whose numbers of coefficients differ between two epochs, or that one of them lacks."""
+    n = lambda x, name: x.groupBy(*keys).agg(F.count("*").alias(name))
+    both = n(a, "n_a").join(n(b, "n_b"), keys, "full_outer").na.fill(0, ["n_a", "n_b"])
+    return both.where("n_a <> n_b")
+
+
 def line_stride(fine: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """groups: keys, n (fine lines), m (lines of the group). keys, line, fine_line: each line of the group with the fine line it is sampled from."""
     stride = F.greatest(F.lit(1), F.floor(F.col("n") / F.col("m")))

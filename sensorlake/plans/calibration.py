@@ -137,6 +137,13 @@ def agg_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.stage_row(frame(spark, sf_dir), BAND).select("band", "lo", "hi", *[steady(n).alias(n) for n in ("mean", "std", "snr_db")])
 
 
+@query("agg_13_stage_row_entropy", sql(FRAME, _H, "e AS (SELECT band, -sum(CAST(n AS DOUBLE) / t * log2(CAST(n AS DOUBLE) / t)) AS entropy FROM h JOIN t USING (band) GROUP BY band)", "s AS (SELECT band, min(dn) AS lo, max(dn) AS hi, avg(dn) AS mean, stddev_pop(dn) AS std FROM frame GROUP BY band)", "SELECT band, lo, hi, round(mean, 6) AS mean, round(std, 6) AS std, round(20 * log10(mean / nullif(std, 0)), 6) AS snr_db, round(entropy, 6) AS entropy FROM s JOIN e USING (band)"))
+def agg_13_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frame(spark, sf_dir)
+    whole = profile.stage_row(f, BAND).join(profile.entropy(f, BAND), "band")
+    return whole.select("band", "lo", "hi", *[steady(n).alias(n) for n in ("mean", "std", "snr_db", "entropy")])
+
+
 @query("agg_14_bit_depth", sql(FRAME, "SELECT band, CASE WHEN max(dn) * 2 <= 4095 THEN 12 ELSE 16 END AS bit_depth FROM frame GROUP BY band"))
 def agg_14(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir).groupBy("band").agg(profile.bit_depth(F.max("dn") * 2).alias("bit_depth"))
@@ -241,6 +248,17 @@ def agg_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("band").agg(F.count("*").alias("n"), (F.max(F.abs(F.col("back") - F.col("dn"))) < 1e-6).alias("exact"))
 
 
+@query("agg_30_round_trip_error", sql(FRAME, COEF, "px AS (SELECT c.*, f.line, f.dn FROM frame f JOIN coef c USING (band, col))", "cr AS (SELECT *, CASE WHEN model = 'CUBIC' THEN a * (dn - dark) * (dn - dark) * (dn - dark) + b * (dn - dark) * (dn - dark) + c * (dn - dark) WHEN dn - dark <= zs THEN a1 * (dn - dark) ELSE a2 * (dn - dark) + (a1 - a2) * zs END AS w FROM px)", *newton_sql("cr", "w", "iv"), *fpn_sql("frame", "dn", "p"), *fpn_sql("cr", "w", "q"), "e AS (SELECT band, count(*) AS n, sqrt(avg((inv + dark - dn) * (inv + dark - dn))) AS rmse FROM iv WHERE dn > 0 AND dn < 32768 GROUP BY band)", "SELECT band, n, round(rmse, 6) AS rmse, round(p.fpn, 6) AS fpn_before, round(q.fpn, 6) AS fpn_after FROM e JOIN p USING (band) JOIN q USING (band)"))
+def agg_30_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of forward and back on valid pixels, and column noise of the counts and of the corrected values."""
+    f = frame(spark, sf_dir)
+    x = align.with_coefficients(f, coefficients(spark), BAND).withColumn("w", R.forward_correct(dn()))
+    d = F.col("back") - F.col("dn")
+    error = R.reverse_impress(x, F.col("w"), "back").where("dn > 0 AND dn < 32768").groupBy("band").agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"))
+    noise = calibrate.column_fpn(f, BAND).join(calibrate.column_fpn(x, BAND, "w").withColumnRenamed("fpn", "after"), "band")
+    return error.join(noise, "band").select("band", "n", steady("rmse").alias("rmse"), steady("fpn").alias("fpn_before"), steady("after").alias("fpn_after"))
+
+
 @query("agg_31_array_summary", "SELECT label AS band, min(v) AS lo, max(v) AS hi, round(avg(v), 6) AS mean, count(*) FILTER (isnan(v)) AS n_nan FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY label")
 def agg_31(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorlake.operators.coding import array_summary

@@ -113,6 +113,21 @@ def join_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.gap(v, "day", "start", 365).select("o_orderkey", "adf_id", "start", "gap_days", steady("gap_years").alias("gap_years"), "warn")
 
 
+_STOPS = "st AS (SELECT type, start, min({'id': adf_id, 'stop': CASE WHEN adf_id % 5 = 0 THEN DATE '2100-01-01' ELSE start + CAST(200 + adf_id % 400 AS INT) END}) AS f FROM adf GROUP BY ALL)"
+_HELD = "held AS (SELECT type, start, f.id AS adf_id, f.stop AS stop, CASE WHEN lag(start) OVER w IS NULL THEN DATE '1900-01-01' ELSE start END AS lo, coalesce(lead(start) OVER w, DATE '2200-01-01') AS hi FROM st WINDOW w AS (PARTITION BY type ORDER BY start))"
+_CHOSEN = "ch AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, h.* FROM pn JOIN held h ON CAST(o_orderdate AS DATE) >= h.lo AND CAST(o_orderdate AS DATE) < h.hi)"
+_JUDGED = "j AS (SELECT *, day BETWEEN start AND stop AS within_validity, CAST(abs(date_diff('day', start, day)) AS INT) AS gap_days FROM ch)"
+
+
+@query("join_10_outside_window", sql(NAMES, ADF, _STOPS, _HELD, _CHOSEN, _JUDGED, "SELECT o_orderkey, type, adf_id, start, stop, within_validity, gap_days, round(gap_days / 365.25::DOUBLE, 2) AS gap_years, round(gap_days / 365.25::DOUBLE, 2) > 1 OR NOT within_validity AS warn FROM j"))
+def join_10_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each acquisition and type of coefficient file the one that applies, and whether the acquisition lies in its window."""
+    acq = product_names(spark, sf_dir).select("o_orderkey", F.col("o_orderdate").alias("day"))
+    stop = F.when(F.col("adf_id") % 5 == 0, F.lit("2100-01-01").cast("date")).otherwise(F.expr("date_add(start, cast(200 + adf_id % 400 as int))"))
+    files = coefficient_files(spark, sf_dir).withColumn("stop", stop)
+    return validity.applicable(acq, files, "day", "adf_id", "type").select("o_orderkey", "type", "adf_id", "start", "stop", "within_validity", "gap_days", "gap_years", "warn")
+
+
 @query("join_11_within_days", sql(NAMES, ADF, "e AS (SELECT type, min(start) AS epoch FROM adf GROUP BY type)", "h AS (SELECT type, kind, min(CAST(o_orderdate AS DATE)) AS first, count(*) AS n FROM e JOIN pn ON CAST(o_orderdate AS DATE) BETWEEN epoch AND epoch + 30 GROUP BY ALL)", "SELECT type, kind, first, n FROM h"))
 def join_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     acq = product_names(spark, sf_dir).select("kind", F.col("o_orderdate").cast("date").alias("day"))
@@ -173,6 +188,12 @@ def join_17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("band", "n", steady("mean_abs").alias("mean_abs"), steady("mean_relative").alias("mean_relative"))
 
 
+@query("join_17_shape_mismatch", sql(FRAME, "n AS (SELECT band, count(DISTINCT col) AS n_a, count(DISTINCT col) FILTER (band % 2 = 0 OR col < 60) AS n_b FROM frame GROUP BY band)", "SELECT * FROM n WHERE n_a <> n_b"))
+def join_17_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = frame(spark, sf_dir).groupBy("band", "col").agg(F.avg("dn").alias("v"))
+    return validity.shape_mismatch(c, c.where("band % 2 = 0 OR col < 60"), BAND)
+
+
 @query("join_18_line_stride", sql(FRAME, "n AS (SELECT band, max(line) + 1 AS n FROM frame GROUP BY band)", "s AS (SELECT band, 6 - band % 3 AS g, greatest(1, n // (n // (1 + band % 3))) AS stride, n // (1 + band % 3) AS m FROM n)", "SELECT band, CAST(r AS INT) AS line, CAST(r * stride AS INT) AS fine_line FROM s, range(600) x(r) WHERE r < m AND r * stride < (SELECT max(n) FROM n WHERE n.band = s.band)"))
 def join_18(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = frame(spark, sf_dir).select("band", "line").distinct()

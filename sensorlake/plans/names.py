@@ -165,6 +165,27 @@ def sca_26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product_names(spark, sf_dir).select("o_orderkey", N.product_root(F.concat(F.lit("in/"), F.col("name"), F.lit("/measurements/d05/img")), ".zarr").alias("root"))
 
 
+_DATED = "k AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 4 WHEN 0 THEN 'S2A' WHEN 1 THEN 'S02B' WHEN 2 THEN 'S2C' ELSE 'S3A' END || '/' || name AS key FROM pn), s AS (SELECT *, CASE o_orderkey % 4 WHEN 0 THEN 'S2A' WHEN 1 THEN 'S2B' WHEN 2 THEN 'S2C' ELSE '?' END AS satellite FROM k)"
+
+
+def _dated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = F.element_at(F.array(*map(F.lit, ("S2A", "S02B", "S2C", "S3A"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return product_names(spark, sf_dir).select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.concat_ws("/", unit, "name").alias("key"))
+
+
+@query("sca_26_satellite", sql(NAMES, _DATED, "SELECT o_orderkey, key, satellite FROM s"))
+def sca_26_satellite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dated_keys(spark, sf_dir).select("o_orderkey", "key", N.satellite(F.col("key")).alias("satellite"))
+
+
+@query("top_01_by_date", sql(NAMES, _DATED, "SELECT day, CAST(date_diff('day', DATE '1992-01-01', day) AS INT) AS days, satellite, key FROM s WHERE day >= DATE '1992-01-01'"))
+def top_01_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys from a first day on, in the order of date, satellite and key, with the days since then. The sort is by ranges, in many tasks."""
+    first = F.lit("1992-01-01").cast("date")
+    k = _dated_keys(spark, sf_dir).where(F.col("day") >= first)
+    return k.select("day", F.datediff("day", first).alias("days"), N.satellite(F.col("key")).alias("satellite"), "key").orderBy("day", "satellite", "key")
+
+
 @query("sca_27_first_line_map", "SELECT CAST(event_id % 50 AS INT) AS product, string_agg(b || '=' || t, ',' ORDER BY b) AS times FROM (SELECT event_id % 50 AS event_id, user_id % 13 AS b, CAST(min(epoch_us(ts) // 1000000) AS BIGINT) AS t FROM events GROUP BY ALL) GROUP BY event_id")
 def sca_27(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)

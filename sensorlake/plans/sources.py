@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.fixtures import ADF, FRAME, LISTING, NAMES, PACKET, coefficient_files, frame, listing, packets, product_names, sql, table
+from sensorlake.fixtures import ACQ, ADF, FRAME, LISTING, NAMES, PACKET, coefficient_files, frame, listing, packets, product_names, sql, table
 from sensorlake.functions.numbers import steady
 from sensorlake.operators import profile, stores
+from sensorlake.plans.calibration import running_mean_sql
 from sensorlake.plans.registry import query
 from sensorlake.sources import coefficients as S, frames
 from sensorlake.sources.dimensions import BANDS_SQL, SOLAR_SQL, UNITS, band_dim, solar_dim
@@ -276,6 +277,17 @@ def snk_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(dark.join(prnu, ["band", "col"], "left"), "column-adf").select("band", "col")
 
 
+@query("snk_07_column_values", sql(ACQ, "f AS (SELECT band, col, quantile_cont(dn, 0.01) AS dark FROM acq GROUP BY band, col)", "md AS (SELECT band, col, quantile_cont(dn, 0.5) AS m FROM acq WHERE kind = 'flat' GROUP BY band, col)", running_mean_sql("md", "m", 33, "t"), "r AS (SELECT *, coalesce(m / nullif(trend, 0), 1) AS r FROM t)", "p AS (SELECT band, col, r / quantile_cont(r, 0.5) OVER (PARTITION BY band) AS prnu FROM r)", "SELECT band, col, round(dark, 6) AS dark, round(prnu, 6) AS prnu FROM f LEFT JOIN p USING (band, col)"))
+def snk_07_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written column table with its values."""
+    from sensorlake.fixtures import acquisition
+    from sensorlake.operators import calibrate
+
+    a = acquisition(spark, sf_dir)
+    both = calibrate.column_floor(a, ["band"]).join(calibrate.column_prnu(a.where("kind = 'flat'"), ["band"]), ["band", "col"], "left")
+    return written(both, "column-adf").select("band", "col", steady("dark").alias("dark"), steady("prnu").alias("prnu"))
+
+
 @query("snk_08_run_report", sql(FRAME, "m AS (SELECT 'profile' AS phase, band, 'dn_max' AS name, CAST(max(dn) AS DOUBLE) AS value FROM frame GROUP BY band UNION ALL SELECT 'validate', band, 'lines', CAST(max(line) + 1 AS DOUBLE) FROM frame GROUP BY band)", "SELECT p.phase, band, name, value, m.phase IS NULL AS missing FROM (VALUES ('profile'), ('validate'), ('decode')) p(phase) LEFT JOIN m ON m.phase = p.phase"))
 def snk_08(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frame(spark, sf_dir)
