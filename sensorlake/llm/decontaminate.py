@@ -2,14 +2,16 @@
 
 The index holds the test items: for each term its postings in item order, in blocks with their largest impact. An impact is the
 term's BM25 weight in the item divided by the item's score against itself, so a score is the share of an item
-that a passage holds. Every training text is read whole as overlapping passages of twice the longest item, so each item
-lies inside one passage. Blocks are the same ranges of items in every list, so the largest impacts of a passage's terms add up
+that a passage holds. Every training text is read whole as overlapping passages of two units; an item's unit is the power of two that holds
+its words (LEAST_UNIT at least), so each item lies inside one passage and no item changes the passages of another. Items of
+one unit form an index. Blocks are the same ranges of items in every list, so the largest impacts of a passage's terms add up
 to a bound for each block, for all passages of a text at once; frequent terms are not added but bounded by
 what they can give to an item of the block. Block-max WAND searches the blocks whose bound reaches the threshold and
 gives all items at or above it. An item is a leak if, besides, its question (all but the last sentence) and its
 answer (the last sentence) are found again by their word pairs in the passage.
 
-The index is broadcast in shards of at most `shard_words` words; more items make more passes over the texts, not a larger broadcast.
+Items are dealt out by hash into shards of about `shard_words` words. A shard's indexes are broadcast together and share one vocabulary; more items
+make more passes over the texts, not a larger broadcast, and give the same rows. In how many items a term is, Spark counts over all of them.
 
 Defined results: null and empty texts or items hold nothing and match nothing; repeated rows are judged each; repeated
 items are found each by their id; equal scores keep the earlier passage; empty tables give no rows; other columns are ignored.
@@ -28,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.llm.common import integer_ids, written
+
 PUNCTUATION = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 BLOCK = 8  # items
+LEAST_UNIT = 32  # words
 FREQUENT = 0.05  # terms in a larger share of the items are bounded, not added
 K1, B = 1.2, 0.75
 
@@ -56,9 +61,12 @@ class Postings:
 
 @dataclass
 class Index:
+    """Items of one unit. Terms are numbers of the shard's vocabulary."""
+
+    unit: int
     ids: list[int]
-    vocabulary: dict[bytes, int]
-    postings: list[Postings]
+    n_terms: int
+    postings: dict[int, Postings]
     frequent: np.ndarray  # by term
     starts: np.ndarray  # where a term's blocks begin in the next two
     blocks: np.ndarray
@@ -67,7 +75,12 @@ class Index:
     slack: np.ndarray  # by block: the most that frequent terms give to one of its items
     question: list[set]
     answer: list[set]
-    longest: int
+
+
+@dataclass
+class Shard:
+    vocabulary: dict[bytes, int]
+    indexes: list[Index]
 
 
 def _pairs(words: list[bytes]) -> set:
@@ -86,34 +99,46 @@ def _parts(text: str) -> tuple[set, set]:
     return _pairs(q), _pairs(a)
 
 
-def build_index(items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_words: float) -> Index | None:
-    """The index of some items; df, n_items and mean_words describe all items, so shards give the scores of one index."""
-    items = [(i, t, w) for i, t in sorted(items, key=lambda x: x[0]) if (w := terms(t))]
-    if not items:
-        return None
-    lists: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
+def unit_of(n_words: int) -> int:
+    return max(LEAST_UNIT, 1 << max(0, n_words - 1).bit_length())
+
+
+def build_index(items: list[tuple[int, str, list[bytes]]], vocabulary: dict[bytes, int], df: dict[bytes, int], n_items: int, mean_words: float) -> Index:
+    """The index of items of one unit; df, n_items and mean_words describe all items, so that any dealing gives the scores of one index."""
+    lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
+    often = max(BLOCK, FREQUENT * n_items)
     for o, (_, _, w) in enumerate(items):
         norm = K1 * (1 - B + B * len(w) / mean_words)
         weight = {t: math.log1p((n_items - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in Counter(w).items()}
         whole = sum(weight.values())
         for t, x in weight.items():
-            lists[t].append((o, x / whole))
-    vocabulary = {t: k for k, t in enumerate(sorted(lists))}
-    postings = [Postings(np.array([o for o, _ in lists[t]]), np.array([x for _, x in lists[t]])) for t in vocabulary]
-    parts = [_parts(t) for _, t, _ in items]
-    frequent = np.array([df[t] > max(BLOCK, FREQUENT * n_items) for t in vocabulary])
+            lists[vocabulary[t]].append((o, x / whole))
+    postings = {t: Postings(np.array([o for o, _ in x]), np.array([y for _, y in x])) for t, x in sorted(lists.items())}
+    frequent = np.array([df[t] > often for t in vocabulary])
     given = np.zeros(-(-len(items) // BLOCK) * BLOCK)
-    for p in (p for p, f in zip(postings, frequent, strict=True) if f):
-        given[p.items] += p.impacts
-    return Index(
-        [i for i, _, _ in items], vocabulary, postings, frequent, np.cumsum([0, *(len(p.blocks) for p in postings)]), np.concatenate([p.blocks for p in postings]),
-        np.concatenate([p.block_max for p in postings]), np.concatenate([p.block_at for p in postings]), given.reshape(-1, BLOCK).max(axis=1), [p[0] for p in parts], [p[1] for p in parts], max(len(w) for _, _, w in items),
-    )
+    for t, p in postings.items():
+        if frequent[t]:
+            given[p.items] += p.impacts
+    n_blocks = np.zeros(len(vocabulary), np.int64)
+    n_blocks[list(postings)] = [len(p.blocks) for p in postings.values()]
+    parts = [_parts(t) for _, t, _ in items]
+    flat = lambda name: np.concatenate([getattr(p, name) for p in postings.values()])
+    return Index(unit_of(len(items[0][2])), [i for i, _, _ in items], len(vocabulary), postings, frequent, np.cumsum([0, *n_blocks]), flat("blocks"), flat("block_max"), flat("block_at"), given.reshape(-1, BLOCK).max(axis=1), [p[0] for p in parts], [p[1] for p in parts])
+
+
+def build_shard(items: list[tuple[int, str]], df: dict[bytes, int], n_items: int, mean_words: float) -> Shard:
+    """Items without words are left out; equal ids stand in the order of their texts."""
+    by_unit: dict[int, list] = defaultdict(list)
+    for i, t in sorted(items):
+        if w := terms(t):
+            by_unit[unit_of(len(w))].append((i, t, w))
+    vocabulary = {t: k for k, t in enumerate(sorted({t for x in by_unit.values() for _, _, w in x for t in w}))}
+    return Shard(vocabulary, [build_index(x, vocabulary, df, n_items, mean_words) for _, x in sorted(by_unit.items())])
 
 
 def candidates(index: Index, ids: np.ndarray, threshold: float) -> list[tuple[int, list[int]]]:
-    """(passage number, blocks) where the bound of a block reaches the threshold; passage k is words k * longest up to (k + 2) * longest."""
-    size, n_blocks, n_terms = index.longest, len(index.slack), len(index.vocabulary)
+    """(passage number, blocks) where the bound of a block reaches the threshold; passage k is words k * unit up to (k + 2) * unit."""
+    size, n_blocks, n_terms = index.unit, len(index.slack), index.n_terms
     passages = max(1, -(-(len(ids) - size) // size))
     at = np.flatnonzero(ids >= 0)
     at = at[~index.frequent[ids[at]]]
@@ -172,49 +197,55 @@ def wand(index: Index, query: np.ndarray, threshold: float, blocks: list[int] |
     return found
 
 
-def search(index: Index, text: str | None, threshold: float, least_question: float, least_answer: float) -> list[tuple[int, float, float, float, int]]:
+def search(shard: Shard, text: str | None, threshold: float, least_question: float, least_answer: float) -> list[tuple[int, float, float, float, int]]:
     """(item id, score, question overlap, answer overlap, first word of the passage) of each leak, by its best passage."""
     words = terms(text)
     if not words:
         return []
-    ids = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-    best: dict[int, tuple[float, float, float, int]] = {}
-    for k, blocks in candidates(index, ids, threshold):
-        s, e = k * index.longest, (k + 2) * index.longest
-        part = ids[s:e]
-        got = wand(index, np.unique(part[part >= 0]), threshold, blocks)
-        if got:
-            passage = words[s:e]
-            pairs = set(zip(passage, passage[1:], strict=False)) | {(w,) for w in passage}
-            for item, score in got:
-                q, a = index.question[item], index.answer[item]
-                qo, ao = len(q & pairs) / len(q), len(a & pairs) / len(a)
-                if qo >= least_question and ao >= least_answer and (item not in best or score > best[item][0]):
-                    best[item] = (score, qo, ao, int(s))
-    return [(index.ids[i], *best[i]) for i in sorted(best)]
-
-
-def _shards(benchmark: DataFrame, item_id: str, item_text: str, shard_words: int) -> Iterator[Index]:
-    """Indexes of the items, one for each pass. Item frequencies are counted over all of them."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND length(t) > 0")
-    df: Counter = Counter()
-    n = total = 0
-    for r in items.toLocalIterator():
-        w = terms(r["t"])
-        df.update(set(w))
-        n, total = n + bool(w), total + len(w)
-    held, size = [], 0
-    for r in items.orderBy("i", "t").toLocalIterator():
-        held.append((r["i"], r["t"]))
-        size += len(terms(r["t"]))
-        if size >= shard_words:
-            yield build_index(held, df, n, total / max(n, 1))
-            held, size = [], 0
-    if held:
-        yield build_index(held, df, n, total / max(n, 1))
-
-
-def _mapped(docs: DataFrame, index: Index, limits: tuple[float, float, float]) -> DataFrame:
+    ids = np.fromiter(map(shard.vocabulary.get, words, repeat(-1)), np.int64, len(words))
+    out = []
+    for index in shard.indexes:
+        best: dict[int, tuple[float, float, float, int]] = {}
+        for k, blocks in candidates(index, ids, threshold):
+            s, e = k * index.unit, (k + 2) * index.unit
+            part = ids[s:e]
+            got = wand(index, np.unique(part[part >= 0]), threshold, blocks)
+            if got:
+                passage = words[s:e]
+                pairs = set(zip(passage, passage[1:], strict=False)) | {(w,) for w in passage}
+                for item, score in got:
+                    q, a = index.question[item], index.answer[item]
+                    qo, ao = len(q & pairs) / len(q), len(a & pairs) / len(a)
+                    if qo >= least_question and ao >= least_answer and (item not in best or score > best[item][0]):
+                        best[item] = (score, qo, ao, int(s))
+        out += [(index.ids[i], *best[i]) for i in sorted(best)]
+    return out
+
+
+def _shards(benchmark: DataFrame, item_id: str, item_text: str, shard_words: int) -> Iterator[Shard]:
+    """One shard for each pass over the texts; the driver holds one at a time."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = [terms(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(x) for x in w], pa.int64()), pa.array([sorted(set(x)) for x in w], pa.list_(pa.binary()))], ["i", "t", "n", "terms"])
+
+    items = benchmark.select(integer_ids(benchmark, item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("i IS NOT NULL AND length(t) > 0")
+    items = written(items.mapInArrow(split, "i long, t string, n long, terms array<binary>").where("n > 0"), "benchmark-items")
+    n, total = items.agg(F.count("*"), F.sum("n")).first()
+    if not n:
+        return
+    shards = -(-total // shard_words)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards)))
+    each = items.select("shard", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("n"))
+    for s in range(shards):
+        own = each.where(F.col("shard") == s).select("term").distinct()
+        counts = {bytes(r["term"]): r["n"] for r in df.join(own, "term", "left_semi").collect()}
+        yield build_shard([(r["i"], r["t"]) for r in items.where(F.col("shard") == s).select("i", "t").collect()], counts, n, total / n)
+
+
+def _mapped(docs: DataFrame, index: Shard, limits: tuple[float, float, float]) -> DataFrame:
     given = docs.sparkSession.sparkContext.broadcast(index)
     kind = docs.schema["_id"].dataType.simpleString()
 
@@ -234,9 +265,8 @@ def leaks(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_c
     limits = (threshold, least_question, least_answer)
     out = None
     for index in _shards(benchmark, item_id, item_text, shard_words):
-        if index is not None:
-            part = _mapped(docs, index, limits)
-            out = part if out is None else out.unionByName(part)
+        part = _mapped(docs, index, limits)
+        out = part if out is None else out.unionByName(part)
     if out is None:
         kind = docs.schema["_id"].dataType.simpleString()
         out = df.sparkSession.createDataFrame([], f"_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
@@ -248,8 +278,6 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
     limits = (threshold, least_question, least_answer)
     at = df.columns.index(text_col)
     for index in _shards(benchmark, item_id, item_text, shard_words):
-        if index is None:
-            continue
         given = df.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], given: object = given) -> Iterator[pa.RecordBatch]:

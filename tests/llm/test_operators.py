@@ -348,25 +348,76 @@ def test_ablations_equal_recounts(spark, documents, empty):
 # 5 decontamination
 
 
-def make_index(items):
+def make_shard(items):
     df, total = Counter(), 0
     for _, t in items:
         w = decontaminate.terms(t)
         df.update(set(w))
         total += len(w)
-    return decontaminate.build_index(items, df, len(items), total / len(items))
+    return decontaminate.build_shard(items, df, len(items), total / len(items))
+
+
+def leaks_by_hand(texts, items, threshold=0.6, least=0.5):
+    """Every passage of every text against every item by plain BM25, without an index."""
+    words = {i: decontaminate.terms(t) for i, t in items}
+    df = Counter(t for w in words.values() for t in set(w))
+    n, mean = len(items), sum(map(len, words.values())) / len(items)
+    out = {}
+    for d, text in texts:
+        all_words = decontaminate.terms(text)
+        for i, t in items:
+            w, unit = words[i], decontaminate.unit_of(len(words[i]))
+            weight = {x: math.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in Counter(w).items()}
+            q, a = decontaminate._parts(t)
+            for s in range(0, max(1, len(all_words) - unit), unit):
+                passage = all_words[s : s + 2 * unit]
+                pairs = set(zip(passage, passage[1:], strict=False)) | {(x,) for x in passage}
+                score = sum(weight[x] for x in set(passage) & weight.keys()) / sum(weight.values())
+                if score >= threshold and len(q & pairs) >= least * len(q) and len(a & pairs) >= least * len(a):
+                    out[d, i] = max(score, out.get((d, i), 0))
+    return out
+
+
+def test_edited_leaks_equal_an_exhaustive_search(spark):
+    """Items of many lengths, copied whole or with words dropped, swapped and put in, in any dealing into shards."""
+    rng = random.Random(12)
+    items = [(k, text_of(rng, rng.choice([9, 25, 33, 60, 140]), 900) + ". " + text_of(rng, rng.randrange(4, 12), 900)) for k in range(40)] + [(99, text_of(rng, 600, 900))]
+    texts = []
+    for d in range(120):
+        w = rng.choice(items)[1].split()
+        for _ in range(int(len(w) * rng.choice([0, 0.05, 0.2, 0.4]))):
+            k = rng.randrange(len(w) - 1)
+            edit = rng.randrange(3)
+            if edit == 0:
+                w.pop(k)
+            elif edit == 1:
+                w[k], w[k + 1] = w[k + 1], w[k]
+            else:
+                w.insert(k, f"w{rng.randrange(900)}")
+        texts.append((d, f"{text_of(rng, rng.randrange(0, 300), 900)} {' '.join(w)} {text_of(rng, rng.randrange(0, 90), 900)}"))
+    want = leaks_by_hand(texts, items)
+    assert len(want) > 60
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for shard_words in (500_000, 400):
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.leaks(docs_of(spark, texts), bench, shard_words=shard_words).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    without_long = decontaminate.leaks(docs_of(spark, texts), bench.where("item_id < 99")).count()
+    assert abs(without_long - sum(i < 99 for _, i in want)) <= 0.1 * len(want)  # only the counts of terms have changed
 
 
 def test_wand_equals_full_scores(spark, documents):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    ix = make_index(items)
+    shard = make_shard(items)
+    assert sum(len(ix.ids) for ix in shard.indexes) == len(items)
     for r in documents.collect()[:100]:
-        q = np.array(sorted({ix.vocabulary[w] for w in decontaminate.terms(r["text"]) if w in ix.vocabulary}), np.int64)
-        score = np.zeros(len(items))
-        for t in q:
-            score[ix.postings[t].items] += ix.postings[t].impacts
-        for threshold in (0.05, 0.2, 0.6):
-            assert {i for i, _ in decontaminate.wand(ix, q, threshold)} == set(np.flatnonzero(score >= threshold - 1e-9).tolist())
+        q = np.array(sorted({shard.vocabulary[w] for w in decontaminate.terms(r["text"]) if w in shard.vocabulary}), np.int64)
+        for ix in shard.indexes:
+            score = np.zeros(len(ix.ids))
+            for t in q.tolist():
+                if t in ix.postings:
+                    score[ix.postings[t].items] += ix.postings[t].impacts
+            for threshold in (0.05, 0.2, 0.6):
+                assert {i for i, _ in decontaminate.wand(ix, q, threshold)} == set(np.flatnonzero(score >= threshold - 1e-9).tolist())
 
 
 def test_leaks_equal_exact_search(spark, documents):
