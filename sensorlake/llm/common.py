@@ -38,6 +38,14 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return df.sparkSession.table(catalog_name)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def integer_ids(df: DataFrame, id_col: str) -> Column:
     """The id as a long. Ids of another kind raise an error, since a cast would turn them into nulls."""
     kind = df.schema[id_col].dataType

@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from sensorlake.llm.common import most_frequent, shingles, word_codes, words, written
+from sensorlake.llm.common import fresh, integer_ids, most_frequent, shingles, word_codes, words, written
 from sensorlake.llm.components import components
 
 HOT_IN_BATCH = 8  # a shingle in so many documents of a batch is counted
 MOST_HOT = 1 << 18  # at most so many frequent shingles are broadcast (16 bytes each)
-BLOOM_BITS = 1 << 23  # 1 MB
+MOST_BLOOM_BITS = 1 << 29  # 64 MB: beyond 33 million ids more texts pass the filter; the join that follows it decides
 
 
 def _sets(texts: list, n: int) -> list[np.ndarray]:
@@ -79,18 +79,19 @@ def _prefixes(docs: DataFrame, n: int, percent: int, hot: np.ndarray) -> DataFra
     return docs.mapInArrow(cut, "id long, n long, set_hash binary, prefix array<long>")
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A bit for each id's hash; BLOOM_BITS in all, whatever the number of ids."""
-    h = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS))
-    rows = ids.select(F.expr("id").alias("id")).select(F.shiftright(h, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {BLOOM_BITS}) & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(BLOOM_BITS // 64, np.int64)
+def _bloom(ids: DataFrame, size: int) -> np.ndarray:
+    """A bit for each id's hash, `size` in all."""
+    h = F.pmod(F.xxhash64("id"), F.lit(size))
+    rows = ids.select(F.expr("id").alias("id")).select(F.shiftright(h, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {size}) & 63 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(size // 64, np.int64)
     bits[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return bits
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """id, s (sorted shingles) of the documents in ids, which are distinct. The text of others is dropped at the scan by a Bloom filter."""
-    given = docs.sparkSession.sparkContext.broadcast(_bloom(ids))
+    size = min(MOST_BLOOM_BITS, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    given = docs.sparkSession.sparkContext.broadcast(_bloom(ids, size))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = given.value
@@ -103,7 +104,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got).view(np.int64)))], ["id", "s"])
 
-    placed = docs.where("id IS NOT NULL").withColumn("place", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)))
+    placed = docs.where("id IS NOT NULL").withColumn("place", F.pmod(F.xxhash64("id"), F.lit(size)))
     return placed.mapInArrow(make, "id long, s array<long>").join(ids, "id", "left_semi")
 
 
@@ -143,7 +144,7 @@ def _reaches(percent: int, shared: str, a: str, b: str, part: int = 1) -> str:
 def jaccard_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """id_col, n_shingles, component_id: a row per input row."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = df.select(integer_ids(df, id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     hot = most_frequent(written(_hot_counts(docs, n), "jaccard-hot"), "c", MOST_HOT).toPandas().sort_values(["c", "h"])
     sets = written(_prefixes(docs, n, percent, hot["h"].to_numpy(np.int64).view(np.uint64)), "jaccard-prefixes")
 
@@ -195,5 +196,6 @@ def first_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """df with one row of each class: the one with the smallest id (one of them, where rows share that id). Rows with a null id stay."""
     classes = jaccard_components(df.where(F.col(id_col).isNotNull()), id_col=id_col, text_col=text_col, n=n, percent=percent)
     gone = classes.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col)).distinct()
-    kept = df.join(gone, id_col, "left_anti").withColumn("_null_row", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
-    return kept.dropDuplicates([id_col, "_null_row"]).select(df.columns)
+    null_row = fresh(df, "_null_row")
+    kept = df.join(gone, id_col, "left_anti").withColumn(null_row, F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
+    return kept.dropDuplicates([id_col, null_row]).drop(null_row).select(*[f"`{c}`" for c in df.columns])

@@ -1,13 +1,14 @@
 """Co-trained quality classifier: a text view and a metadata view teach each other.
 
 1. Each document becomes two short feature vectors, written once: its content (shares of character classes and of their
-   pairs, word statistics) and its metadata (language, source, length band). Rounds read these, not the texts.
+   pairs, hashed words and pairs of words, word statistics) and its metadata (language, source, length band). Rounds read these, not the texts.
 2. Both views are fitted on a sample of labelled documents of at most `most_labelled`, chosen by hash of the id. The pool has one
    unlabelled document of each text vector. In each round each view labels about a `share` of the pool, `per_round` documents
    at least, of each class, among those with a calibrated probability of at least `confident` that no view has labelled
    before; the other view trains on these too, by sums over them that Spark adds up. The text view takes the documents it is surest
    of; the metadata view, whose vectors are shared by many documents, takes as evenly from all of them as their numbers allow.
-3. A fifth of the labelled sample is never trained on: it calibrates each view, and then the weights that combine them.
+3. Two fifths of the labelled sample are never trained on: one calibrates each view, the other fits the weights that combine the views
+   (the same one does both where a fifth holds one class only).
 4. All documents are scored by the combined, calibrated views.
 
 Defined results: labels that contradict each other count as low quality; without labels of both classes every document
@@ -25,10 +26,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import written
+from sensorlake.llm.common import integer_ids, mix, word_codes, words, written
 
 SOURCES, LANGS, BANDS = 32, 16, 16
 META = SOURCES + LANGS + BANDS
@@ -47,8 +49,10 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 N_CLASSES = int(CLASS.max()) + 1
 COARSE = np.minimum(CLASS, 7)
+WORDS = 64  # hashed slots, once for words and once for pairs of words
 STATS = 6
-TEXT = N_CLASSES + 64 + STATS
+TEXT = N_CLASSES + 64 + 2 * WORDS + STATS
+MANY_TASKS = 64
 
 
 def text_features(text: str | None) -> np.ndarray:
@@ -60,6 +64,11 @@ def text_features(text: str | None) -> np.ndarray:
     if len(data) > 1:
         k = COARSE[data]
         out[N_CLASSES : N_CLASSES + 64] = np.sqrt(np.bincount(k[:-1] * 8 + k[1:], minlength=64) / (len(data) - 1))
+    codes = word_codes(words(text))
+    at = N_CLASSES + 64
+    for k, h in enumerate((mix(codes), mix(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]))):
+        if len(h):
+            out[at + k * WORDS : at + (k + 1) * WORDS] = np.sqrt(np.bincount((h % np.uint64(WORDS)).astype(np.int64), minlength=WORDS) / len(h))
     w = text.split()
     if w:
         lines = [x for x in text.split("\n") if x.strip()]
@@ -131,9 +140,18 @@ def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray
                 got = sums(_arrays(batch, name, width), batch.column(batch.schema.get_field_index("y")).to_numpy().astype(np.float64))
                 total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], ["data", "shape"])
-
-    rows = taught.select(name, "y").mapInArrow(run, "data binary, shape array<int>").collect()
+            slot = TaskContext.get().partitionId() % MANY_TASKS
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], ["slot", "data", "shape"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in t.column("data").to_pylist())
+        return pa.table({"slot": t.column("slot").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary()), "shape": t.column("shape").slice(0, 1)})
+
+    schema = "slot int, data binary, shape array<int>"
+    parts = taught.select(name, "y").mapInArrow(run, schema)
+    if taught.rdd.getNumPartitions() > MANY_TASKS:  # the driver gets MANY_TASKS arrays at most
+        parts = parts.groupBy("slot").applyInArrow(add, schema)
+    rows = parts.collect()
     return sum((np.frombuffer(r["data"], np.float64).reshape(r["shape"]) for r in rows), 0.0)
 
 
@@ -231,7 +249,7 @@ def _surest(pool: DataFrame, before: DataFrame | None, view: Linear, name: str,
 
 def _sourced(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     has = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
-    return df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), has("lang", "string").alias("_lang"), has("source", "string").alias("_source"), has("n_chars", "long").alias("_n"))
+    return df.select(integer_ids(df, id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), has("lang", "string").alias("_lang"), has("source", "string").alias("_source"), has("n_chars", "long").alias("_n"))
 
 
 def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rounds: int = 3, per_round: int = 500, share: float = 0.02, confident: float = 0.95, most_labelled: int = 20_000) -> tuple[Model, DataFrame]:
@@ -240,13 +258,16 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     labelled = y.select("_id")
     y = y.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
-    y = written(y.withColumn("cal", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(5)) == 0), "quality-labels")  # at most most_labelled rows
+    y = written(y.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(5)).cast("int")), "quality-labels")  # at most most_labelled rows
     rows = table.join(F.broadcast(y), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
     t = np.frombuffer(b"".join(r["t"] for r in rows), np.float16).reshape(-1, TEXT).astype(np.float64)
     m = np.frombuffer(b"".join(r["m"] for r in rows), np.float16).reshape(-1, META).astype(np.float64)
-    target, cal = np.array([r["y"] for r in rows], np.float64), np.array([r["cal"] for r in rows], bool)
+    target, fold = np.array([r["y"] for r in rows], np.float64), np.array([r["fold"] for r in rows], np.int64)
+    train, cal, combine = fold > 1, fold == 0, fold == 1
     good = float((target > 0).mean()) if len(target) else 1.0
-    if len(set(target[cal])) < 2 or len(set(target[~cal])) < 2:
+    if len(set(target[combine])) < 2:
+        train, combine = train | combine, cal
+    if len(set(target[cal])) < 2 or len(set(target[train])) < 2:
         return Model(None, None, (0.0, 0.0, 0.0), good), table
     target = (target > 0).astype(np.float64)
     first = F.min(F.struct(F.xxhash64("_id"), "_id", "m")).alias("s")
@@ -258,15 +279,15 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
         return reduce(DataFrame.unionByName, tables) if tables else None
 
     def fitted(x: np.ndarray, name: str) -> Linear:
-        return fit_linear(x[~cal], target[~cal], x[cal], target[cal], together(taught[name]), name)
+        return fit_linear(x[train], target[train], x[cal], target[cal], together(taught[name]), name)
 
     text, meta = fitted(t, "t"), fitted(m, "m")
     for _ in range(rounds):
         for view, name, other, width in ((text, "t", "m", TEXT), (meta, "m", "t", META)):
             taught[other].append(_surest(pool, together(taught["t"] + taught["m"]), view, name, width, confident, wanted))
         text, meta = fitted(t, "t"), fitted(m, "m")
-    both = np.column_stack([text.logit(t[cal]), meta.logit(m[cal])])
-    w, b = _newton(both, _smooth(target[cal]), ridge=0.1)
+    both = np.column_stack([text.logit(t[combine]), meta.logit(m[combine])])
+    w, b = _newton(both, _smooth(target[combine]), ridge=0.1)
     return Model(text, meta, (float(w[0]), float(w[1]), b), good), table
 
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import written
+from sensorlake.llm.common import fresh, written
 
 
 @dataclass(frozen=True)
@@ -99,8 +100,8 @@ def findings(ledger: DataFrame, rules: list[SecretRule] | None = None) -> DataFr
     return some.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
-def scan_all(df: DataFrame, ledger_path: str | None = None, *, text_col: str = "text", columns: list[str] | None = None, rules: list[SecretRule] | None = None) -> DataFrame:
-    """The given columns of df and spans. With ledger_path the ledger there is read, extended and kept for later runs."""
+def scan_all(df: DataFrame, ledger_path: str | None = None, *, text_col: str = "text", columns: list[str] | None = None, rules: list[SecretRule] | None = None, spans_col: str = "_spans") -> DataFrame:
+    """The given columns of df and the spans as spans_col, which takes the place of a column of that name. With ledger_path the ledger there is read, extended and kept for later runs."""
     spark = df.sparkSession
     if ledger_path is None:
         ledger = written(scan(df, None, rules, text_col), "secret-ledger")
@@ -108,16 +109,22 @@ def scan_all(df: DataFrame, ledger_path: str | None = None, *, text_col: str = "
         old = read_ledger(spark, ledger_path)
         scan(df, old, rules, text_col).write.mode("append").parquet(ledger_path)
         ledger = read_ledger(spark, ledger_path)
-    kept = [F.col(f"`{c}`") for c in (columns if columns is not None else df.columns)]
-    rows = df.select(*kept, blob_of(text_col).alias("_blob"))
-    found = findings(ledger, rules).withColumnsRenamed({"blob": "_blob", "spans": "_spans"})
-    return rows.join(found, "_blob", "left").withColumn("_spans", F.coalesce("_spans", F.expr(f"cast(array() AS array<{SPAN}>)"))).drop("_blob")
+    kept = [c for c in (columns if columns is not None else df.columns) if c != spans_col]
+    blob, found = fresh(df, "_blob"), fresh(df, "_found")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], blob_of(text_col).alias(blob))
+    spans = findings(ledger, rules).withColumnsRenamed({"blob": blob, "spans": found})
+    none = F.expr(f"cast(array() AS array<{SPAN}>)")
+    return rows.join(spans, blob, "left").select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(found), none).alias(spans_col))
 
 
-def read_ledger(spark: object, path: str) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at a path; an empty one where there is none yet."""
-    spark.createDataFrame([], LEDGER).write.mode("append").parquet(path)
-    return spark.read.schema(LEDGER).parquet(path)
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    return spark.createDataFrame([], LEDGER)
 
 
 def redacted(text_col: str, spans_col: str, mark: str = "[SECRET]") -> Column:

@@ -27,6 +27,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorlake.llm.common import integer_ids
+
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 
@@ -62,7 +64,7 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
 def with_revisits(df: DataFrame, *, id_col: str, payload_col: str, url_col: str | None, least_bytes: int) -> DataFrame:
     """_id, _url, _payload, _type, _ref. Only keys and ids are grouped; groups of one row are not joined."""
     src = df.select(
-        F.col(id_col).cast("long").alias("_id"),
+        integer_ids(df, id_col).alias("_id"),
         (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("_url"),
         F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("_payload"),
     ).withColumn("_key", F.when(F.length("_payload") >= least_bytes, F.sha1("_payload")))
