@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -38,6 +39,12 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return df.sparkSession.table(catalog_name)
 
 
+def mapped(df: DataFrame, f: Callable) -> DataFrame:
+    """mapInArrow that keeps df's columns; their names are put aside meanwhile, as names with dots are not taken there."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(f, plain.schema).toDF(*df.columns)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with as many underscores after it as it takes to clash with no column."""
     taken = {c.lower() for c in df.columns}

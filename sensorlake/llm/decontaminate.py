@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import integer_ids, written
+from sensorlake.llm.common import integer_ids, mapped, written
 
 PUNCTUATION = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 BLOCK = 8  # items
@@ -284,5 +284,5 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text"
             for batch in batches:
                 yield batch.filter(pa.array([not search(given.value, t, *limits) for t in batch.column(at).to_pylist()], pa.bool_()))
 
-        df = df.mapInArrow(clean, df.schema)
+        df = mapped(df, clean)
     return df

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import integer_ids, mix, word_codes, words, written
+from sensorlake.llm.common import integer_ids, mapped, mix, word_codes, words, written
 
 SOURCES, LANGS, BANDS = 32, 16, 16
 META = SOURCES + LANGS + BANDS
@@ -321,4 +321,4 @@ def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
                 m = np.array([meta_features(*x) for x in zip(get("lang"), get("source"), get("n_chars"), strict=True)]).astype(np.float16).astype(np.float64)
                 yield part.filter(pa.array(given.value.probabilities(t, m)[2] >= threshold))
 
-    return df.mapInArrow(run, df.schema)
+    return mapped(df, run)

@@ -707,3 +707,24 @@ def test_pipeline_stages(spark, awkward):
     kept = corpus_pipeline.quality(spark, docs, SF)
     good = docs.join(labels, "doc_id", "left_semi")
     assert good.join(kept, "doc_id", "left_semi").count() > 0.97 * good.count()
+
+
+def test_pipeline_stages_on_clashing_names_nulls_and_empty_tables(spark, awkward):
+    import corpus_pipeline
+
+    odd = awkward.withColumns({n: F.lit(7) for n in ("_spans", "_clean", "_blob", "_found", "_null_row", "y", "a.b")})
+    for df in (odd, odd.limit(0), spark.createDataFrame([(None, None, None, None, None)], SCHEMA)):
+        now = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            after = common.written(stage(spark, now, SF), "stage")
+            assert after.columns == df.columns and after.count() <= now.count(), name
+            now = after
+        assert corpus_pipeline.STAGES[-1][1](spark, now, SF).select("doc_id").distinct().count() == now.select("doc_id").distinct().count()
+
+
+def test_text_ids_are_refused(spark):
+    df = spark.createDataFrame([("a", "some text", "en", "s", 9)], "doc_id string, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    for f in (pitman_yor.scores, jaccard_join.jaccard_components, lambda x: quality_classifier.score(x, labels), lambda x: warc.write_warc(x.selectExpr("doc_id AS page_id", "text AS url", "text AS html"), "x")):
+        with pytest.raises(TypeError):
+            f(df)
