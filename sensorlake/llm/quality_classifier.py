@@ -26,11 +26,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import integer_ids, mapped, mix, word_codes, words, written
+from sensorlake.llm.common import integer_ids, mapped, mix, words, written
 
 SOURCES, LANGS, BANDS = 32, 16, 16
 META = SOURCES + LANGS + BANDS
@@ -49,7 +50,7 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 N_CLASSES = int(CLASS.max()) + 1
 COARSE = np.minimum(CLASS, 7)
-WORDS = 64  # hashed slots, once for words and once for pairs of words
+WORDS = 32  # hashed slots, once for words and once for pairs of words
 STATS = 6
 TEXT = N_CLASSES + 64 + 2 * WORDS + STATS
 MANY_TASKS = 64
@@ -64,7 +65,8 @@ def text_features(text: str | None) -> np.ndarray:
     if len(data) > 1:
         k = COARSE[data]
         out[N_CLASSES : N_CLASSES + 64] = np.sqrt(np.bincount(k[:-1] * 8 + k[1:], minlength=64) / (len(data) - 1))
-    codes = word_codes(words(text))
+    tokens = words(text)
+    codes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
     at = N_CLASSES + 64
     for k, h in enumerate((mix(codes), mix(codes[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[1:]))):
         if len(h):
@@ -135,10 +137,9 @@ def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for batch in batches:
-            if batch.num_rows:
-                got = sums(_arrays(batch, name, width), batch.column(batch.schema.get_field_index("y")).to_numpy().astype(np.float64))
-                total = got if total is None else total + got
+        for part in _slices(batches):
+            got = sums(_arrays(part, name, width), part.column(part.schema.get_field_index("y")).to_numpy().astype(np.float64))
+            total = got if total is None else total + got
         if total is not None:
             slot = TaskContext.get().partitionId() % MANY_TASKS
             yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], ["slot", "data", "shape"])
@@ -194,6 +195,13 @@ class Model:
         return p(lt), p(lm), p(self.weights[0] * lt + self.weights[1] * lm + self.weights[2])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """Parts of at most so many rows, so that a worker holds few vectors and texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _arrays(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
     data = batch.column(batch.schema.get_field_index(name))
     return np.frombuffer(b"".join(data.to_pylist()), np.float16).reshape(-1, width).astype(np.float64)
@@ -203,7 +211,7 @@ def features(docs: DataFrame) -> DataFrame:
     """_id, t, m: half-precision features of both views. docs: _id, _text, _lang, _source, _n."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             t = [text_features(x).astype(np.float16).tobytes() for x in batch.column(1).to_pylist()]
             m = [meta_features(*x).astype(np.float16).tobytes() for x in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(t, pa.binary()), pa.array(m, pa.binary())], ["_id", "t", "m"])
@@ -228,10 +236,9 @@ def _surest(pool: DataFrame, before: DataFrame | None, view: Linear, name: str,
     given = pool.sparkSession.sparkContext.broadcast(view)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                z = given.value.logit(_arrays(batch, name, width))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], ["_id", "t", "m", "z"])
+        for batch in _slices(batches):
+            z = given.value.logit(_arrays(batch, name, width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], ["_id", "t", "m", "z"])
 
     edge = float(np.log(confident / (1 - confident)))
     sure = pool.mapInArrow(score, "_id long, t binary, m binary, z double").where(F.abs("z") >= edge)
@@ -297,10 +304,9 @@ def score(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     given = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                p = given.value.probabilities(_arrays(batch, "t", TEXT), _arrays(batch, "m", META))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p)], ["_id", "text_probability", "meta_probability", "quality"])
+        for batch in _slices(batches):
+            p = given.value.probabilities(_arrays(batch, "t", TEXT), _arrays(batch, "m", META))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p)], ["_id", "text_probability", "meta_probability", "quality"])
 
     out = table.mapInArrow(run, "_id long, text_probability double, meta_probability double, quality double")
     return out.withColumn("kept", F.col("quality") >= threshold).withColumnRenamed("_id", id_col)
@@ -313,12 +319,10 @@ def keep_good(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_
     place = {c: df.columns.index(c) for c in (text_col, "lang", "source", "n_chars") if c in df.columns}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2_000):
-                part = batch.slice(at, 2_000)
-                get = lambda c: part.column(place[c]).to_pylist() if c in place else [None] * part.num_rows  # noqa: B023, E731
-                t = np.array([text_features(x) for x in get(text_col)]).astype(np.float16).astype(np.float64)
-                m = np.array([meta_features(*x) for x in zip(get("lang"), get("source"), get("n_chars"), strict=True)]).astype(np.float16).astype(np.float64)
-                yield part.filter(pa.array(given.value.probabilities(t, m)[2] >= threshold))
+        for part in _slices(batches, 1_000):
+            get = lambda c: part.column(place[c]).to_pylist() if c in place else [None] * part.num_rows  # noqa: B023, E731
+            t = np.array([text_features(x) for x in get(text_col)]).astype(np.float16).astype(np.float64)
+            m = np.array([meta_features(*x) for x in zip(get("lang"), get("source"), get("n_chars"), strict=True)]).astype(np.float16).astype(np.float64)
+            yield part.filter(pa.array(given.value.probabilities(t, m)[2] >= threshold))
 
     return mapped(df, run)
