@@ -48,7 +48,7 @@ def split_units(text: str) -> list[str]:
 class UnitEncoder:
     """ids(texts): for each text its ids as little-endian uint32 bytes. Units are remembered in two generations of bounded size."""
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 250_000, longest: int = 64):
         quiet_threads()
         from tokenizers import Tokenizer
 
