@@ -561,7 +561,7 @@ def test_classes_awkward(spark, awkward, empty):
 
 def test_components(spark):
     rng = random.Random(9)
-    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(1000, 1000 + k) for k in range(1, 300)] + [(3000, 2000 + k) for k in range(300)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     df = spark.createDataFrame(edges, "u long, v long")
     got = {r["node"]: r["component"] for r in components.components(df).collect()}
     parent = {}
