@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from array import array
 
-from sensorlake.llm.common import quiet_threads
+from sensorlake.llm.common import quiet_threads, remembered
 
 BLANK_THEN_SPACE = re.compile(r"\s ")
 SIGNS = frozenset(".,;:!?")
@@ -124,10 +124,5 @@ class UnitEncoder:
         return out
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def unit_encoder(path: str) -> UnitEncoder:
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    return remembered(path, lambda: UnitEncoder(path))

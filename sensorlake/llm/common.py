@@ -7,6 +7,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation."""
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch: int = 2_000) -> DataFrame:
+    """Write once to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation.
+    batch: rows that an executor sends to a Python worker at a time, as long as the session sets no fewer; the setting is put back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -73,7 +83,7 @@ def words(text: str | None) -> list[bytes]:
 class WordCodes:
     """64-bit hash of each word, remembered for the worker's lifetime in a dictionary of bounded size."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
         self.known: dict[bytes, int] = {}
 
@@ -90,14 +100,21 @@ class WordCodes:
         return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
-_codes: WordCodes | None = None
+_remembered: dict[str, object] = {}
+
+
+def remembered(key: str, make: Callable[[], object]) -> object:
+    """What a worker remembers for its next tasks, made when it is first asked for. A worker remembers one thing at a time: that of
+    another operator is let go, so that the stages of one application do not add up in memory."""
+    if key not in _remembered:
+        _remembered.clear()
+        pa.default_memory_pool().release_unused()
+        _remembered[key] = make()
+    return _remembered[key]
 
 
 def word_codes(tokens: list[bytes]) -> np.ndarray:
-    global _codes
-    if _codes is None:
-        _codes = WordCodes()
-    return _codes(tokens)
+    return remembered("words", WordCodes)(tokens)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
