@@ -18,8 +18,8 @@ from sensorlake.llm.common import quiet_threads, remembered
 BLANK_THEN_SPACE = re.compile(r"\s ")
 SIGNS = frozenset(".,;:!?")
 SIMPLE = re.compile(r"[\n!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-#: Fixed value: the pattern of byte-level tokenizers, for simple units after at most one space.
-PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\n+(?!\S)|\n")
+#: Fixed value: the pattern of byte-level tokenizers, for simple units after at most one space. Every character of a text is in one piece.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -74,7 +74,9 @@ class UnitEncoder:
     def _cut(self, text: str) -> bytes:
         """Ids of a simple text by its pieces."""
         out = []
-        for p in PIECES.findall(text):
+        pieces = PIECES.findall(text)
+        assert sum(map(len, pieces)) == len(text), "the pattern left a character out"
+        for p in pieces:
             ids = self.pieces.get(p)
             if ids is None:
                 ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
