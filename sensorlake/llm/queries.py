@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import decontaminate, jaccard_join, packing, pitman_yor, quality_classifier, quality_rules, secret_scans, token_counts, url_filter, warc
+from sensorlake.llm import ball_kmeans, decontaminate, hard_negatives, jaccard_join, packing, pitman_yor, quality_classifier, quality_rules, secret_scans, simhash, token_counts, url_filter, warc
 from sensorlake.llm.common import WORD, new_path, table, written
 
 BPE = "byte_bpe_50k.json"
@@ -72,6 +72,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    noisy = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(noisy, F.col("id") % 50 == 0)
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pitman_yor": op2_pitman_yor,
@@ -83,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_packing": op9_packing,
     "op10_warc": op10_warc,
+    "op11_simhash": op11_simhash,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_ball_kmeans": op13_ball_kmeans,
 }
 
 
@@ -157,4 +174,35 @@ SELECT page_id, strlen(h) AS payload_bytes, {' || '.join(_DIGIT.format(at=5 * k
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM p JOIN g USING (h)"""
 
-ORACLE: dict[str, str] = {"op3_url_filter": _OP3, "op4_quality_rules": _OP4, "op6_secret_scans": _OP6, "op7_jaccard_join": _OP7, "op10_warc": _OP10}
+_KEPT = """embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)"""
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+_OP12 = f"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, CAST({_WHOLE} AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL AND {_KEPT}),
+s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
+SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS INT) AS rank, s.id AS negative_id,
+       p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score QUALIFY rank <= 3"""
+
+
+def _op13_round(r: int) -> str:
+    """Assignment to the entries b{r}, and the entries b{r + 1} after it."""
+    d = " + ".join(f"(x.x{i} - b.x{i}) * (x.x{i} - b.x{i})" for i in range(4))
+    mean = ", ".join(f"coalesce(m.x{i}, b.x{i}) AS x{i}" for i in range(4))
+    sums = ", ".join(f"CAST(floor(CAST(sum(x.x{i}) AS DOUBLE) / count(*)) AS BIGINT) AS x{i}" for i in range(4))
+    return f"""
+a{r} AS (SELECT rid, p, min(struct_pack(d := {d}, e := e)) AS m FROM x JOIN b{r} b USING (p) GROUP BY rid, p),
+m{r} AS (SELECT a.p, a.m.e AS e, {sums} FROM a{r} a JOIN x ON x.rid = a.rid AND x.p = a.p GROUP BY ALL),
+b{r + 1} AS (SELECT b.p, b.e, {mean} FROM b{r} b LEFT JOIN m{r} m ON m.p = b.p AND m.e = b.e)"""
+
+
+_OP13 = f"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, {_WHOLE} AS v FROM embeddings WHERE {_KEPT}),
+x AS (SELECT rid, p, {', '.join(f'v[4 * p + {i + 1}] AS x{i}' for i in range(4))} FROM k, range(16) t(p)),
+b0 AS (SELECT p, rid - 1 AS e, x0, x1, x2, x3 FROM x WHERE rid <= 64), {_op13_round(0)}, {_op13_round(1)}, {_op13_round(2)},
+c AS (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM c JOIN k USING (rid)"""
+
+ORACLE: dict[str, str] = {"op3_url_filter": _OP3, "op4_quality_rules": _OP4, "op6_secret_scans": _OP6, "op7_jaccard_join": _OP7, "op10_warc": _OP10, "op12_hard_negatives": _OP12, "op13_ball_kmeans": _OP13}
