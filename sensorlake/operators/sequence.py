@@ -51,3 +51,21 @@ def stream_profile(packets: DataFrame, keys: list[str]) -> DataFrame:
     per = packets.groupBy(*keys, "apid").agg(F.count("*").alias("n"), F.sum(F.col("data_len") + PRIMARY).alias("bytes"), F.min("data_len").alias("lo"), F.max("data_len").alias("hi"))
     counts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("apid", "n"))), lambda x: F.concat_ws("=", x["apid"], x["n"])), ",")
     return per.groupBy(*keys).agg(F.sum("n").alias("packets"), F.sum("bytes").alias("bytes"), F.min("lo").alias("shortest"), F.max("hi").alias("longest"), counts.alias("by_apid"))
+
+
+def member_profile(headers: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """keys, packets, coverage (octets up to the end of the last packet), tiles_exactly, broke_off_at (null where the member is read to its end),
+    continuous (each id's counter), by_apid, by_flag, shortest, longest. headers: keys, size, offset, apid, seq_flags, seq_count, data_len; a member
+    without packets has one row with nulls. Offsets of a walk tile by construction, so the end of the last packet is what was covered."""
+    there = headers.where("offset IS NOT NULL")
+    follows = F.lag("seq_count").over(Window.partitionBy(*keys, "apid").orderBy("offset"))
+    marked = there.withColumn("_gap", F.coalesce(F.col("seq_count") != F.pmod(follows + 1, F.lit(SEQUENCE)), F.lit(False)))
+    count = lambda c: marked.groupBy(*keys, c).agg(F.count("*").alias("n"))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "n"))), lambda x: F.concat_ws("=", x[c], x["n"])), ",")
+    by_apid, by_flag = (count(c).groupBy(*keys).agg(text(c).alias(n)) for c, n in (("apid", "by_apid"), ("seq_flags", "by_flag")))
+    ends = F.col("offset") + F.col("data_len") + PRIMARY
+    sums = marked.groupBy(*keys).agg(F.count("*").alias("packets"), F.max(ends).alias("coverage"), (~F.bool_or("_gap")).alias("continuous"), F.min("data_len").alias("shortest"), F.max("data_len").alias("longest"))
+    x = headers.groupBy(*keys).agg(F.max(size).alias("bytes")).join(sums, keys, "left").join(by_apid, keys, "left").join(by_flag, keys, "left")
+    x = x.fillna(0, ["packets", "coverage"]).fillna("", ["by_apid", "by_flag"]).withColumn("continuous", F.coalesce("continuous", F.lit(True)))
+    whole = F.col("coverage") == F.col("bytes")
+    return x.withColumns({"tiles_exactly": whole, "broke_off_at": F.when(~whole, F.col("coverage"))})

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorlake.sources.files import safe
+from sensorlake.sources.shared import written
+
 
 def envelope(rows: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_lines, detectors ('01,02,...'), start, stop."""
@@ -55,6 +61,87 @@ def verify(listed: DataFrame, local: DataFrame, key: str) -> DataFrame:
     return x.withColumn("verify", outcome)
 
 
+def relative_key(key: Column, strip: str) -> Column:
+    """A listed key as a path inside the destination."""
+    return F.regexp_replace(F.when(key.startswith(strip), F.substring(key, len(strip) + 1, 1 << 30)).otherwise(key), "^/+", "")
+
+
+def complete(listed: DataFrame, files: DataFrame, strip: str = "") -> DataFrame:
+    """listed (key, size, etag, ...) with path, verify ('md5' or 'size', null if the object is not whole) and error. files: path, length, content of what is
+    there. The digest is taken where a file is read, so no content is shuffled. A tag with a dash is of several parts and says nothing of the content.
+    An object of no bytes counts as missing, since listings pass over empty files: fetching it again does no harm."""
+    there = files.select("path", F.col("length").alias("_length"), F.md5("content").alias("_md5"))
+    x = listed.withColumn("path", relative_key(F.col("key"), strip)).join(there, "path", "left")
+    checkable = (F.col("etag") != "") & ~F.col("etag").contains("-")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    error = (
+        F.when(F.col("path") == "", "empty destination path")
+        .when(~safe(F.col("path")), "unsafe path (escapes destination)")
+        .when(F.col("_length").isNull(), "missing")
+        .when(F.col("_length") != F.col("size"), text("received ", F.col("_length"), " bytes, expected ", F.col("size")))
+        .when(checkable & (F.col("_md5") != F.col("etag")), text("MD5 ", F.col("_md5"), " != ETag ", F.col("etag")))
+    )
+    x = x.withColumn("error", error)
+    return x.withColumn("verify", F.when(F.col("error").isNull(), F.when(checkable, "md5").otherwise("size"))).drop("_length", "_md5")
+
+
+def to_fetch(listed: DataFrame, files: DataFrame, strip: str = "") -> DataFrame:
+    """Listed objects that are not whole in the destination and have a place there, with what is wrong: those that are whole are skipped."""
+    x = complete(listed, files, strip)
+    return x.where(F.col("verify").isNull() & (F.col("path") != "") & safe(F.col("path"))).drop("verify")
+
+
+def product_attributes(files: DataFrame) -> DataFrame:
+    """product, attrs (JSON text), source of the root attributes of each product of files (path, content): .zattrs, else the entry of that name in
+    .zmetadata, of folders and of zip archives, where the member nearest to the root counts. A document that cannot be read counts as {}."""
+    from sensorlake.sources.telemetry import register
+
+    spark = files.sparkSession
+    register(spark)
+    view = f"attribute_files_{uuid.uuid4().hex}"
+    files.select("path", "content").createOrReplaceTempView(view)
+    docs = spark.sql(f"""
+        SELECT regexp_extract(path, '^(.*)/[^/]+$', 1) AS product, substring_index(path, '/', -1) AS name, 0 AS depth, cast(content AS string) AS text FROM {view} WHERE path RLIKE '\\.zarr/\\.z(attrs|metadata)$'
+        UNION ALL SELECT path, substring_index(m.name, '/', -1), size(split(m.name, '/')), cast(m.content AS string) FROM {view}, LATERAL zip_members(content) m WHERE path LIKE '%.zip' AND m.name RLIKE '\\.z(attrs|metadata)$'""")
+    text = F.when(F.try_parse_json("text").isNotNull(), F.col("text"))
+    own = F.when(F.col("name") == ".zattrs", text).otherwise(F.get_json_object(text, "$.metadata['.zattrs']"))
+    rank = F.struct((F.col("name") != ".zattrs").alias("later"), "depth")
+    return docs.groupBy("product").agg(F.min_by(F.struct(F.coalesce(own, F.lit("{}")).alias("attrs"), F.col("name").alias("source")), rank).alias("x")).select("product", "x.attrs", "x.source")
+
+
+# Parts of keys that may hold a date or a version.
+DATE_HINTS = ["creation", "created", "date", "datetime", "valid", "validity", "generation", "processing", "start", "stop", "end", "version", "provenance"]
+
+
+def leaves(rows: DataFrame, ids: list[str], attrs: str, *, list_items: int | None = None, most: int = 1_000) -> DataFrame:
+    """ids, path (dots, and [i] in lists), key, value (text) of every scalar of a metadata tree, however deep it goes: a frontier of objects and
+    lists is opened level by level until none is left, so the number of steps is the depth. list_items: only so many items of each list."""
+    spark = rows.sparkSession
+    frontier = rows.select(*ids, F.lit("").alias("path"), F.lit(None).cast("string").alias("key"), F.try_parse_json(attrs).alias("v"))
+    found, steps = [], 0
+    while True:
+        view = f"frontier_{uuid.uuid4().hex}"
+        frontier.createOrReplaceTempView(view)
+        names = ", ".join(f"f.`{c}`" for c in ids)
+        wanted = "" if list_items is None else f"WHERE e.key IS NOT NULL OR e.pos < {list_items}"
+        opened = spark.sql(f"""SELECT {names}, CASE WHEN e.key IS NULL THEN concat(f.path, '[', e.pos, ']') WHEN f.path = '' THEN e.key ELSE concat(f.path, '.', e.key) END AS path,
+            coalesce(e.key, f.key) AS key, e.value AS v FROM {view} f, LATERAL variant_explode(f.v) e {wanted}""")
+        opened = opened.withColumn("deep", F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
+        level = written(opened.select(*ids, "path", "key", F.to_json("v").alias("text"), "deep"), "metadata-level")
+        found.append(level.where(~F.col("deep")).select(*ids, "path", "key", F.get_json_object(F.concat(F.lit('{"v":'), "text", F.lit("}")), "$.v").alias("value")))
+        frontier = level.where("deep").select(*ids, "path", "key", F.parse_json("text").alias("v"))
+        steps += 1
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        if steps >= most:
+            raise RecursionError(f"a metadata tree is deeper than {most} levels")
+
+
+def date_like(found: DataFrame) -> DataFrame:
+    """Leaves whose own key names a date or a version."""
+    return found.where(F.lower("key").rlike("|".join(DATE_HINTS)))
+
+
 def key_paths(rows: DataFrame, ids: list[str], attrs: str, depth: int) -> DataFrame:
     """ids, path, key of every key of a metadata tree down to a depth: one explode a level, all levels from one scan each."""
     level = rows.select(*ids, F.lit("$").alias("path"), F.col(attrs).alias("_node"))

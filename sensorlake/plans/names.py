@@ -69,7 +69,7 @@ def sca_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.iso_millis(F.col("ts").cast("timestamp")).alias("iso"))
 
 
-@query("sca_12_payload_decode")
+@query("sca_12_payload_decode", "SELECT vec_id, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS {n}" for k, n in enumerate("t px py pz vx vy vz q0 q1 q2 q3".split())) + " FROM embeddings")
 def sca_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorlake.sources.telemetry import aocs_payload, payload_of
 

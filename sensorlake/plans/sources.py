@@ -198,7 +198,8 @@ def udf_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorlake.sources.telemetry import register, tar_of
 
     register(spark)
-    listing(spark, sf_dir).select(tar_of(F.concat(F.col("page_id").cast("string"), F.lit(".txt")), F.col("page_id").cast("string").cast("binary")).alias("content")).createOrReplaceTempView("tar_files")
+    member = F.struct(F.concat(F.col("page_id").cast("string"), F.lit(".txt")).alias("name"), F.col("page_id").cast("string").cast("binary").alias("content"))
+    listing(spark, sf_dir).select(tar_of(F.array(member)).alias("content")).createOrReplaceTempView("tar_files")
     return spark.sql("SELECT m.name, cast(length(m.content) AS int) AS n FROM tar_files, LATERAL tar_members(content) m")
 
 

@@ -25,7 +25,7 @@ def test_payload_round_trip(spark):
 
 def test_packet_walk_modes():
     data = struct.pack(">HHH", 0x0800 | 5, 0xC000 | 7, 1) + b"ab" + struct.pack(">HHH", 0x0805, 0xC008, 9) + b"x"
-    assert list(telemetry.PacketHeaders().eval(data, False)) == [(0, 5, 3, 7, 2)]
+    assert list(telemetry.PacketHeaders().eval(data, False)) == [(0, 5, 3, 7, 2, None)]
     with pytest.raises(ValueError, match="cut off"):
         list(telemetry.PacketHeaders().eval(data, True))
 
