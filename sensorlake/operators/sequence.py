@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorlake.functions.packets import SEQUENCE
@@ -12,20 +12,37 @@ CONTINUATION, FIRST, LAST, STANDALONE = 0, 1, 2, 3
 PRIMARY = 6  # octets before the data field
 
 
-def gaps(packets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+WIDTH = 1 << 16  # positions of a stream that one task orders
+
+
+def _spans(packets: DataFrame, keys: list[str], order: str, width: int, **summaries: Column) -> DataFrame:
+    """The packets with _span, a stretch of positions, and for each summary what the spans before it give (_before_...). Packets are ordered inside
+    spans only; across spans there is one row a span, so no task holds a whole stream."""
+    x = packets.withColumn("_span", F.floor(F.col(order) / width))
+    one = x.groupBy(*keys, "_span").agg(*[c.alias(n) for n, c in summaries.items()])
+    w = Window.partitionBy(*keys).orderBy("_span")
+    total = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"_before_{n}": F.coalesce(F.sum(n).over(total), F.lit(0)) if n.startswith("n_") else F.lag(n).over(w) for n in summaries}
+    return x.join(one.select(*keys, "_span", *[v.alias(k) for k, v in before.items()]), [*keys, "_span"])
+
+
+def gaps(packets: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
     """Packets whose counter does not follow the one before, with how many are missing."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = packets.withColumn("previous", F.lag("seq_count").over(w))
+    x = _spans(packets, keys, order, width, last=F.max_by("seq_count", order))
+    w = Window.partitionBy(*keys, "_span").orderBy(order)
+    x = x.withColumn("previous", F.coalesce(F.lag("seq_count").over(w), "_before_last"))
     expected = F.pmod(F.col("previous") + 1, F.lit(SEQUENCE))
-    return x.where(F.col("previous").isNotNull() & (F.col("seq_count") != expected)).withColumn("missing", F.pmod(F.col("seq_count") - expected, F.lit(SEQUENCE)))
+    x = x.where(F.col("previous").isNotNull() & (F.col("seq_count") != expected)).withColumn("missing", F.pmod(F.col("seq_count") - expected, F.lit(SEQUENCE)))
+    return x.drop("_span", "_before_last")
 
 
-def offsets(packets: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Byte position of each packet, and whether the next one begins where it ends."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def offsets(packets: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
+    """Byte position of each packet, and whether the next one begins where it ends: by running sums, as they tile where nothing is missing."""
     size = F.col("data_len") + PRIMARY
-    x = packets.withColumn("offset", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - size)
-    return x.withColumn("tiles", F.coalesce(F.lead("offset").over(w) == F.col("offset") + size, F.lit(True)))
+    x = _spans(packets, keys, order, width, n_bytes=F.sum(size))
+    w = Window.partitionBy(*keys, "_span").orderBy(order)
+    x = x.withColumn("offset", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - size + F.col("_before_n_bytes"))
+    return x.withColumn("tiles", F.coalesce(F.lead("offset").over(w) == F.col("offset") + size, F.lit(True))).drop("_span", "_before_n_bytes")
 
 
 def segment_flags(parts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -35,10 +52,12 @@ def segment_flags(parts: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return parts.withColumn("seq_flags", F.when(n == 1, STANDALONE).when(i == 1, FIRST).when(i == n, LAST).otherwise(CONTINUATION))
 
 
-def reassemble(packets: DataFrame, keys: list[str], order: str) -> DataFrame:
+def reassemble(packets: DataFrame, keys: list[str], order: str, width: int = WIDTH) -> DataFrame:
     """keys, segment, n, lengths, ok: parts between one first (or standalone) packet and the next, in order, with the grammar checked."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = packets.withColumn("segment", F.sum(F.when(F.col("seq_flags").isin(FIRST, STANDALONE), 1).otherwise(0)).over(w))
+    begins = F.when(F.col("seq_flags").isin(FIRST, STANDALONE), 1).otherwise(0)
+    x = _spans(packets, keys, order, width, n_segments=F.sum(begins))
+    w = Window.partitionBy(*keys, "_span").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("segment", F.sum(begins).over(w) + F.col("_before_n_segments"))
     is_ = lambda f: F.count_if(F.col("seq_flags") == f)
     parts = F.array_sort(F.collect_list(F.struct(order, "data_len", "seq_flags")))
     g = x.groupBy(*keys, "segment").agg(parts.alias("parts"), F.count("*").alias("n"), is_(FIRST).alias("f"), is_(LAST).alias("l"), is_(STANDALONE).alias("s"))

@@ -17,6 +17,9 @@ _OFF = "off AS (SELECT *, sum(data_len + 6) OVER (PARTITION BY apid ORDER BY pos
 _SEG = "sg AS (SELECT *, pos // 5 AS seg, row_number() OVER (PARTITION BY apid, pos // 5 ORDER BY pos) AS i, count(*) OVER (PARTITION BY apid, pos // 5) AS n FROM packet), fg AS (SELECT *, CASE WHEN n = 1 THEN 3 WHEN i = 1 THEN 1 WHEN i = n THEN 2 ELSE 0 END AS seq_flags FROM sg)"
 
 
+SPAN = 256  # positions; the tables have few packets an id
+
+
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = packets(spark, sf_dir).withColumn("seg", F.floor(F.col("pos") / 5).cast("int"))
     return sequence.segment_flags(p, ["apid", "seg"], ["pos"])
@@ -24,12 +27,12 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_05_seq_gaps", sql(PACKET, "l AS (SELECT *, lag(seq_count) OVER (PARTITION BY apid ORDER BY pos) AS previous FROM packet)", "SELECT apid, pos, seq_count, previous, CAST((seq_count - (previous + 1) % 16384 + 16384) % 16384 AS INT) AS missing FROM l WHERE previous IS NOT NULL AND seq_count <> (previous + 1) % 16384"))
 def win_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.gaps(packets(spark, sf_dir), ["apid"], ["pos"]).select("apid", "pos", "seq_count", "previous", "missing")
+    return sequence.gaps(packets(spark, sf_dir), ["apid"], "pos", SPAN).select("apid", "pos", "seq_count", "previous", "missing")
 
 
 @query("win_06_offsets", sql(PACKET, _OFF, "SELECT apid, pos, CAST(o AS BIGINT) AS \"offset\", coalesce(lead(o) OVER (PARTITION BY apid ORDER BY pos) = o + data_len + 6, true) AS tiles FROM off"))
 def win_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.offsets(packets(spark, sf_dir), ["apid"], ["pos"]).select("apid", "pos", "offset", "tiles")
+    return sequence.offsets(packets(spark, sf_dir), ["apid"], "pos", SPAN).select("apid", "pos", "offset", "tiles")
 
 
 @query("win_07_segment_flags", sql(PACKET, _SEG, "SELECT apid, pos, CAST(seq_flags AS INT) AS seq_flags FROM fg"))
@@ -39,7 +42,7 @@ def win_07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("win_08_reassembly", sql(PACKET, _SEG, "dr AS (SELECT * FROM fg WHERE pos % 23 <> 0)", "isl AS (SELECT *, sum(CASE WHEN seq_flags IN (1, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY apid ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM dr)", "SELECT apid, CAST(segment AS BIGINT) AS segment, count(*) AS n, CAST(sum(data_len) AS BIGINT) AS bytes, segment > 0 AND ((count(*) FILTER (seq_flags = 3) = 1 AND count(*) = 1) OR (count(*) FILTER (seq_flags = 1) = 1 AND count(*) FILTER (seq_flags = 2) = 1 AND count(*) FILTER (seq_flags = 3) = 0 AND arg_max(seq_flags, pos) = 2)) AS ok FROM isl GROUP BY apid, segment"))
 def win_08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sequence.reassemble(flagged(spark, sf_dir).where("pos % 23 <> 0"), ["apid"], "pos")
+    r = sequence.reassemble(flagged(spark, sf_dir).where("pos % 23 <> 0"), ["apid"], "pos", SPAN)
     return r.select("apid", "segment", "n", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("bytes"), "ok")
 
 

@@ -10,6 +10,8 @@ from sensorlake.functions.numbers import steady
 from sensorlake.operators import calibrate, coding, resample
 from sensorlake.plans.calibration import running_mean_sql
 from sensorlake.plans.registry import query
+from sensorlake.sources import frames
+from sensorlake.sources.shared import written
 
 BAND = ["band"]
 _SHIFT = "CASE WHEN col % 3 = 0 THEN 1 WHEN col % 3 = 1 THEN -1 ELSE 0 END"
@@ -101,6 +103,53 @@ def win_12_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coding.unwavelet(bands, ["band", "line"], "col", "dn").select("band", "line", "col", "dn")
 
 
+def _lift_sql(source: str, name: str, axis: str, other: str) -> list[str]:
+    """One level along an axis: {name} with band, {other}, j, s (low), d (high). source: band, line, col, v."""
+    mirror = lambda k: f"CASE WHEN a.m = 1 THEN 0 WHEN abs(a.j + {k}) > a.m - 1 THEN 2 * (a.m - 1) - abs(a.j + {k}) ELSE abs(a.j + {k}) END"
+    joins = " ".join(f"JOIN {name}_e {t} ON {t}.band = a.band AND {t}.{other} = a.{other} AND {t}.j = {mirror(k)}" for t, k in (("b1", -1), ("f1", 1), ("f2", 2)))
+    return [
+        f"{name}_p AS (SELECT band, {other}, {axis} // 2 AS j, max(v) FILTER ({axis} % 2 = 0) AS e, max(v) FILTER ({axis} % 2 = 1) AS o FROM {source} GROUP BY ALL)",
+        f"{name}_e AS (SELECT *, count(*) OVER (PARTITION BY band, {other}) AS m FROM {name}_p)",
+        f"{name}_d AS (SELECT a.band, a.{other}, a.j, a.e, a.o - CAST(floor((9 * (a.e + f1.e) - (b1.e + f2.e) + 8) / 16.0::DOUBLE) AS BIGINT) AS d FROM {name}_e a {joins})",
+        f"{name} AS (SELECT band, {other}, j, e - CAST(floor((-(coalesce(lag(d) OVER (PARTITION BY band, {other} ORDER BY j), d) + d) + 2) / 4.0::DOUBLE) AS BIGINT) AS s, d FROM {name}_d)",
+    ]
+
+
+def _levels_sql(levels: int) -> list[str]:
+    """Frames filled up to multiples of eight lines (their width is one already), and every level along both axes."""
+    out = [
+        "fh AS (SELECT band, max(line) AS last FROM frame GROUP BY band)",
+        "l0 AS (SELECT band, line, col, CAST(dn AS BIGINT) AS v FROM frame UNION ALL SELECT f.band, r.n, col, dn FROM frame f JOIN fh USING (band) JOIN range(100000) r(n) ON f.line = last AND r.n > last AND r.n <= (last // 8) * 8 + 7)",
+    ]
+    for k in range(1, levels + 1):
+        out += _lift_sql(f"l{k - 1}", f"x{k}", "col", "line")
+        out += [f"{n}{k} AS (SELECT band, line, j AS col, {c} AS v FROM x{k})" for n, c in (("lo", "s"), ("hi", "d"))]
+        out += [*_lift_sql(f"lo{k}", f"yl{k}", "line", "col"), *_lift_sql(f"hi{k}", f"yh{k}", "line", "col")]
+        out += [f"l{k} AS (SELECT band, j AS line, col, s AS v FROM yl{k})"]
+    return out
+
+
+_BANDS_SQL = " UNION ALL ".join([f"SELECT band, '{n}{k}' AS subband, j AS line, col, {c} AS v FROM {t}{k}" for k in (1, 2, 3) for n, t, c in (("HL", "yh", "s"), ("LH", "yl", "d"), ("HH", "yh", "d"))] + ["SELECT band, 'LL3', line, col, v FROM l3"])
+
+
+@query("win_12_three_levels", sql(FRAME, *_levels_sql(3), f"SELECT band, subband, line, CAST(col AS INT) AS col, v FROM ({_BANDS_SQL})"))
+def win_12_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both axes and three levels of whole frames."""
+    from sensorlake.operators import wavelets
+
+    b = wavelets.forward(frames.to_lines(frame(spark, sf_dir), ["band"]), ["band"])
+    return b.select("band", "subband", "line", F.posexplode("samples").alias("col", "v"))
+
+
+@query("win_12_three_levels_back", sql(FRAME, "SELECT band, CAST(line AS BIGINT) AS line, col, CAST(dn AS BIGINT) AS dn FROM frame"))
+def win_12_levels_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sensorlake.operators import wavelets
+
+    lines = frames.to_lines(frame(spark, sf_dir), ["band"])
+    back = wavelets.inverse(written(wavelets.forward(lines, ["band"]), "subbands"), ["band"])
+    return back.select("band", "line", F.posexplode("samples").alias("col", "dn"))
+
+
 @query("win_13_bits_needed", sql(FRAME, *_wavelet_sql(), "SELECT band, CAST(j // 8 AS INT) AS block, CASE WHEN max(abs(d)) = 0 THEN 0 ELSE length(ltrim(bin(CAST(max(abs(d)) AS BIGINT)), '0')) END AS bits FROM wv GROUP BY ALL"))
 def win_13(spark: SparkSession, sf_dir: str) -> DataFrame:
     bands = coding.wavelet(frame(spark, sf_dir), ["band", "line"], "col", "dn").withColumn("block", F.floor(F.col("j") / 8).cast("int"))
