@@ -28,7 +28,7 @@ def seed_flags(pixels: DataFrame, dead_cols: DataFrame, hot: DataFrame, keys: li
     last = pixels.where("dn <> 0").groupBy(*keys).agg(F.max("line").alias("_last"))
     x = pixels.join(F.broadcast(last), keys, "left")
     x = x.join(F.broadcast(dead_cols.select(*keys, "col", F.lit(True).alias("_dead")).distinct()), [*keys, "col"], "left")
-    x = x.join(F.broadcast(hot.select(*keys, "line", "col", F.lit(True).alias("_hot")).distinct()), [*keys, "line", "col"], "left")
+    x = x.join(hot.select(*keys, "line", "col", F.lit(True).alias("_hot")).distinct(), [*keys, "line", "col"], "left")  # as many as there are frames: no hint
     qa = all_bits(
         bit_if(F.col("dn") >= dn_max, SATURATED), bit_if(F.col("dn") == 0, NO_DATA), bit_if(F.col("_dead").isNotNull() | F.col("_hot").isNotNull(), DEFECTIVE), bit_if(F.col("line") > F.col("_last"), LOST)
     )

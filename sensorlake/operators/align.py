@@ -45,7 +45,7 @@ def insert_blind(pixels: DataFrame, blind: DataFrame, physical_width: int, keys:
 def stamp_defects(pixels: DataFrame, dead_cols: DataFrame, hot: DataFrame, keys: list[str], dn_max: int = 4095) -> DataFrame:
     """Dead columns to 0 and hot pixels to the maximum, with qa bits 1 and 2. Places outside of the frame have no pixel to match."""
     x = pixels.join(F.broadcast(dead_cols.select(*keys, "col", F.lit(1).alias("_d")).distinct()), [*keys, "col"], "left")
-    x = x.join(F.broadcast(hot.select(*keys, "line", "col", F.lit(2).alias("_h")).distinct()), [*keys, "line", "col"], "left")
+    x = x.join(hot.select(*keys, "line", "col", F.lit(2).alias("_h")).distinct(), [*keys, "line", "col"], "left")  # as many as there are frames: no hint
     dn = F.when(F.col("_h").isNotNull(), dn_max).when(F.col("_d").isNotNull(), 0).otherwise(F.col("dn"))
     return x.withColumn("qa", F.coalesce("_d", F.lit(0)).bitwiseOR(F.coalesce("_h", F.lit(0)))).withColumn("dn", dn).drop("_d", "_h")
 

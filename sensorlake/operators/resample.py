@@ -55,7 +55,7 @@ def restagger(pixels: DataFrame, shifts: DataFrame, keys: list[str], back: bool
     """Columns rolled along the lines by their shift; back undoes it."""
     h = pixels.groupBy(*keys).agg((F.max("line") + 1).alias("_h"))
     s = -F.col("shift") if back else F.col("shift")
-    x = pixels.join(F.broadcast(h), keys).join(F.broadcast(shifts), [*keys, "col"], "left")
+    x = pixels.join(h, keys).join(F.broadcast(shifts), [*keys, "col"], "left")
     return x.withColumn("line", F.pmod(F.col("line") + F.coalesce(s, F.lit(0)), F.col("_h"))).drop("_h", "shift")
 
 
@@ -74,7 +74,7 @@ def interpolate_lines(pixels: DataFrame, shifts: DataFrame, kernel: tuple[float,
 def crosstalk(pixels: DataFrame, matrix: DataFrame, keys: list[str], value: str = "dn") -> DataFrame:
     """Each band gets the sum of its coefficients (k, l, coef) times the other bands at the same pixel; bands of another shape do not mix."""
     shape = pixels.groupBy(*keys, "band").agg((F.max("line") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
-    x = pixels.join(F.broadcast(shape), [*keys, "band"])
+    x = pixels.join(shape, [*keys, "band"])
     same = [*keys, "_h", "_w", "line", "col"]
     given = x.join(F.broadcast(matrix.where("coef <> 0").withColumnRenamed("l", "band")), "band").groupBy(*same, F.col("k").alias("band")).agg(F.sum(F.col("coef") * F.col(value)).alias("_x"))
     return x.join(given, [*same, "band"], "left").withColumn(value, F.col(value) + F.coalesce("_x", F.lit(0.0))).drop("_x", "_h", "_w")

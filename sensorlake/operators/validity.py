@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -21,24 +21,22 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, ri
     return left.join(line, left_time, "left")
 
 
-def _month(day: Column) -> Column:
-    return F.year(day) * 12 + F.month(day) - 1
-
-
 def applicable(left: DataFrame, files: DataFrame, time: str, file_id: str, kind: str, warn_years: float = 1.0) -> DataFrame:
     """left with, for each type of file, the one that applies: the last that starts at or before the day (the smallest id of a start), or the
     first of its type where all start later. files: file_id, kind, start, stop. Adds within_validity (the day is in [start, stop]), gap_days,
     gap_years (two decimals) and warn (outside, or a gap of more than warn_years).
 
-    Each file of a type holds the interval to the next start; intervals are dealt out to their months, and rows meet them by an equi join
-    on the month. Windows run within a type over its distinct starts. Rows without a day have no file and are kept.
+    Each file of a type holds the interval to the next start; intervals are dealt out to their days, and rows meet them by an equi join
+    on the day, so that a busy month is many keys; an interval is cut to the days that rows have. Windows run within a type over its distinct starts. Rows without a day have no file and are kept.
     """
     own = Window.partitionBy(kind).orderBy("start")
     first = files.where(F.col("start").isNotNull()).groupBy(kind, F.col("start").cast("date").alias("start")).agg(F.min(F.struct(file_id, F.col("stop").cast("date").alias("stop"))).alias("f"))
     held = first.select(kind, "start", f"f.{file_id}", "f.stop", F.when(F.lag("start").over(own).isNull(), F.lit("1900-01-01").cast("date")).otherwise(F.col("start")).alias("_lo"), F.coalesce(F.lead("start").over(own), F.lit("2200-01-01").cast("date")).alias("_hi"))
-    held = held.withColumn("_m", F.explode(F.sequence(_month(F.col("_lo")), _month(F.col("_hi")))))
-    x = left.withColumn("_d", F.col(time).cast("date")).withColumn("_m", _month(F.col("_d")))
-    x = x.join(held, (x["_m"] == held["_m"]) & (x["_d"] >= held["_lo"]) & (x["_d"] < held["_hi"]), "left").drop("_m", "_lo", "_hi")
+    x = left.withColumn("_d", F.col(time).cast("date"))
+    span = x.agg(F.min("_d").alias("_a"), F.max("_d").alias("_b"))  # one row
+    held = held.join(F.broadcast(span), (F.col("_lo") <= F.col("_b")) & (F.col("_hi") > F.col("_a")))
+    held = held.withColumn("_d", F.explode(F.sequence(F.greatest("_lo", "_a"), F.least(F.date_sub("_hi", 1), "_b")))).drop("_lo", "_hi", "_a", "_b")
+    x = x.join(held, "_d", "left")
     days = F.abs(F.datediff("_d", "start"))
     x = x.withColumns({"within_validity": F.col("_d").between(F.col("start"), F.col("stop")), "gap_days": days, "gap_years": F.round(days / 365.25, 2)})
     return x.withColumn("warn", F.coalesce((F.col("gap_years") > warn_years) | ~F.col("within_validity"), F.lit(True))).drop("_d")

@@ -48,36 +48,30 @@ def join_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.stamp_defects(frame(spark, sf_dir), dead, bands.withColumns({"line": F.lit(2), "col": F.lit(5)}), BAND).select("band", "line", "col", "dn", "qa")
 
 
-_X = "f4 AS (SELECT * FROM frame WHERE line < 40), cx AS (SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, ((k * 3 + l) % 5) / 1000.0::DOUBLE AS coef FROM range(10) a(k), range(10) b(l) WHERE k <> l)"
-
-
-@query("join_05_crosstalk", sql(FRAME, _X, "SELECT f.band, f.line, f.col, round(any_value(f.dn) + coalesce(sum(coef * g.dn), 0), 6) AS dn FROM f4 f LEFT JOIN (SELECT * FROM cx JOIN f4 ON f4.band = l) g ON g.k = f.band AND g.line = f.line AND g.col = f.col GROUP BY ALL"))
-def join_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = spark.range(100).select((F.col("id") / 10).cast("int").alias("k"), (F.col("id") % 10).cast("int").alias("l")).where("k <> l").withColumn("coef", ((F.col("k") * 3 + F.col("l")) % 5) / 1000.0)
-    return resample.crosstalk(frame(spark, sf_dir).where("line < 40"), matrix, ["detector"]).select("band", "line", "col", steady("dn").alias("dn"))
-
-
-@query("join_06_uniform_crosstalk", sql(FRAME, "SELECT band, line, col, round(dn + 0.002::DOUBLE * (sum(dn) OVER (PARTITION BY line, col) - dn), 6) AS dn FROM frame WHERE line < 40"))
-def join_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.uniform_crosstalk(frame(spark, sf_dir).where("line < 40"), ["detector"], 0.002).select("band", "line", "col", steady("dn").alias("dn"))
-
-
 def shaped(f: DataFrame) -> DataFrame:
-    return f.join(F.broadcast(f.groupBy("detector", "band").agg((F.max("line") + 1).alias("h"), (F.max("col") + 1).alias("w"))), ["detector", "band"])
+    return f.join(f.groupBy("detector", "band").agg((F.max("line") + 1).alias("h"), (F.max("col") + 1).alias("w")), ["detector", "band"])
 
 
 _SHAPED = "sh AS (SELECT band, max(line) + 1 AS h, max(col) + 1 AS w FROM frame GROUP BY band), fs AS (SELECT * FROM frame JOIN sh USING (band)), cw AS (SELECT CAST(k AS INT) AS k, CAST(l AS INT) AS l, ((k * 3 + l) % 5) / 1000.0::DOUBLE AS coef FROM range(10) a(k), range(10) b(l) WHERE k <> l)"
 
 
-@query("join_05_crosstalk_all_lines", sql(FRAME, _SHAPED, "SELECT f.band, f.line, f.col, round(any_value(f.dn) + coalesce(sum(coef * g.dn), 0), 6) AS dn FROM fs f LEFT JOIN (SELECT * FROM cw JOIN fs ON fs.band = l) g ON g.k = f.band AND g.h = f.h AND g.w = f.w AND g.line = f.line AND g.col = f.col GROUP BY f.band, f.line, f.col"))
-def join_05_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+_CROSSTALK_SQL = sql(FRAME, _SHAPED, "SELECT f.band, f.line, f.col, round(any_value(f.dn) + coalesce(sum(coef * g.dn), 0), 6) AS dn FROM fs f LEFT JOIN (SELECT * FROM cw JOIN fs ON fs.band = l) g ON g.k = f.band AND g.h = f.h AND g.w = f.w AND g.line = f.line AND g.col = f.col GROUP BY f.band, f.line, f.col")
+
+
+@query("join_05_crosstalk", _CROSSTALK_SQL)
+@query("join_05_crosstalk_all_lines", _CROSSTALK_SQL)  # the name of an earlier round
+def join_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole frames; as in the source, only bands of equal shape mix."""
     matrix = spark.range(100).select((F.col("id") / 10).cast("int").alias("k"), (F.col("id") % 10).cast("int").alias("l")).where("k <> l").withColumn("coef", ((F.col("k") * 3 + F.col("l")) % 5) / 1000.0)
     return resample.crosstalk(frame(spark, sf_dir), matrix, ["detector"]).select("band", "line", "col", steady("dn").alias("dn"))
 
 
-@query("join_06_uniform_crosstalk_all_lines", sql(FRAME, _SHAPED, "SELECT band, line, col, round(dn + 0.002::DOUBLE * (sum(dn) OVER (PARTITION BY h, w, line, col) - dn), 6) AS dn FROM fs"))
-def join_06_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+_UNIFORM_CROSSTALK_SQL = sql(FRAME, _SHAPED, "SELECT band, line, col, round(dn + 0.002::DOUBLE * (sum(dn) OVER (PARTITION BY h, w, line, col) - dn), 6) AS dn FROM fs")
+
+
+@query("join_06_uniform_crosstalk", _UNIFORM_CROSSTALK_SQL)
+@query("join_06_uniform_crosstalk_all_lines", _UNIFORM_CROSSTALK_SQL)  # the name of an earlier round
+def join_06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.uniform_crosstalk(shaped(frame(spark, sf_dir)), ["detector", "h", "w"], 0.002).select("band", "line", "col", steady("dn").alias("dn"))
 
 
@@ -194,7 +188,7 @@ def join_17_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.shape_mismatch(c, c.where("band % 2 = 0 OR col < 60"), BAND)
 
 
-@query("join_18_line_stride", sql(FRAME, "n AS (SELECT band, max(line) + 1 AS n FROM frame GROUP BY band)", "s AS (SELECT band, 6 - band % 3 AS g, greatest(1, n // (n // (1 + band % 3))) AS stride, n // (1 + band % 3) AS m FROM n)", "SELECT band, CAST(r AS INT) AS line, CAST(r * stride AS INT) AS fine_line FROM s, range(600) x(r) WHERE r < m AND r * stride < (SELECT max(n) FROM n WHERE n.band = s.band)"))
+@query("join_18_line_stride", sql(FRAME, "n AS (SELECT band, max(line) + 1 AS n FROM frame GROUP BY band)", "s AS (SELECT band, 6 - band % 3 AS g, greatest(1, n // (n // (1 + band % 3))) AS stride, n // (1 + band % 3) AS m FROM n)", "SELECT band, CAST(r AS INT) AS line, CAST(r * stride AS INT) AS fine_line FROM (SELECT s.band, stride, m, n, unnest(range(m)) AS r FROM s JOIN n USING (band)) WHERE r * stride < n"))
 def join_18(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = frame(spark, sf_dir).select("band", "line").distinct()
     n = fine.groupBy("band").agg((F.max("line") + 1).alias("n"))

@@ -243,16 +243,12 @@ def res_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.integrate_psf(m, ["band"], 4, 5).select("band", "dy", "dx", steady("w").alias("w"))
 
 
-@query("res_05_composite", sql(FRAME, _P, "g AS (SELECT band, line, col, CAST(floor(greatest(least((dn - lo) / (CASE WHEN hi <= lo THEN lo + 1 ELSE hi END - lo), 1), 0) * 255) AS INT) AS grey FROM frame JOIN p USING (band) WHERE line % 2 = 0 AND col % 2 = 0 AND line < 40)", "SELECT CAST(line // 2 AS INT) AS line, CAST(col // 2 AS INT) AS col, max(grey) FILTER (band = 4) AS red, max(grey) FILTER (band = 3) AS green, max(grey) FILTER (band = 2) AS blue FROM g WHERE band IN (2, 3, 4) GROUP BY ALL"))
-def res_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sensorlake.operators.chain import composite, percentile_stretch
+_COMPOSITE_SQL = sql(FRAME, _P, "g AS (SELECT band, line, col, CAST(floor(greatest(least((dn - lo) / (CASE WHEN hi <= lo THEN lo + 1 ELSE hi END - lo), 1), 0) * 255) AS INT) AS grey FROM frame JOIN p USING (band) WHERE line % 2 = 0 AND col % 2 = 0)", "SELECT CAST(line // 2 AS INT) AS line, CAST(col // 2 AS INT) AS col, max(grey) FILTER (band = 4) AS red, max(grey) FILTER (band = 3) AS green, max(grey) FILTER (band = 2) AS blue FROM g WHERE band IN (2, 3, 4) GROUP BY ALL")
 
-    grey = percentile_stretch(frame(spark, sf_dir), ["band"]).where("line % 2 = 0 AND col % 2 = 0 AND line < 40").withColumns({"line": F.floor(F.col("line") / 2).cast("int"), "col": F.floor(F.col("col") / 2).cast("int")})
-    return composite(grey, {4: "red", 3: "green", 2: "blue"})
 
-
-@query("res_05_composite_all_lines", sql(FRAME, _P, "g AS (SELECT band, line, col, CAST(floor(greatest(least((dn - lo) / (CASE WHEN hi <= lo THEN lo + 1 ELSE hi END - lo), 1), 0) * 255) AS INT) AS grey FROM frame JOIN p USING (band) WHERE line % 2 = 0 AND col % 2 = 0)", "SELECT CAST(line // 2 AS INT) AS line, CAST(col // 2 AS INT) AS col, max(grey) FILTER (band = 4) AS red, max(grey) FILTER (band = 3) AS green, max(grey) FILTER (band = 2) AS blue FROM g WHERE band IN (2, 3, 4) GROUP BY ALL"))
-def res_05_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("res_05_composite", _COMPOSITE_SQL)
+@query("res_05_composite_all_lines", _COMPOSITE_SQL)  # the name of an earlier round
+def res_05(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorlake.operators.chain import composite, percentile_stretch
 
     grey = percentile_stretch(frame(spark, sf_dir), ["band"]).where("line % 2 = 0 AND col % 2 = 0").withColumns({"line": F.floor(F.col("line") / 2).cast("int"), "col": F.floor(F.col("col") / 2).cast("int")})
