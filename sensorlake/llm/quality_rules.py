@@ -1,7 +1,8 @@
 r"""Quality rules as a bitmask ledger, in DataFrame functions only.
 
-Every rule is evaluated once for each document. The ledger keeps its measurements and one failure bit a rule. Policies are
-versioned sets of rules: applying one is a bitwise AND, and ablations come from counts by distinct bit patterns.
+Every rule is evaluated once for each document. The ledger keeps its measurements and one failure bit a rule, and is stored: texts
+are not read again for a policy. Policies are versioned sets of rules: applying one is a bitwise AND over the stored bits, and
+ablations come from counts by distinct bit patterns.
 
 Defined results: a null text has no words, measures 0 and fails `few_words`; repeated rows are judged each; an empty table
 gives an empty ledger; extra columns are ignored. Equal eight-word windows are found by 64-bit hashes.
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm.common import SPACE, WORD
+from sensorlake.llm.common import SPACE, WORD, written
 
 WINDOW = 8
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters"]
@@ -81,15 +82,21 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return measured(df, id_col, text_col).withColumn("failure_bits", F.expr(bits))
 
 
+def stored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, written once to the shared folder and read back."""
+    return written(ledger(df, id_col, text_col), "quality-ledger")
+
+
 def apply_policy(led: DataFrame, policy: str, name: str = "kept") -> DataFrame:
     return led.withColumn(name, F.col("failure_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0)
 
 
 def ablations(led: DataFrame, policies: list[str] | None = None) -> DataFrame:
     """policy, rule, failed, only_this (documents that the policy would keep without this rule), kept. Grouped by distinct bits first: at most 2^rules rows go on."""
-    counts = led.groupBy("failure_bits").agg(F.count("*").alias("n"))
-    pairs = led.sparkSession.createDataFrame([(p, r, mask(p), bit(r)) for p in policies or POLICIES for r in POLICIES[p]], "policy string, rule string, mask long, bit long")
+    nothing = led.sparkSession.createDataFrame([(0, 0)], "failure_bits long, n long")  # so that policies show on an empty ledger
+    counts = led.groupBy("failure_bits").agg(F.count("*").alias("n")).unionByName(nothing)
+    asked = [F.struct(F.lit(p).alias("policy"), F.lit(r).alias("rule"), F.lit(mask(p)).cast("long").alias("mask"), F.lit(bit(r)).cast("long").alias("bit")) for p in policies or POLICIES for r in POLICIES[p]]
+    each = counts.select("failure_bits", "n", F.explode(F.array(*asked)).alias("a")).select("failure_bits", "n", "a.*")
     hit = F.col("failure_bits").bitwiseAND(F.col("mask"))
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    joined = F.broadcast(pairs).join(counts, F.lit(True), "left")
-    return joined.groupBy("policy", "rule").agg(total(hit.bitwiseAND(F.col("bit")) != 0).alias("failed"), total(hit == F.col("bit")).alias("only_this"), total(hit == 0).alias("kept"))
+    return each.groupBy("policy", "rule").agg(total(hit.bitwiseAND(F.col("bit")) != 0).alias("failed"), total(hit == F.col("bit")).alias("only_this"), total(hit == 0).alias("kept"))

@@ -36,11 +36,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "base", "base_ok")
+    led = quality_rules.apply_policy(quality_rules.stored(table(spark, sf_dir, "documents")), "base", "base_ok")
     led = quality_rules.apply_policy(led, "2024-1", "policy_ok")
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_ok")).alias("base_failed"), (F.col("base_ok") & F.col("policy_ok")).alias("kept"), "failure_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version rejects, alone and with the others, from one stored ledger."""
+    return quality_rules.ablations(quality_rules.stored(table(spark, sf_dir, "documents")))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), F.round("question_overlap", 6).alias("question_overlap"), F.round("answer_overlap", 6).alias("answer_overlap"), "first_word")
@@ -54,6 +59,24 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("_spans")).alias("spans"))
 
 
+#: The access rule as a later version widens it.
+ACCESS_2 = secret_scans.SecretRule("access", 2, r"A(?:KI|SI)A[A-Z0-9]{16,}", 1)
+
+
+def secret_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs on one ledger: documents of even ids, then all of them, then all with a new version of one rule. Each scans what is new only."""
+    docs, path = table(spark, sf_dir, "documents"), new_path(spark, "secret-increments")
+    upgraded = [ACCESS_2 if r.kind == "access" else r for r in secret_scans.RULES]
+    out = None
+    for step, rows, rules in (("even", docs.where("doc_id % 2 = 0"), secret_scans.RULES), ("all", docs, secret_scans.RULES), ("upgrade", docs, upgraded)):
+        ledger = secret_scans.read_ledger(spark, path)
+        new = written(secret_scans.scan(rows, ledger, rules), "secret-new")
+        new.write.mode("append").parquet(path)
+        counts = secret_scans.new_pairs(new, step)
+        out = counts if out is None else out.unionByName(counts)
+    return out
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -100,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_simhash": op11_simhash,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_ball_kmeans": op13_ball_kmeans,
+    "quality_ablations": quality_ablations,
+    "secret_increments": secret_increments,
 }
 
 
@@ -116,7 +141,7 @@ m AS (SELECT h.*, (SELECT max_by(struct_pack(rule := rule, action := action), le
 SELECT page_id, host, path, best.rule AS rule,
        coalesce(best.action, CASE WHEN regexp_matches(host || path, '{'|'.join(BLOCKED)}') THEN 'block' ELSE 'allow' END) AS verdict FROM m"""
 
-_OP4 = rf"""
+_LEDGER = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS lines FROM d),
 x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
@@ -128,10 +153,18 @@ m AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D
         length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters
       FROM w LEFT JOIN rep USING (rid)),
 b AS (SELECT *, {' | '.join(f'(CASE WHEN {fails} THEN {quality_rules.bit(name)} ELSE 0 END)' for name, fails in quality_rules.RULES.items())} AS failure_bits FROM m)
+"""
+
+_OP4 = _LEDGER + rf"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        failure_bits & {quality_rules.mask('base') | quality_rules.mask('2024-1')} = 0 AS kept, CAST(failure_bits AS BIGINT) AS failure_bits FROM b"""
 
 
+_ABLATIONS = _LEDGER + f"""
+, pr(policy, rule, mask, bit) AS (VALUES {', '.join(f"('{p}', '{r}', {quality_rules.mask(p)}, {quality_rules.bit(r)})" for p, rules in quality_rules.POLICIES.items() for r in rules)})
+SELECT policy, rule, count(*) FILTER (failure_bits & bit <> 0) AS failed, count(*) FILTER (failure_bits & mask = bit) AS only_this, count(*) FILTER (failure_bits & mask = 0) AS kept FROM pr, b GROUP BY policy, rule"""
+
+
 def _op6_kind(rule: secret_scans.SecretRule) -> str:
     p = rule.pattern.replace("'", "''")
     return f"""
@@ -149,6 +182,17 @@ g AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (rid)"""
 
+
+def _increment(step: str, texts: str, rules: list[secret_scans.SecretRule]) -> str:
+    """Counts of one run, for the given distinct new texts and rule versions."""
+    return " UNION ALL ".join(f"""
+SELECT '{step}' AS step, '{r.key}' AS rule, count(*) AS blobs, CAST(coalesce(sum(len(list_filter(regexp_extract_all(t, '{r.pattern.replace("'", "''")}', {r.group}), lambda g: length(g) >= {r.least}))), 0) AS BIGINT) AS spans FROM {texts}""" for r in rules)
+
+
+_INCREMENTS = f"""
+WITH d AS (SELECT coalesce(text, '') AS t, min(doc_id % 2) AS odd FROM documents GROUP BY ALL), e AS (SELECT t FROM d WHERE odd = 0), o AS (SELECT t FROM d WHERE odd = 1)
+{_increment('even', 'e', secret_scans.RULES)} UNION ALL {_increment('all', 'o', secret_scans.RULES)} UNION ALL {_increment('upgrade', 'd', [ACCESS_2])}"""
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP7 = rf"""
@@ -205,4 +249,4 @@ c AS (SELECT rid, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(s
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
        (SELECT sha256(string_agg(concat_ws(',', x0, x1, x2, x3), ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256 FROM c JOIN k USING (rid)"""
 
-ORACLE: dict[str, str] = {"op3_url_filter": _OP3, "op4_quality_rules": _OP4, "op6_secret_scans": _OP6, "op7_jaccard_join": _OP7, "op10_warc": _OP10, "op12_hard_negatives": _OP12, "op13_ball_kmeans": _OP13}
+ORACLE: dict[str, str] = {"op3_url_filter": _OP3, "op4_quality_rules": _OP4, "op6_secret_scans": _OP6, "op7_jaccard_join": _OP7, "op10_warc": _OP10, "op12_hard_negatives": _OP12, "op13_ball_kmeans": _OP13, "quality_ablations": _ABLATIONS, "secret_increments": _INCREMENTS}

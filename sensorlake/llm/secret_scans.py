@@ -1,8 +1,9 @@
 r"""Secret scans with an incremental blob ledger, in DataFrame functions only.
 
 Every version of a text is addressed by its SHA-256. Only pairs of blob and rule version that the ledger does not hold are
-scanned; findings are appended to the ledger and joined back to all rows that hold the blob, so copies are
-scanned once. Spans are code points, end exclusive.
+scanned; findings are appended to the ledger with the version of their rule and joined back to all rows that hold the blob, so
+copies are scanned once. A caller gets the findings of the rule versions that it asks for, whatever else the ledger holds.
+Spans are code points, end exclusive.
 
 Defined results: a null text is the empty blob; repeated rows get the findings of their blob each; an empty table adds
 nothing to the ledger; a text without findings has an empty array of spans; other columns are kept or ignored by the caller.
@@ -51,7 +52,9 @@ KEY = r"-----BEGIN [A-Za-z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]*(?:-(?!----)[
 REDACTED = [SecretRule("private_key", 2, KEY, r.order) if r.kind == "private_key" else r for r in RULES]
 BASE = ("assign", "access", "hex")
 SPAN = "struct<start:int,ord:int,end:int,kind:string>"
-LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"
+#: In the ledger a span carries the version of its rule.
+FOUND = "struct<start:int,ord:int,end:int,kind:string,version:int>"
+LEDGER = f"blob string, rules array<string>, spans array<{FOUND}>"
 
 
 def _matched(df: DataFrame, rules: list[SecretRule]) -> DataFrame:
@@ -67,11 +70,11 @@ def _matched(df: DataFrame, rules: list[SecretRule]) -> DataFrame:
 
 def _spans_sql(r: SecretRule) -> str:
     """Spans of one rule: the lengths of the matches and of the text between them give every position."""
-    m, b, g, none = f"_m_{r.kind}", f"_b_{r.kind}", f"_g_{r.kind}", f"cast(array() AS array<{SPAN}>)"
+    m, b, g, none = f"_m_{r.kind}", f"_b_{r.kind}", f"_g_{r.kind}", f"cast(array() AS array<{FOUND}>)"
     start = f"a.at + char_length({b}[i])"
     return f"""CASE WHEN size({m}) > 0 THEN aggregate(sequence(0, size({m}) - 1), named_struct('at', 0, 'out', {none}),
         (a, i) -> named_struct('at', {start} + char_length({m}[i]),
-          'out', CASE WHEN char_length({g}[i]) >= {r.least} THEN array_append(a.out, named_struct('start', {start}, 'ord', {r.order}, 'end', {start} + char_length({m}[i]), 'kind', '{r.kind}')) ELSE a.out END),
+          'out', CASE WHEN char_length({g}[i]) >= {r.least} THEN array_append(a.out, named_struct('start', {start}, 'ord', {r.order}, 'end', {start} + char_length({m}[i]), 'kind', '{r.kind}', 'version', {r.version})) ELSE a.out END),
         a -> a.out) ELSE {none} END"""
 
 
@@ -94,9 +97,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None, rules: list[SecretRule]
 
 
 def findings(ledger: DataFrame, rules: list[SecretRule] | None = None) -> DataFrame:
-    """blob, spans of the given rules; only blobs that have some. A blob has one row a scan in the ledger, not one a copy."""
-    kinds = {r.kind for r in (RULES if rules is None else rules)}
-    some = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.col("s.kind").isin(sorted(kinds)))
+    """blob, spans of the given rule versions; only blobs that have some. A blob has one row a scan in the ledger, not one a copy."""
+    wanted = [r.key for r in (RULES if rules is None else rules)]
+    some = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).where(F.concat("s.kind", F.lit("@"), "s.version").isin(wanted))
+    some = some.select("blob", F.struct("s.start", "s.ord", "s.end", "s.kind").alias("s"))
     return some.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
@@ -117,6 +121,13 @@ def scan_all(df: DataFrame, ledger_path: str | None = None, *, text_col: str = "
     return rows.join(spans, blob, "left").select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(found), none).alias(spans_col))
 
 
+def new_pairs(rows: DataFrame, step: str) -> DataFrame:
+    """step, rule, blobs, spans: how many blobs rows of a ledger tell that a rule version has been scanned over, and what it found there."""
+    scanned = rows.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("blobs"))
+    found = rows.select(F.explode("spans").alias("s")).groupBy(F.concat("s.kind", F.lit("@"), "s.version").alias("rule")).agg(F.count("*").alias("spans"))
+    return scanned.join(found, "rule", "left").select(F.lit(step).alias("step"), "rule", "blobs", F.coalesce("spans", F.lit(0)).alias("spans"))
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at a path; an empty one where there is none yet."""
     try:

@@ -495,6 +495,20 @@ def test_ledger_scans_only_what_is_new(spark, empty):
     assert secret_scans.scan_all(empty).count() == 0
 
 
+def test_findings_are_those_of_the_rule_versions_asked_for(spark):
+    """After an upgrade both versions are in the ledger; each caller gets its own."""
+    path = common.new_path(spark, "ledger-versions")
+    old = [secret_scans.SecretRule("mark", 1, "BEGIN", 0)]
+    new = [secret_scans.SecretRule("mark", 2, "BEGIN[a-z ]*END", 0)]
+    docs = docs_of(spark, [(1, "x BEGIN a END"), (2, "BEGIN only"), (3, "none")])
+    spans = lambda rules: {r["doc_id"]: [tuple(s) for s in r["_spans"]] for r in secret_scans.scan_all(docs, path, rules=rules).collect()}
+    assert spans(old) == {1: [(2, 0, 7, "mark")], 2: [(0, 0, 5, "mark")], 3: []}
+    assert spans(new) == {1: [(2, 0, 13, "mark")], 2: [], 3: []}
+    assert spans(old) == {1: [(2, 0, 7, "mark")], 2: [(0, 0, 5, "mark")], 3: []}
+    assert secret_scans.read_ledger(spark, path).count() == 6  # three blobs, two rule versions, nothing twice
+    assert {(r["rule"], r["blobs"], r["spans"]) for r in secret_scans.new_pairs(secret_scans.read_ledger(spark, path), "x").collect()} == {("mark@1", 3, 2), ("mark@2", 3, 1)}
+
+
 # 7 Jaccard join
 
 
