@@ -3,17 +3,19 @@
 1. Each document becomes two short feature vectors, written once: its content (shares of character classes and of their
    pairs, hashed words and pairs of words, word statistics) and its metadata (language, source, length band). Rounds read these, not the texts.
 2. Both views are fitted on a sample of labelled documents of at most `most_labelled`, chosen by hash of the id. The pool has one
-   unlabelled document of each text vector. In each round each view labels about a `share` of the pool, `per_round` documents
-   at least, of each class, among those with a calibrated probability of at least `confident` that no view has labelled
-   before; the other view trains on these too, by sums over them that Spark adds up. The text view takes the documents it is surest
-   of; the metadata view, whose vectors are shared by many documents, takes as evenly from all of them as their numbers allow.
+   unlabelled document of each text vector. In each round each view labels about twice a `share` of the pool (2 `per_round` documents
+   at least) that no view has labelled before, its surest ones by rank, of both classes in their labelled shares (a class's side of the pool is its share of all ranks); the other view trains on
+   these too, by sums over them that Spark adds up. The text view takes the documents it is surest of; the metadata view, whose vectors
+   are shared by many documents, takes as evenly from all on a class's side as their numbers allow. Documents that both views are sure of and
+   disagree on are dropped. A pseudo-label weighs as much as the view's calibrated probability of it exceeds the class's share, in parts of what it
+   could exceed it by, times how surely the view's ranking of held-out labels beats chance: a view that may know nothing teaches nothing. `confident` is a further, absolute limit; by default there is none.
 3. Two fifths of the labelled sample are never trained on: one calibrates each view, the other fits the weights that combine the views
    (the same one does both where a fifth holds one class only).
 4. All documents are scored by the combined, calibrated views.
 
 Defined results: labels that contradict each other count as low quality; without labels of both classes every document
 gets the share of good labels (1 without labels); null texts have the features of the empty text and null metadata are
-a value of their own; repeated rows get a score each; empty tables give no rows; other columns are ignored. Pseudo-label
+a value of their own; repeated rows get a score each; of several texts with one labelled id the one with the smallest features teaches; empty tables give no rows; other columns are ignored. Pseudo-label
 ties go by hash of the text vector; rows with a null id are scored, not learned from.
 """
 
@@ -99,14 +101,15 @@ class Linear:
     bias: float
     a: float = 1.0
     b: float = 0.0
+    skill: float = 1.0  # how surely its ranking of held-out labels beats chance
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.a * (((x - self.mean) / self.scale) @ self.weights + self.bias) + self.b
 
 
-def _gradient(x1: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gradient(x1: np.ndarray, y: np.ndarray, w: np.ndarray, trust: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-    return (x1 * (p * (1 - p))[:, None]).T @ x1, x1.T @ (p - y)
+    return (x1 * (trust * p * (1 - p))[:, None]).T @ x1, x1.T @ (trust * (p - y))
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, more: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, float]:
@@ -132,13 +135,14 @@ def _smooth(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
 
 
-def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | float:
+def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | float:
     """The sums of an array over all taught rows: one array comes from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for part in _slices(batches):
-            got = sums(_arrays(part, name, width), part.column(part.schema.get_field_index("y")).to_numpy().astype(np.float64))
+            y, trust = (part.column(part.schema.get_field_index(c)).to_numpy().astype(np.float64) for c in ("y", "trust"))
+            got = sums(_arrays(part, name, width), y, trust)
             total = got if total is None else total + got
         if total is not None:
             slot = TaskContext.get().partitionId() % MANY_TASKS
@@ -149,31 +153,45 @@ def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray
         return pa.table({"slot": t.column("slot").slice(0, 1), "data": pa.array([total.tobytes()], pa.binary()), "shape": t.column("shape").slice(0, 1)})
 
     schema = "slot int, data binary, shape array<int>"
-    parts = taught.select(name, "y").mapInArrow(run, schema)
+    parts = taught.select(name, "y", "trust").mapInArrow(run, schema)
     if taught.rdd.getNumPartitions() > MANY_TASKS:  # the driver gets MANY_TASKS arrays at most
         parts = parts.groupBy("slot").applyInArrow(add, schema)
     rows = parts.collect()
     return sum((np.frombuffer(r["data"], np.float64).reshape(r["shape"]) for r in rows), 0.0)
 
 
+def skill(z: np.ndarray, y: np.ndarray) -> float:
+    """0 for a ranking that may be chance, 1 for a perfect one: twice the area under the ROC curve less one, at the area's lower 95 % bound (its
+    standard error after Hanley and McNeil)."""
+    good, bad = z[y > 0], np.sort(z[y <= 0])
+    n1, n0 = len(good), len(bad)
+    if not n1 or not n0:
+        return 0.0
+    area = (np.searchsorted(bad, good, "left") + np.searchsorted(bad, good, "right")).sum() / (2 * n1 * n0)
+    q1, q2 = area / (2 - area), 2 * area * area / (1 + area)
+    error = np.sqrt(max(0.0, area * (1 - area) + (n1 - 1) * (q1 - area * area) + (n0 - 1) * (q2 - area * area)) / (n1 * n0))
+    return float(max(0.0, 2 * (area - 1.645 * error) - 1))
+
+
 def fit_linear(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarray, taught: DataFrame | None = None, name: str = "t") -> Linear:
-    """taught: pseudo-labelled rows with the view's vector as `name`, and y."""
+    """taught: pseudo-labelled rows with the view's vector as `name`, y, and trust, the weight of the row."""
     width = x.shape[1]
     moments = np.array([np.full(width, len(x)), x.sum(axis=0), (x * x).sum(axis=0)])
     if taught is not None:
-        moments = moments + _summed(taught, name, width, lambda x, y: np.array([np.full(x.shape[1], float(len(x))), x.sum(axis=0), (x * x).sum(axis=0)]))
+        moments = moments + _summed(taught, name, width, lambda x, y, trust: np.array([np.full(x.shape[1], trust.sum()), trust @ x, trust @ (x * x)]))
     mean = moments[1] / moments[0]
     scale = np.maximum(np.sqrt(np.maximum(moments[2] / moments[0] - mean * mean, 0)), 1e-3)
 
     def more(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        def sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            return np.column_stack(_gradient(np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), y, w))
+        def sums(x: np.ndarray, y: np.ndarray, trust: np.ndarray) -> np.ndarray:
+            return np.column_stack(_gradient(np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), y, w, trust))
 
         got = _summed(taught, name, width, sums)
         return (got[:, :-1], got[:, -1]) if isinstance(got, np.ndarray) else (0.0, 0.0)
 
     w, b = _newton((x - mean) / scale, y, ridge=1.0, more=None if taught is None else more)
     view = Linear(mean, scale, w, b)
+    view.skill = skill(view.logit(x_cal), y_cal)
     a, shift = _newton(view.logit(x_cal)[:, None], _smooth(y_cal), ridge=1e-3)
     view.a, view.b = (float(a[0]), shift) if a[0] > 0 else (0.0, float(np.log((y_cal.mean() + 1e-3) / (1 - y_cal.mean() + 1e-3))))
     return view
@@ -231,27 +249,48 @@ def _shares(groups: list[tuple[object, int]], wanted: int, evenly: bool) -> list
     return [x for x in out if x[1] > 0]
 
 
-def _surest(pool: DataFrame, before: DataFrame | None, view: Linear, name: str, width: int, confident: float, wanted: int) -> DataFrame:
-    """_id, t, m, y, written once: about `wanted` rows of each class that a view is sure of, and that are not among those taken before."""
-    given = pool.sparkSession.sparkContext.broadcast(view)
+def _scored_pool(pool: DataFrame, before: DataFrame | None, text: Linear, meta: Linear) -> DataFrame:
+    """_id, t, m, zt, zm, written once: both views' logits of all rows that no view has taught yet."""
+    given = pool.sparkSession.sparkContext.broadcast((text, meta))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, meta = given.value
         for batch in _slices(batches):
-            z = given.value.logit(_arrays(batch, name, width))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], ["_id", "t", "m", "z"])
+            z = [pa.array(view.logit(_arrays(batch, name, width))) for view, name, width in ((text, "t", TEXT), (meta, "m", META))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *z], ["_id", "t", "m", "zt", "zm"])
+
+    left = pool if before is None else pool.join(before.select("_id"), "_id", "left_anti")
+    return written(left.mapInArrow(score, "_id long, t binary, m binary, zt double, zm double"), "quality-scored")
 
-    edge = float(np.log(confident / (1 - confident)))
-    sure = pool.mapInArrow(score, "_id long, t binary, m binary, z double").where(F.abs("z") >= edge)
-    if before is not None:
-        sure = sure.join(before.select("_id"), "_id", "left_anti")
+
+def _marked(scored: DataFrame, name: str, view: Linear, middle: float, good: float, confident: float, wanted: int) -> DataFrame:
+    """scored with the columns y and trust of a view's own surest rows: about 2 `wanted` in all, of both classes in the shares of the labelled ones. A row is on the
+    side of a class by its rank: above or below `middle`, the logit that parts the pool in those shares (ties with it go to the larger class). Of these the highest ranks are taken, or for
+    the metadata view, whose vectors are shared by many rows, as evenly from all vectors as their numbers allow."""
+    z, y, place = F.col(f"z{name}"), f"y{name}", F.pmod(F.xxhash64("t", F.lit(f"place {name}")), F.lit(1 << 30)) / float(1 << 30)
+    sure = F.abs(z) >= float(np.log(confident / (1 - confident)))
+    side = F.when(sure, F.when(z > middle, 1).when(z < middle, 0).otherwise(int(good >= 0.5)))
+    far = F.abs(z - middle)
     # A metadata vector is a group of its own; there are SOURCES x LANGS x BANDS of them at most.
-    group = F.xxhash64("m") if name == "m" else F.floor(F.least(F.abs("z"), F.lit(1000.0)) * 256)
-    sure = sure.select("_id", "t", "m", (F.col("z") > 0).cast("int").alias("y"), group.alias("g"))
-    counts = sure.groupBy("y", "g").count().orderBy("y", F.desc("g")).collect()
-    shares = [(y, g, share) for y in (0, 1) for g, share in _shares([(r["g"], r["count"]) for r in counts if r["y"] == y], wanted, name == "m")]
-    shares = pool.sparkSession.createDataFrame(shares, "y int, g long, share double")
-    place = F.pmod(F.xxhash64("t", F.lit("place")), F.lit(1 << 30)) / float(1 << 30)
-    return written(sure.join(F.broadcast(shares), ["y", "g"]).where(place < F.col("share")).select("_id", "t", "m", "y"), "quality-taught")
+    group = F.xxhash64("m") if name == "m" else F.floor(F.least(far, F.lit(1000.0)) * 256)
+    x = scored.withColumns({"_side": side, "_g": group})
+    counts = x.where("_side IS NOT NULL").groupBy("_side", "_g").count().orderBy("_side", F.desc("_g")).collect()
+    share = {1: max(1, round(2 * wanted * good)), 0: max(1, round(2 * wanted * (1 - good)))}
+    taken = [(c, g, s) for c in (0, 1) for g, s in _shares([(r["_g"], r["count"]) for r in counts if r["_side"] == c], share[c], name == "m")]
+    taken = scored.sparkSession.createDataFrame(taken, "_side int, _g long, _share double")
+    x = x.join(F.broadcast(taken), ["_side", "_g"], "left")
+    p = 1 / (1 + F.exp(-z))
+    gain = F.when(F.col("_side") == 1, (p - good) / (1 - good)).otherwise((good - p) / good)
+    x = x.withColumn(f"trust{name}", view.skill * F.greatest(F.least(gain, F.lit(1.0)), F.lit(0.0)))
+    return x.withColumn(y, F.when(place < F.col("_share"), F.col("_side"))).drop("_side", "_g", "_share")
+
+
+def _surest(marked: DataFrame, name: str, other: str) -> DataFrame:
+    """_id, t, m, y, trust, written once: what a view teaches the other in a round. A row that both are sure of is dropped where they disagree, and taught
+    by the text view where they agree."""
+    alone, both = F.col(f"y{name}").isNotNull() & F.col(f"y{other}").isNull(), F.col(f"y{name}") == F.col(f"y{other}")
+    rows = marked.where(alone | both if name == "t" else alone)
+    return written(rows.select("_id", "t", "m", F.col(f"y{name}").cast("int").alias("y"), F.col(f"trust{name}").alias("trust")), "quality-taught")
 
 
 def _sourced(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -259,14 +298,14 @@ def _sourced(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(integer_ids(df, id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), has("lang", "string").alias("_lang"), has("source", "string").alias("_source"), has("n_chars", "long").alias("_n"))
 
 
-def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rounds: int = 3, per_round: int = 500, share: float = 0.02, confident: float = 0.95, most_labelled: int = 20_000) -> tuple[Model, DataFrame]:
+def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rounds: int = 3, per_round: int = 500, share: float = 0.02, confident: float = 0.5, most_labelled: int = 20_000) -> tuple[Model, DataFrame]:
     """The model, and the features of all documents, written once."""
     table = written(features(_sourced(df, id_col, text_col)), "quality-features")
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("y"))
     labelled = y.select("_id")
     y = y.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
     y = written(y.withColumn("fold", F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(5)).cast("int")), "quality-labels")  # at most most_labelled rows
-    rows = table.join(F.broadcast(y), "_id").dropDuplicates(["_id"]).orderBy("_id").collect()
+    rows = table.join(F.broadcast(y), "_id").groupBy("_id", "y", "fold").agg(F.min(F.struct("t", "m")).alias("f")).select("_id", "y", "fold", "f.t", "f.m").orderBy("_id").collect()
     t = np.frombuffer(b"".join(r["t"] for r in rows), np.float16).reshape(-1, TEXT).astype(np.float64)
     m = np.frombuffer(b"".join(r["m"] for r in rows), np.float16).reshape(-1, META).astype(np.float64)
     target, fold = np.array([r["y"] for r in rows], np.float64), np.array([r["fold"] for r in rows], np.int64)
@@ -290,8 +329,14 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
 
     text, meta = fitted(t, "t"), fitted(m, "m")
     for _ in range(rounds):
-        for view, name, other, width in ((text, "t", "m", TEXT), (meta, "m", "t", META)):
-            taught[other].append(_surest(pool, together(taught["t"] + taught["m"]), view, name, width, confident, wanted))
+        marked = _scored_pool(pool, together(taught["t"] + taught["m"]), text, meta)
+        middle = marked.agg(*[F.percentile_approx(f"z{name}", 1 - good, 10_000).alias(name) for name in ("t", "m")]).first()
+        if middle["t"] is None:  # the pool has been taught
+            break
+        for name in ("t", "m"):
+            marked = _marked(marked, name, {"t": text, "m": meta}[name], middle[name], good, confident, wanted)
+        for name, other in (("t", "m"), ("m", "t")):
+            taught[other].append(_surest(marked, name, other))
         text, meta = fitted(t, "t"), fitted(m, "m")
     both = np.column_stack([text.logit(t[combine]), meta.logit(m[combine])])
     w, b = _newton(both, _smooth(target[combine]), ridge=0.1)

@@ -86,6 +86,54 @@ def test_pseudo_labels_are_new_texts_from_many_cells_and_follow_the_input(spark,
     assert len(cells) > 3 and max(cells.values()) < len(rows[1]) / 2
 
 
+def test_both_views_teach_both_classes_in_each_round_in_their_shares(spark, monkeypatch):
+    """What the views teach agrees with a plain-Python choice of the surest rows by rank; where they disagree nothing is taught."""
+    many = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    taught, marked, surest, mark = [], [], quality_classifier._surest, quality_classifier._marked
+    monkeypatch.setattr(quality_classifier, "_surest", lambda *a: taught.append((a[1], surest(*a))) or taught[-1][1])
+    monkeypatch.setattr(quality_classifier, "_marked", lambda *a: marked.append((a, mark(*a))) or marked[-1][1])
+    quality_classifier.fit(many, labels, per_round=60, share=0.0, rounds=2)
+    assert [n for n, _ in taught] == ["t", "m"] * 2
+    for _, rows in taught:
+        assert {r["y"] for r in rows.collect()} == {0, 1}
+    for (_, name, _, middle, good, _, wanted), got in marked:
+        rows = got.collect()
+        for c, side in ((1, 1), (0, -1)):
+            far = sorted((side * (r[f"z{name}"] - middle) for r in rows if side * (r[f"z{name}"] - middle) > 0), reverse=True)  # ties with the middle come last
+            mine = [side * (r[f"z{name}"] - middle) for r in rows if r[f"y{name}"] == c]
+            share = max(1, round(2 * wanted * (good if c else 1 - good)))
+            assert mine and min(mine) >= 0
+            if name == "t":  # the highest ranks, to the width of a group of ranks
+                assert len(far) <= share or min(mine) >= far[share - 1] - 1 / 256
+            assert len(mine) <= 1.5 * share + 12
+    ids = [r["_id"] for _, rows in taught for r in rows.collect()]
+    assert len(ids) == len(set(ids))
+    for k, (_, both) in enumerate(marked[1::2]):
+        odd = {r["_id"] for r in both.collect() if r["yt"] is not None and r["ym"] is not None and r["yt"] != r["ym"]}
+        assert not odd & {r["_id"] for _, rows in taught[2 * k : 2 * k + 2] for r in rows.collect()}
+
+
+def test_a_view_that_may_be_chance_teaches_nothing(spark):
+    """Labels that the texts show and the metadata do not, and the other way round: the view that knows must not be spoilt by the one that does not."""
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 400)
+    assert quality_classifier.skill(y + rng.normal(0, 1e-9, 400), y) > 0.98 and quality_classifier.skill(rng.normal(size=400), y) < 0.1
+    assert quality_classifier.skill(np.zeros(5), np.ones(5)) == 0.0
+    rng = random.Random(1)
+    rows = []
+    for i in range(900):
+        good = i % 3 > 0
+        rows.append((i, " ".join(rng.choice(["alpha", "beta", "gamma"] if good else ["!!", "$$", "##"]) for _ in range(rng.randrange(20, 60))), "en", f"s{rng.randrange(4)}", 100, int(good)))
+    df = spark.createDataFrame(rows, SCHEMA + ", q int")
+    labels = df.where("doc_id % 4 = 0").select("doc_id", F.col("q").alias("quality"))
+    got = quality_classifier.score(df.drop("q"), labels, per_round=40).join(df.select("doc_id", "q"), "doc_id").collect()
+    assert all(r["kept"] == bool(r["q"]) for r in got)
+    hidden = spark.createDataFrame([(i, text_of(rng, 40), "en", "good" if q else "bad", 100, q) for i, _, _, _, _, q in rows], SCHEMA + ", q int")
+    got = quality_classifier.score(hidden.drop("q"), labels, per_round=40).join(hidden.select("doc_id", "q"), "doc_id").collect()
+    assert sum(r["kept"] == bool(r["q"]) for r in got) > 0.98 * len(got)
+
+
 # 2 language model
 
 
