@@ -112,10 +112,10 @@ def _gradient(x1: np.ndarray, y: np.ndarray, w: np.ndarray, trust: np.ndarray |
     return (x1 * (trust * p * (1 - p))[:, None]).T @ x1, x1.T @ (trust * (p - y))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, more: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, float]:
-    """more: curvature and gradient of further rows, given the weights."""
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, more: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """more: curvature and gradient of further rows, given the weights. start: weights to begin with."""
     x1 = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x1.shape[1])
+    w = np.zeros(x1.shape[1]) if start is None else start
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
     for _ in range(steps):
@@ -124,7 +124,7 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12, more: C
             h, g = (a + b for a, b in zip((h, g), more(w), strict=True))
         step = np.linalg.solve(h + np.diag(penalty), g + penalty * w)
         w = w - step
-        if more is not None and np.abs(step).max() < 1e-6:
+        if more is not None and np.abs(step).max() < 1e-4:
             break
     return w[:-1], float(w[-1])
 
@@ -135,7 +135,7 @@ def _smooth(y: np.ndarray) -> np.ndarray:
     return np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
 
 
-def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | float:
+def _summed(taught: DataFrame, many: bool, name: str, width: int, sums: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | float:
     """The sums of an array over all taught rows: one array comes from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def _summed(taught: DataFrame, name: str, width: int, sums: Callable[[np.ndarray
 
     schema = "slot int, data binary, shape array<int>"
     parts = taught.select(name, "y", "trust").mapInArrow(run, schema)
-    if taught.rdd.getNumPartitions() > MANY_TASKS:  # the driver gets MANY_TASKS arrays at most
+    if many:  # the driver gets MANY_TASKS arrays at most
         parts = parts.groupBy("slot").applyInArrow(add, schema)
     rows = parts.collect()
     return sum((np.frombuffer(r["data"], np.float64).reshape(r["shape"]) for r in rows), 0.0)
@@ -173,12 +173,14 @@ def skill(z: np.ndarray, y: np.ndarray) -> float:
     return float(max(0.0, 2 * (area - 1.645 * error) - 1))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarray, taught: DataFrame | None = None, name: str = "t") -> Linear:
-    """taught: pseudo-labelled rows with the view's vector as `name`, y, and trust, the weight of the row."""
+def fit_linear(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarray, taught: DataFrame | None = None, name: str = "t", last: Linear | None = None) -> Linear:
+    """taught: pseudo-labelled rows with the view's vector as `name`, y, and trust, the weight of the row. last: the view
+    of the round before, from whose weights the fit sets out, so that few passes are needed."""
     width = x.shape[1]
     moments = np.array([np.full(width, len(x)), x.sum(axis=0), (x * x).sum(axis=0)])
+    many = taught is not None and taught.rdd.getNumPartitions() > MANY_TASKS
     if taught is not None:
-        moments = moments + _summed(taught, name, width, lambda x, y, trust: np.array([np.full(x.shape[1], trust.sum()), trust @ x, trust @ (x * x)]))
+        moments = moments + _summed(taught, many, name, width, lambda x, y, trust: np.array([np.full(x.shape[1], trust.sum()), trust @ x, trust @ (x * x)]))
     mean = moments[1] / moments[0]
     scale = np.maximum(np.sqrt(np.maximum(moments[2] / moments[0] - mean * mean, 0)), 1e-3)
 
@@ -186,10 +188,11 @@ def fit_linear(x: np.ndarray, y: np.ndarray, x_cal: np.ndarray, y_cal: np.ndarra
         def sums(x: np.ndarray, y: np.ndarray, trust: np.ndarray) -> np.ndarray:
             return np.column_stack(_gradient(np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), y, w, trust))
 
-        got = _summed(taught, name, width, sums)
+        got = _summed(taught, many, name, width, sums)
         return (got[:, :-1], got[:, -1]) if isinstance(got, np.ndarray) else (0.0, 0.0)
 
-    w, b = _newton((x - mean) / scale, y, ridge=1.0, more=None if taught is None else more)
+    start = None if last is None else np.append(last.weights / last.scale * scale, last.bias + (last.weights / last.scale) @ (mean - last.mean))
+    w, b = _newton((x - mean) / scale, y, ridge=1.0, more=None if taught is None else more, start=start)
     view = Linear(mean, scale, w, b)
     view.skill = skill(view.logit(x_cal), y_cal)
     a, shift = _newton(view.logit(x_cal)[:, None], _smooth(y_cal), ridge=1e-3)
@@ -324,8 +327,8 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     def together(tables: list[DataFrame]) -> DataFrame | None:
         return reduce(DataFrame.unionByName, tables) if tables else None
 
-    def fitted(x: np.ndarray, name: str) -> Linear:
-        return fit_linear(x[train], target[train], x[cal], target[cal], together(taught[name]), name)
+    def fitted(x: np.ndarray, name: str, last: Linear | None = None) -> Linear:
+        return fit_linear(x[train], target[train], x[cal], target[cal], together(taught[name]), name, last)
 
     text, meta = fitted(t, "t"), fitted(m, "m")
     for _ in range(rounds):
@@ -337,7 +340,7 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
             marked = _marked(marked, name, {"t": text, "m": meta}[name], middle[name], good, confident, wanted)
         for name, other in (("t", "m"), ("m", "t")):
             taught[other].append(_surest(marked, name, other))
-        text, meta = fitted(t, "t"), fitted(m, "m")
+        text, meta = fitted(t, "t", text), fitted(m, "m", meta)
     both = np.column_stack([text.logit(t[combine]), meta.logit(m[combine])])
     w, b = _newton(both, _smooth(target[combine]), ridge=0.1)
     return Model(text, meta, (float(w[0]), float(w[1]), b), good), table
