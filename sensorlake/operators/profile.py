@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.functions.radiometry import DN_MAX, SATURATED
+from sensorlake.functions.radiometry import DN_MAX, SATURATED, noise_sigma
 from sensorlake.operators import lineblocks
 
 
@@ -73,3 +73,14 @@ def drift(a: DataFrame, b: DataFrame, keys: list[str], reach: int) -> DataFrame:
 def line_checksums(lines: DataFrame, keys: list[str], samples: str) -> DataFrame:
     """keys, checksum: order-free over lines, from the CRC of each line's samples as text."""
     return lines.groupBy(*keys).agg(F.bit_xor(F.crc32(F.concat_ws(",", F.col("line").cast("string"), F.array_join(F.transform(samples, lambda v: v.cast("string")), ",")).cast("binary"))).alias("checksum"), F.count("*").alias("n_lines"))
+
+
+def root_mean_square(pixels: DataFrame, keys: list[str], error: Column, out: str) -> DataFrame:
+    """keys, n, the root of the mean squared error; nulls take no part."""
+    return pixels.groupBy(*keys).agg(F.count(error).alias("n"), F.sqrt(F.avg(error * error)).alias(out))
+
+
+def noise_check(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, sigma_measured (of noise over gain), sigma_model (mean of the noise model at the signal). pixels: noise, gain, signal, alpha, beta."""
+    model = noise_sigma(F.col("signal"), F.col("alpha") * F.col("alpha"), F.col("beta"))
+    return pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.stddev_pop(F.col("noise") / F.col("gain")).alias("sigma_measured"), F.avg(model).alias("sigma_model"))

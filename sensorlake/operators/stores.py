@@ -280,3 +280,12 @@ def findings(records: DataFrame, reports: DataFrame, *, setting_given: bool) ->
     fired = out.limit(1).select(F.lit(True).alias("_f"))
     none = records.sparkSession.createDataFrame([("inventory-no-blockers", "INFO", "no inconsistency was found")], "id string, severity string, evidence string")
     return out.unionByName(none.join(fired, F.lit(True), "left_anti"))
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """product, detectors, bands, arrays: how many a product holds, from the paths of its files (product/measurements/detector/band/array/...). Bands are told apart without
+    regard to case; a product without such files has none of them. Paths are made distinct before they are counted."""
+    inside = r"\.zarr/measurements/(d\d{2}|DD\d{2})/([^/]+)/([^/]+)"
+    part = lambda i: F.nullif(F.regexp_extract("path", inside, i), F.lit("")).alias("dba"[i - 1])
+    x = files.where(F.col("path").contains(".zarr")).select(F.regexp_replace("path", r"(\.zarr)(/.*)?$", "$1").alias("product"), part(1), part(2), part(3)).distinct()
+    return x.groupBy("product").agg(F.count_distinct("d").alias("detectors"), F.count_distinct(F.upper("b")).alias("bands"), F.count("d").alias("arrays"))

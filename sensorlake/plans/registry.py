@@ -30,4 +30,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from sensorlake.plans import calibration, files, joins, names, packets, pixels, sources, stores, streams, windows  # noqa: F401
+    from sensorlake.plans import calibration, files, joins, names, packets, pixels, products, sources, stores, streams, windows  # noqa: F401

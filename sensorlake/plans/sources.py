@@ -252,21 +252,6 @@ def snk_04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("name", "n")
 
 
-@query("snk_05_open_container", sql(FRAME, "SELECT band, line, round(1360000000.0::DOUBLE + line * 0.0015::DOUBLE, 6) AS t, count(*) AS n_cols FROM frame GROUP BY band, line"))
-def snk_05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = frame(spark, sf_dir).groupBy("band", "line").agg(F.count("*").alias("n_cols")).withColumn("t", 1360000000.0 + F.col("line") * 0.0015)
-    return written(lines, "line-conditions", "band").select("band", "line", steady("t").alias("t"), "n_cols")
-
-
-@query("snk_06_calibration_tables", "SELECT CAST(l_linenumber - 1 AS INT) AS band, count(DISTINCT l_partkey % 64) AS n_columns FROM lineitem GROUP BY ALL")
-def snk_06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sensorlake.fixtures import acquisition
-    from sensorlake.operators import calibrate
-
-    nuc = calibrate.two_point(acquisition(spark, sf_dir), ["band"]).withColumns({"unit": F.lit("S2B"), "source": F.lit("two-point"), "convention": F.lit("gain * dn + offset - dark")})
-    return written(nuc, "nuc", "band").groupBy("band").agg(F.count("*").alias("n_columns"))
-
-
 @query("snk_07_column_tables", "SELECT CAST(l_linenumber - 1 AS INT) AS band, CAST(l_partkey % 64 AS INT) AS col FROM lineitem GROUP BY ALL")
 def snk_07(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sensorlake.fixtures import acquisition
@@ -303,14 +288,6 @@ def snk_09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(items, "inventory").groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-@query("snk_10_root_metadata", sql(NAMES, "SELECT o_orderkey, kind AS type, lpad(CAST(1 + o_custkey % 143 AS VARCHAR), 3, '0') AS orbit FROM pn"))
-def snk_10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = product_names(spark, sf_dir)
-    doc = F.to_json(F.struct(F.struct(F.struct(F.col("kind").alias("product:type"), F.lpad((1 + F.col("o_custkey") % 143).cast("string"), 3, "0").alias("orbit")).alias("properties")).alias("stac_discovery")))
-    d = written(p.select("o_orderkey", doc.alias("text")), "metadata")
-    return d.select("o_orderkey", F.get_json_object("text", "$.stac_discovery.properties['product:type']").alias("type"), F.get_json_object("text", "$.stac_discovery.properties.orbit").alias("orbit"))
-
-
 @query("snk_11_manifest_upsert", sql(ADF, "SELECT type AS name, adf_id % 4 AS version, CASE WHEN max(CASE WHEN adf_id % 2 = 0 THEN 1 ELSE 0 END) = 1 THEN max(adf_id) FILTER (adf_id % 2 = 0) ELSE max(adf_id) END AS bytes FROM adf GROUP BY ALL"))
 def snk_11(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = coefficient_files(spark, sf_dir).select(F.col("type").alias("name"), (F.col("adf_id") % 4).alias("version"), F.col("adf_id").alias("bytes"))
