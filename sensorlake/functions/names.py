@@ -9,24 +9,23 @@ from pyspark.sql import functions as F
 NAME = r"^([A-Z0-9_]{9})_(\d{8}T\d{6})_(\d{4})_([A-Z])(\d{3})_([T_S])([0-9A-F]{3})(?:_([A-Za-z0-9_]+))?(\.zarr\.zip|\.zarr)?$"
 LENIENT = r"^([A-Z0-9_]{9})_(\d{8}T\d{6})_(\d{4})_([A-Z])(\d{3})_([T_S])([0-9A-F]{3})(?:_([A-Za-z0-9_]+))?(\.zarr\.zip|\.zarr|\.tar)?$"
 TYPE_CODES = ("S02MSIL0_", "S02MSIL1A", "S02MSIL1B", "S02MSIL1C", "S02MSIL2A", "S02MSISCA", "S02MSIDCA", "S02MSIISP", "S02SADISP")
-LEGACY = r"^(S2[ABC])_OPER_([A-Z0-9_]+?)_(\d{8}T\d{6})_?(V\d{8}T\d{6}_\d{8}T\d{6})?.*?(?:_A(\d{6}))?"
+LEGACY = r"^(S2[ABC])_OPER_([A-Z0-9_]+?)_(\d{8}T\d{6})(?:_?(V\d{8}T\d{6}_\d{8}T\d{6}))?(?:.*?_A(\d{6}))?"
 DATA_TAKE = r"GS2[ABC]_[A-Z0-9_]+?_(\d{6})_N"
 COEF_FILE = r"S0?2([ABC])_ADF_([A-Z0-9]+)_(\d{8}T\d{6})_(\d{8}T\d{6})_(\d{8}T\d{6})"
-FIELDS = ["product_type", "start", "duration_s", "unit", "relative_orbit", "consolidation", "discriminator", "z_suffix", "ext"]
+PLACES = {"product_type": (1, 9), "start": (11, 15), "duration_s": (27, 4), "unit": (32, 1), "relative_orbit": (33, 3), "consolidation": (37, 1), "discriminator": (38, 3)}
 NUMBERS = ("duration_s", "relative_orbit")
 
 
 def parse_name(name: Column) -> Column:
-    """Struct of the nine fields (null where the grammar or the type code does not hold), valid, and whether the builder could make it."""
-    group = lambda i: F.regexp_extract(name, NAME, i)
-    valid = name.rlike(NAME) & group(1).isin(*TYPE_CODES)
-    fields = []
-    for i, f in enumerate(FIELDS, 1):
-        v = group(i).cast("int") if f in NUMBERS else (F.nullif(group(i), F.lit("")) if f == "z_suffix" else group(i))
-        fields.append(F.when(valid, v).alias(f))
-    number = lambda i: F.when(valid, group(i)).cast("int")
-    buildable = valid & number(5).between(1, 143) & (number(3) >= 1)
-    return F.struct(*fields, F.coalesce(valid, F.lit(False)).alias("valid"), F.coalesce(buildable, F.lit(False)).alias("buildable"))
+    """Struct of the nine fields (null where the grammar or the type code does not hold), valid, and whether the builder could make it. The grammar is matched once; the fields lie at fixed places."""
+    valid = name.rlike(NAME) & F.substring(name, 1, 9).isin(*TYPE_CODES)
+    kept = F.when(valid, F.rtrim(name, F.lit("\r\n")))
+    stem = F.substring_index(kept, ".", 1)
+    part = {f: F.substring(kept, at, n) for f, (at, n) in PLACES.items()}
+    part |= {"z_suffix": F.nullif(F.substring(stem, 42, 1 << 20), F.lit("")), "ext": F.substring(kept, F.length(stem) + 1, F.lit(1 << 20))}
+    part |= {f: part[f].cast("int") for f in NUMBERS}
+    buildable = part["relative_orbit"].between(1, 143) & (part["duration_s"] >= 1)
+    return F.struct(*[v.alias(f) for f, v in part.items()], F.coalesce(valid, F.lit(False)).alias("valid"), F.coalesce(buildable, F.lit(False)).alias("buildable"))
 
 
 def build_name(product_type: Column, start: Column, duration_s: Column, unit: Column, orbit: Column, discriminator: Column | None = None, ext: str = ".zarr") -> Column:

@@ -37,12 +37,12 @@ def sca_02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("o_orderkey", *[F.col(f"p.{f}").alias(f) for f in ("product_type", "start", "duration_s", "unit", "relative_orbit", "consolidation", "discriminator", "ext", "valid", "buildable")])
 
 
-@query("sca_03_lenient_parse", sql(NAMES, "m AS (SELECT o_orderkey, o_orderkey % 4 AS k, name FROM pn)", "SELECT o_orderkey, k = 0 AS psfd, CASE k WHEN 0 THEN substr(name, 1, 9) WHEN 1 THEN 'X99' || substr(name, 4, 6) WHEN 2 THEN 'MSI_L0__DS_VGS2' END AS product_type, CASE WHEN k < 3 THEN substr(name, 11, 15) END AS start, CASE WHEN k < 2 THEN CAST(substr(name, 33, 3) AS INT) END AS relative_orbit, CASE WHEN k < 2 THEN substr(name, 32, 1) WHEN k = 2 THEN 'S2B' END AS unit FROM m"))
+@query("sca_03_lenient_parse", sql(NAMES, "m AS (SELECT o_orderkey, o_custkey, o_orderkey % 4 AS k, name FROM pn)", "SELECT o_orderkey, k = 0 AS psfd, CASE k WHEN 0 THEN substr(name, 1, 9) WHEN 1 THEN 'X99' || substr(name, 4, 6) WHEN 2 THEN 'MSI_L0__DS_VGS2' END AS product_type, CASE WHEN k < 3 THEN substr(name, 11, 15) END AS start, CASE WHEN k < 2 THEN CAST(substr(name, 33, 3) AS INT) END AS relative_orbit, CASE WHEN k < 2 THEN substr(name, 32, 1) WHEN k = 2 THEN 'S2B' END AS unit, CASE WHEN k = 2 THEN CAST(o_custkey % 1000000 AS INT) END AS absolute_orbit FROM m"))
 def sca_03(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
-    text = F.when(k == 0, F.col("name")).when(k == 1, F.concat(F.lit("X99"), F.expr("substr(name, 4)"))).when(k == 2, F.concat(F.lit("S2B_OPER_MSI_L0__DS_VGS2_"), F.substring("name", 11, 15), F.lit("_A"))).otherwise("something.zarr")
+    text = F.when(k == 0, F.col("name")).when(k == 1, F.concat(F.lit("X99"), F.expr("substr(name, 4)"))).when(k == 2, F.concat(F.lit("S2B_OPER_MSI_L0__DS_VGS2_"), F.substring("name", 11, 15), F.format_string("_A%06d", F.col("o_custkey") % 1_000_000))).otherwise("something.zarr")
     p = product_names(spark, sf_dir).withColumn("p", N.parse_lenient(text))
-    return p.select("o_orderkey", *[F.col(f"p.{f}").alias(f) for f in ("psfd", "product_type", "start", "relative_orbit", "unit")])
+    return p.select("o_orderkey", *[F.col(f"p.{f}").alias(f) for f in ("psfd", "product_type", "start", "relative_orbit", "unit", "absolute_orbit")])
 
 
 @query("sca_04_datastrip_id", sql(NAMES, "SELECT o_orderkey, 'S2A_OPER_MSI_L0__DS_' || strftime(o_orderdate, '%Y%m%dT%H%M%S') || '_A' || lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS id FROM pn"))

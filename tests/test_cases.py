@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from sensorlake.functions import flags, names, times
+from sensorlake.functions import flags, metadata, names, times
 from sensorlake.functions import radiometry as R
 from sensorlake.operators import align, calibrate, chain, coding, profile, resample, sequence
 
@@ -128,6 +128,15 @@ def test_names(spark):
     texts = spark.createDataFrame([(name,), ("bad",), (None,), ("S02MSIL0__20240403T102415_0000_A999_TC42",)], "n string")
     got = [(r[0]["valid"], r[0]["buildable"], r[0]["relative_orbit"]) for r in texts.select(names.parse_name(F.col("n"))).collect()]
     assert got == [(True, True, 45), (False, False, None), (False, False, None), (True, False, 999)]
+    parsed = lambda f, n: tuple(spark.createDataFrame([(n,)], "n string").select(f(F.col("n")).alias("p")).select("p.*").first())
+    fields = ("S02MSIL0_", "20240403T102415", 33, "A", 45, "T", "C42")
+    assert parsed(names.parse_name, name) == (*fields, None, ".zarr", True, True)
+    assert parsed(names.parse_name, name[:-5]) == (*fields, None, "", True, True)
+    assert parsed(names.parse_name, name[:-5] + "_X_1.zarr.zip") == (*fields, "X_1", ".zarr.zip", True, True)
+    assert parsed(names.parse_name, "S02MSIXX_" + name[9:]) == (None,) * 9 + (False, False)
+    old = "S2A_OPER_MSI_L0__DS_20230216T150621_V20230216T150621_20230216T150700_A039976_T31TCJ"
+    assert parsed(names.parse_lenient, old) == (False, "MSI_L0__DS", "20230216T150621", None, 39976, "S2A")
+    assert parsed(names.parse_lenient, old[:35])[2:5] == ("20230216T150621", None, None)
     orbit = spark.createDataFrame([("GS2A_20230216T150621_039976_N04.00",)], "t string").select(names.orbit_of_data_take(F.col("t"))).first()[0]
     assert orbit == 39976
     assert spark.range(1).select(names.range_list(F.lit("1-3,7"))).first()[0] == [1, 2, 3, 7]
@@ -174,3 +183,15 @@ def test_frame_scan_prunes(spark):
     plan = frames.scan(spark, path, bands=[1], lines=(1, 1))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(band" in plan or "band#" in plan.split("PartitionFilters")[1].split("]")[0]
     assert "GreaterThanOrEqual(line,1)" in plan
+
+
+def test_documents(spark):
+    docs = [
+        '{"stac_discovery":{"properties":{"sat:relative_orbit":7,"platform":"Sentinel-2A","sat:absolute_orbit":12}}}',
+        '{"stac_discovery":{"properties":{"platform":"x"},"stac_discovery":{"properties":{"sat:relative_orbit":"/x/ORBIT","eopf:data_take_id":"GS2A_20230216T150621_039976_N04.00"}}}}',
+        '{"stac_discovery":{"properties":null}}', "{broken", "", None,
+    ]
+    got = [tuple(r["i"]) for r in spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "k int, d string").select("k", metadata.identity("d").alias("i")).orderBy("k").collect()]
+    assert got[0] == (7, 12, "Sentinel-2A", None, "stac_discovery", [])
+    assert got[1] == (None, 39976, "x", "GS2A_20230216T150621_039976_N04.00", "stac_discovery", ["stac_discovery_double_nested", "relative_orbit_not_int", "absolute_orbit_from_datatake_id"])
+    assert got[2:5] == [(None, None, None, None, "stac_discovery", [])] * 3 and got[5] == (None, None, None, None, "none", [])
