@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import time
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,19 +27,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+COLLECT_S = 10  # at least so many seconds between two collections of the driver's garbage
+_collected = [0.0]
+
+
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while; they are put back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def collected(spark: SparkSession) -> None:
+    """The driver's JVM collects its garbage, as Spark lets it by spark.cleaner.periodicGC.interval, but not only each half hour: its heap shrinks again
+    after a run of many small jobs, and broadcasts that are no longer referred to leave the executors."""
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        spark.sparkContext._jvm.System.gc()
+        _collected[0] = time.monotonic()
 
 
 def written(df: DataFrame, name: str, batch: int = 2_000) -> DataFrame:
-    """Write once to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation.
+    """Write once to the shared folder and read back: the lineage ends here, and a lost executor costs no recomputation. Shuffle files go as soon as the table is there.
     batch: rows that an executor sends to a Python worker at a time, as long as the session sets no fewer; the setting is put back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
-    try:
+    before = int(spark.conf.get(BATCH))
+    with held(spark, {BATCH: str(min(batch, before) if before > 0 else batch), FREED: "true"}):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH, before)
+    collected(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,7 +69,9 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     """Dealt out by the key and written once to the shared folder as n buckets: groups and joins by the key read it without a shuffle."""
     path = new_path(df.sparkSession, name)
     catalog_name = path.rpartition("/")[2].replace("-", "_")
-    df.repartition(n, key).write.option("path", path).bucketBy(n, key).saveAsTable(catalog_name)
+    with held(df.sparkSession, {FREED: "true"}):
+        df.repartition(n, key).write.option("path", path).bucketBy(n, key).saveAsTable(catalog_name)
+    collected(df.sparkSession)
     return df.sparkSession.table(catalog_name)
 
 

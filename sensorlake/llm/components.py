@@ -34,16 +34,24 @@ def _small_star(e: DataFrame, edges: int) -> DataFrame:
     return pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _seen(e: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they are stars: each node has an edge to one smaller node at most, which has none itself."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("centre")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("centre")))
+    nodes = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("centre").alias("centre"))
+    n, open_ = nodes.agg(F.sum("out"), F.max((F.col("out") + F.col("centre") > 1) & (F.col("out") > 0))).first()
+    return n or 0, not open_
+
+
 def components(edges: DataFrame, name: str = "components", most_steps: int = 60) -> DataFrame:
-    """edges(u, v). node, component (the smallest node reachable) for every node that has an edge, but for the smallest ones themselves."""
-    e = written(edges.where("u <> v").distinct(), name)
-    mark, edges = None, e.count()
+    """edges(u, v). node, component (the smallest node reachable) for every node that has an edge, but for the smallest ones themselves.
+    Steps end when what is left are stars, which a further step would leave as they are."""
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    n, stars = _seen(e)
     for _ in range(most_steps):
-        e = written(_small_star(_large_star(e, edges), edges), name)
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or now[0] == 0:
+        if stars:
             break
-        mark, edges = now, now[0]
-    else:
+        e = written(_small_star(_large_star(e, n), n), name)
+        n, stars = _seen(e)
+    if not stars:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
