@@ -17,7 +17,7 @@ Customers of a context restaurant are the pairs seen in training; each table sen
 4. After `burn` rounds the tables of every sweep and the parent's probabilities of every round are averaged; the predictive probabilities from these
    averages score all documents. They sum to one over the words of a context and the one place for all words never seen.
 
-Where a document's words stand as contexts their counts are at hand, each once a document's pair; so the base score is summed there too.
+The base score of frequent words is summed where texts are read; other words' counts are at hand where they stand as contexts, each once a document's pair, so theirs is summed there.
 
 Defined results: null and empty texts have one token, the end; a null id trains like the text ''; repeated rows count and
 are scored each; without training documents scores come from the uniform base; an empty table gives no rows; other
@@ -95,7 +95,9 @@ class Head:
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes, the first, second, ... bytes of all values together, compressed."""
     parts = [np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], np.int64).tobytes()]
-    parts += [np.frombuffer(a.tobytes(), np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays]
+    for a in arrays:
+        x = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize)
+        parts += [x[:, k].tobytes() for k in range(a.itemsize)]  # byte by byte: a whole turned array is copied many times slower
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -104,7 +106,10 @@ def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
     head = np.frombuffer(raw, np.int64, 1 + 2 * int(np.frombuffer(raw, np.int64, 1)[0]))
     at, out = head.nbytes, []
     for n, size, kind in zip(head[1::2].tolist(), head[2::2].tolist(), kinds, strict=True):
-        out.append(np.frombuffer(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.tobytes(), kind))
+        x = np.empty((n, size), np.uint8)
+        for k in range(size):
+            x[:, k] = np.frombuffer(raw, np.uint8, n, at + k * n)
+        out.append(x.reshape(-1).view(kind))
         at += n * size
     return out
 
@@ -179,12 +184,13 @@ def _renumbered(numbers: np.ndarray, first: int, hashes: np.ndarray) -> tuple[np
 
 
 def _pairs(docs: DataFrame, head: object, buckets: int) -> DataFrame:
-    """bucket, block, others, data: distinct (document, context, word) of a block with how often, which documents are held out, and the hashes of contexts and words that are not in the head; others is null in one row a block that describes its documents."""
+    """bucket, block, others, data: distinct (document, context, word) of a block with how often, which documents are held out, and the hashes of contexts and words that are not in the head; others is null in one row a block that describes its documents, with what frequent words give to their base scores."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
         frequent = np.zeros(h.first, np.uint64)
         frequent[h.ids] = h.hashes
+        log_base, known = (np.append(x, 0.0) for x in (np.log10(h.counts + 1.0), h.counts > 0))  # others are looked up where their counts are
         for block, ids, codes in _blocks(batches):
             n = np.array([len(c) for c in codes], np.int64)
             last = np.cumsum(n + 1) - 1
@@ -199,6 +205,7 @@ def _pairs(docs: DataFrame, head: object, buckets: int) -> DataFrame:
             w[inner] = number
             u = np.concatenate([[h.end], w[:-1]])  # a document begins after an end
             doc = np.repeat(np.arange(len(n)), n + 1)
+            base, n_known = (np.bincount(doc, x[np.minimum(w, h.first)], len(n)) for x in (log_base, known))
             key, times = np.unique((doc << 2 * BLOCK_BITS) | (u << BLOCK_BITS) | w, return_counts=True)
             doc, u, w = key >> 2 * BLOCK_BITS, (key >> BLOCK_BITS) & ((1 << BLOCK_BITS) - 1), key & ((1 << BLOCK_BITS) - 1)
             held = np.packbits([crc_mod7(k) == HELD_OUT for k in ids])
@@ -208,7 +215,7 @@ def _pairs(docs: DataFrame, head: object, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             none = np.array([k is None for k in ids], np.uint8)
-            rows = [(int(block % buckets), None, pack(np.array([k or 0 for k in ids], np.int64), none, held, n + 1))]
+            rows = [(int(block % buckets), None, pack(np.array([k or 0 for k in ids], np.int64), none, held, n + 1, base, n_known.astype(np.uint32)))]
             for b, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if e > s:
                     i = order[s:e]
@@ -473,7 +480,7 @@ def _means(placed: DataFrame, state: DataFrame, kept: int, rest: float) -> DataF
 
 
 def _scored(table: DataFrame, state: DataFrame, parent: np.ndarray, contexts: np.ndarray, counts: np.ndarray, how: Settings, samples: int, parts: int, rest: float) -> DataFrame:
-    """block, kind, data: by document of the block, log10 probabilities of its pairs in a bucket, and of their contexts in the base and as known; kind 0 describes the block's documents.
+    """block, kind, data: by document of the block, log10 probabilities of its pairs in a bucket, and of their contexts outside the head in the base and as known; kind 0 describes the block's documents.
     parent and contexts: averages of the frequent words' probabilities and of their restaurants' tables."""
     given = table.sparkSession.sparkContext.broadcast((parent, contexts, counts))
 
@@ -502,11 +509,16 @@ def _scored(table: DataFrame, state: DataFrame, parent: np.ndarray, contexts: np
             u, w = _contexts(key)
             p = back[u] * p_word[w]
             if len(x.pair):
-                j = np.minimum(np.searchsorted(x.pair, key), len(x.pair) - 1)
+                order = np.argsort(key)  # places of rising keys are found faster
+                j = np.empty(len(key), np.int64)
+                j[order] = np.minimum(np.searchsorted(x.pair, key[order]), len(x.pair) - 1)
                 p = p + np.where(x.pair[j] == key, seen[j], 0.0)
-            sums = [np.bincount(doc, times * y) for y in (np.log10(p), log_base[u], known[u])]
-            there = np.unique(doc)
-            out.append((block, 1, pack(there.astype(np.uint16), *(y[there] for y in sums[:2]), sums[2][there].astype(np.uint32))))
+            there, of_others = np.unique(doc), u >= first
+            score = np.bincount(doc, times * np.log10(p))[there]
+            doc, u, times = doc[of_others], u[of_others], times[of_others]
+            base, n_known = (np.bincount(doc, times * y[u]) for y in (log_base, known))
+            others = np.unique(doc)
+            out.append((block, 1, pack(np.diff(there, prepend=0).astype(np.uint16), score, np.diff(others, prepend=0).astype(np.uint16), base[others], n_known[others].astype(np.uint32))))
         return pa.table({"block": pa.array([r[0] for r in out], pa.int64()), "kind": pa.array([r[1] for r in out], pa.int32()), "data": pa.array([r[2] for r in out], pa.binary())})
 
     return table.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInArrow(run, "block long, kind int, data binary")
@@ -517,17 +529,18 @@ def _summed(parts: DataFrame, tokens: int, distinct: int) -> DataFrame:
 
     def add(t: pa.Table) -> pa.Table:
         kinds, data = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        ids, none, held, n = unpack(data[kinds.index(0)], np.int64, np.uint8, np.uint8, np.int64)
+        ids, none, held, n, base, known = unpack(data[kinds.index(0)], np.int64, np.uint8, np.uint8, np.int64, np.float64, np.uint32)
         size = len(n)
-        sums = [np.zeros(size) for _ in range(3)]
+        score, base, known = np.zeros(size), base.copy(), known.astype(np.int64)
         for k, x in sorted(zip(kinds, data, strict=True)):  # one order, so that sums are the same each time
             if k == 1:
-                doc, *got = unpack(x, np.uint16, np.float64, np.float64, np.uint32)
-                for total, y in zip(sums, got, strict=True):
-                    total[doc] += y
-        score, base, known = sums
+                there, y, others, more, n_known = unpack(x, np.uint16, np.float64, np.uint16, np.float64, np.uint32)
+                score[np.cumsum(there, dtype=np.int64)] += y
+                others = np.cumsum(others, dtype=np.int64)
+                base[others] += more
+                known[others] += n_known
         base -= n * np.log10(tokens + distinct + 1.0)
-        return pa.table({"id": pa.array(ids, mask=none.astype(bool)), "held_out": pa.array(np.unpackbits(held)[:size].astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(np.rint(known).astype(np.int64)), "train_tokens": pa.array(np.full(size, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+        return pa.table({"id": pa.array(ids, mask=none.astype(bool)), "held_out": pa.array(np.unpackbits(held)[:size].astype(bool)), "n_tokens": pa.array(n), "n_known": pa.array(known), "train_tokens": pa.array(np.full(size, tokens, np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
 
     return parts.groupBy("block").applyInArrow(add, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -67,11 +67,12 @@ def _inverse(d: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _series(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     """Log S(c, t) - log (c - 1)! as sum over j of (-1)^j C(t, j) gamma(c - d j) / gamma(-d j) over t! d^t; for t up to a few c^d."""
-    total, way, before = np.zeros_like(t), np.ones_like(t), log_gamma(c)
+    total, way = np.zeros_like(t), np.ones_like(t)
+    gammas = np.exp(log_gamma(c - d * np.arange(SERIES)) - log_gamma(c))  # a column a step
     for j in range(1, SERIES):
         way *= (j - 1 - t) / j
         if d * j != round(d * j):
-            total += way * (np.exp(log_gamma(c - d * j) - before) / math.gamma(-d * j))
+            total += way * (gammas[:, j : j + 1] / math.gamma(-d * j))
     return np.log(np.maximum(total, 1e-300)) - log_gamma(t + 1) - t * math.log(d)
 
 
