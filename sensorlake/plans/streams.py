@@ -23,7 +23,7 @@ def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deliveries(spark: SparkSession, sf_dir: str, parts: int) -> list[DataFrame]:
     """Packets in the order in which they arrive, up to ten minutes after their time, in some deliveries; and one packet of no id that closes the last stretch."""
-    p = packets(spark, sf_dir).withColumn("_at", F.unix_seconds("ts") + F.pmod(F.col("pos") * 7919, F.lit(600)))
+    p = packets(spark, sf_dir).withColumn("_at", F.unix_seconds("ts") + F.pmod(F.col("pos").cast("long") * 7919, F.lit(600)))
     cuts = p.agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)])).first()[0]
     which = sum((F.col("_at") > c).cast("int") for c in cuts)
     last = p.agg((F.max("ts") + F.expr("INTERVAL 8 DAYS")).alias("ts")).select(F.lit(-1).alias("apid"), F.lit(0).alias("seq_count"), F.lit(0).alias("pos"), F.lit(0).alias("data_len"), "ts")

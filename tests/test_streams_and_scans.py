@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sensorlake.operators import sequence, wavelets
+from sensorlake.plans import streams
 from sensorlake.sources.shared import new_path
 from sensorlake.streaming import packets as S
 
@@ -40,6 +41,17 @@ def test_gap_monitor_resumes_and_waits_for_late_packets(spark):
     assert sorted(seen) == gaps_by_hand(rows) and found.where("kind = 'edge' AND apid > 0").agg(F.sum("n")).first()[0] == len(rows)
 
 
+def test_gap_monitor_of_streams_with_very_many_packets(spark, monkeypatch):
+    """Positions up to the last that an int holds: every packet arrives in one delivery, and all gaps are found."""
+    starts = {1: 0, 2: 271_150, 3: 2**31 - 60}
+    rows = [(apid, (16_380 + pos) % 16_384, pos, T0 + dt.timedelta(hours=5 * k, seconds=apid)) for apid, first in starts.items() for k, pos in enumerate(range(first, first + 60)) if k % 7 != 3]
+    table = spark.createDataFrame([(*r[:3], 9, r[3]) for r in rows], "apid int, seq_count int, pos int, data_len int, ts timestamp")
+    monkeypatch.setattr(streams, "packets", lambda spark, sf_dir: table)
+    *parts, _ = streams.deliveries(spark, "", 3)
+    assert sorted((r["apid"], r["pos"]) for p in parts for r in p.collect()) == [(r[0], r[2]) for r in rows] and all(p.count() for p in parts)
+    assert sorted(tuple(r) for r in streams.str_01(spark, "").collect()) == gaps_by_hand(rows)
+
+
 def test_a_batch_that_runs_twice_or_broke_off_adds_its_rows_once(spark):
     path = new_path(spark, "merged")
     a, b = (spark.createDataFrame([(i, f"x{i}") for i in ids], "k long, v string") for ids in (range(20), range(10, 30)))
