@@ -111,11 +111,12 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTING = "listing AS (SELECT page_id, url AS key, length(html) AS size, CASE WHEN page_id % 17 = 0 THEN 'bad' ELSE md5(html) END AS etag, md5(html) AS content_md5 FROM pages)"
 
 
-def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, attrs: metadata documents, some doubly nested, with absent, null and malformed orbits."""
+def attributes(spark: SparkSession, sf_dir: str, absolute: Column | None = None) -> DataFrame:
+    """event_id, attrs: metadata documents, some doubly nested, with absent, null and malformed orbits. Data takes have six digits of the absolute orbit
+    given, or else of the event's id: the first six, as in ATTRS."""
     orbit = F.when(F.col("event_id") % 11 == 0, F.lit('"/x/ORBIT"')).when(F.col("event_id") % 13 == 0, F.lit("null")).otherwise((1 + F.col("event_id") % 143).cast("string"))
     unit: Column = F.expr("substr('ABC', cast(1 + event_id % 3 as int), 1)")
-    props = F.concat(F.lit('{"properties":{"sat:relative_orbit":'), orbit, F.lit(',"platform":"Sentinel-2'), unit, F.lit('","eopf:data_take_id":"GS2A_20230216T150621_'), F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit('_N04.00"}}'))
+    props = F.concat(F.lit('{"properties":{"sat:relative_orbit":'), orbit, F.lit(',"platform":"Sentinel-2'), unit, F.lit('","eopf:data_take_id":"GS2A_20230216T150621_'), F.lpad((F.col("event_id") if absolute is None else absolute).cast("string"), 6, "0"), F.lit('_N04.00"}}'))
     inner = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit('{"stac_discovery":'), props, F.lit("}"))).otherwise(props)
     return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"stac_discovery":'), inner, F.lit("}")).alias("attrs"))
 

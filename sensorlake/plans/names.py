@@ -95,7 +95,8 @@ def sca_15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sca_16_identity", sql(ATTRS, f"SELECT event_id, TRY_CAST({_REL} AS INT) AS relative_orbit, CAST(event_id % 1000000 AS INT) AS absolute_orbit, 'stac_discovery' AS source, concat_ws(',', CASE WHEN {_DOUBLE} THEN 'stac_discovery_double_nested' END, CASE WHEN {_REL} IS NOT NULL AND TRY_CAST({_REL} AS INT) IS NULL THEN 'relative_orbit_not_int' END, 'absolute_orbit_from_datatake_id') AS flags FROM attrs"))
 def sca_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = attributes(spark, sf_dir).withColumn("i", M.identity("attrs"))
+    """Absolute orbits count up to 999999 and begin anew: documents of later events have the last six digits of their ids."""
+    i = attributes(spark, sf_dir, F.col("event_id") % 1_000_000).withColumn("i", M.identity("attrs"))
     return i.select("event_id", "i.relative_orbit", "i.absolute_orbit", "i.source", F.array_join("i.flags", ",").alias("flags"))
 
 

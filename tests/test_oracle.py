@@ -35,3 +35,13 @@ def test_query(spark, duck, name):
     b = sorted(map(repr, duck.sql(f"SELECT {names} FROM got").fetchall()))
     duck.unregister("got")
     assert a == b
+
+
+@pytest.mark.parametrize("name", ["sca_13_metadata", "sca_14_whole_number", "sca_15_orbit_of_data_take", "sca_16_identity", "sca_17_context", "sca_18_unit", "sca_24_key_search"])
+def test_documents_of_ids_with_more_than_six_digits(spark, tmp_path, name):
+    con, at = duckdb.connect(), f"{tmp_path}/events.parquet"
+    con.execute(f"COPY (SELECT * REPLACE (event_id + k AS event_id) FROM '{SF}/events.parquet', (VALUES (0), (999_500), (1_234_000), (123_456_000)) s(k)) TO '{at}' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toArrow(), con.sql(registry.ORACLE[name])  # noqa: F841
+    names = ", ".join(want.columns)
+    assert sorted(map(repr, con.sql(f"SELECT {names} FROM got").fetchall())) == sorted(map(repr, want.select(names).fetchall()))
